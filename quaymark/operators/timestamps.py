@@ -47,7 +47,7 @@ def _pattern() -> tuple[str, list[str]]:
         g("y6", r"\d{4}") + g("m3", r"\d{2}") + g("d5", r"\d{2}"),
     ]
     clocks = [
-        r"(?:t|,? (?:at )?|,)" + g("h1", r"\d{1,2}") + ":" + g("i1", r"\d{2}") + "(?::" + g("s1", r"\d{2}") + "(?:[.,]" + g("f1", r"\d+") + ")?)?(?: ?" + g("ap", "[ap]") + "\\.?m\\.?)?",
+        r"(?:t|,? (?:at )?|,)" + g("h1", r"\d{1,2}") + ":" + g("i1", r"\d{2}") + "(?::" + g("s1", r"\d{2}") + "(?:[.,]" + g("f1", r"\d+") + ")?)?(?: ?" + g("ap", "[ap]") + "\\.?m\\.?(?![a-z]))?",
         r"(?:t| )?" + g("h2", r"\d{2}") + g("i2", r"\d{2}") + "(?:" + g("s2", r"\d{2}") + "(?:[.,]?" + g("f2", r"\d+") + ")?)?",
     ]
     zone = r" ?\[?" + g("zone", "[a-z][a-z_]*(?:/[a-z0-9_+-]+)*") + r"?\]? ?" + g("off", r"[+-]\d{1,2}(?::?\d{2})?") + r"? ?(?:\[[a-z0-9_+/-]+\])?"
@@ -73,7 +73,7 @@ def _parsed(df: DataFrame, raw: str, zone: str, order: str) -> DataFrame:
     year = number("y1", "y2", "y3", "y4", "y5", "y6", "y7")
     hour = F.coalesce(number("h1", "h2"), F.lit(0))
     half = F.lower(part("ap"))
-    df = df.filter(F.lit(True)).select(
+    df = df.select(
         "*",
         (F.get("__parts", F.lit(0)) == mark).alias("__hit"),
         F.when(F.length(part("y2", "y3", "y4")) == 2, year + 2000).otherwise(year).alias("__y"),

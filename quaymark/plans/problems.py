@@ -113,3 +113,35 @@ def p6_sliding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_attributes, p2_found, p2_kept, p3_found, p3_profiles, p3_percentiles, p4_features, p5_found, p6_found, p6_hours, p6_sliding)}
+
+_COPIES = "(SELECT *, row_number() OVER (PARTITION BY fill_uid ORDER BY ingested_at, delivery_id) AS rn FROM fills)"
+_HISTORY = "SELECT document_uid, revision_uid, min(first_seen_at) AS known FROM evidence GROUP BY ALL"
+_MATCHES = "SELECT DISTINCT match_uid, document_uid, as_of FROM match_results WHERE as_of IS NOT NULL"
+
+
+def _last_known(attribute: str) -> str:
+    return f"""(SELECT match_uid, {attribute}, {attribute}_known_at FROM (SELECT m.match_uid, e.{attribute}, e.first_seen_at AS {attribute}_known_at,
+      row_number() OVER (PARTITION BY m.match_uid ORDER BY e.first_seen_at DESC, e.{attribute} DESC NULLS LAST) AS k FROM m JOIN evidence e ON e.document_uid = m.document_uid AND e.first_seen_at <= m.as_of) WHERE k = 1)"""
+
+
+_HOURS = f"""c AS (SELECT market_uid, CAST(floor(epoch(event_time) / 3600) AS BIGINT) * 3600 AS pane, epoch_us(ingested_at) AS came, size, price FROM {_COPIES} WHERE rn = 1 AND event_time IS NOT NULL),
+ p AS (SELECT market_uid, pane, size, price, CASE WHEN came <= (pane + 3900) * 1000000 THEN 0 WHEN came <= (pane + 3600 + 86400) * 1000000 THEN 1 ELSE 2 END AS phase FROM c)"""
+
+
+def _windows(source: str) -> str:
+    return f"""SELECT market_uid, period_start, count(*) FILTER (phase = 0) AS first_n, count(*) FILTER (phase < 2) AS n, count(*) FILTER (phase = 1) AS n_late, count(*) FILTER (phase = 2) AS n_refused,
+      sum(size) FILTER (phase = 0) AS first_size, sum(size) FILTER (phase < 2) AS size, sum(price * size) FILTER (phase = 0) AS first_notional, sum(price * size) FILTER (phase < 2) AS notional, count(*) FILTER (phase = 1) > 0 AS corrected FROM {source} GROUP BY ALL"""
+
+
+SQL = {
+    "p1_found": f"WITH h AS ({_HISTORY}), m AS ({_MATCHES}) SELECT match_uid, revision_uid FROM (SELECT match_uid, revision_uid, row_number() OVER (PARTITION BY match_uid ORDER BY known DESC, revision_uid DESC) AS k FROM m JOIN h ON h.document_uid = m.document_uid AND h.known <= m.as_of) WHERE k = 1",
+    "p1_attributes": f"WITH h AS ({_HISTORY}), m AS ({_MATCHES}), r AS (SELECT match_uid, revision_uid, known AS revision_uid_known_at FROM (SELECT *, row_number() OVER (PARTITION BY match_uid ORDER BY known DESC, revision_uid DESC) AS k FROM m JOIN h ON h.document_uid = m.document_uid AND h.known <= m.as_of) WHERE k = 1) SELECT * FROM m LEFT JOIN r USING (match_uid) LEFT JOIN {_last_known('title')} USING (match_uid) LEFT JOIN {_last_known('url')} USING (match_uid) LEFT JOIN {_last_known('publication_timestamp_status')} USING (match_uid)",
+    "p2_found": f"SELECT delivery_id FROM {_COPIES} WHERE rn > 1",
+    "p2_kept": f"SELECT delivery_id, fill_uid, ingested_at, market_uid, actor_uid, price, size FROM {_COPIES} WHERE rn = 1",
+    "p3_found": "WITH k AS (SELECT 'actor' AS kind, actor_uid AS key_uid FROM fills UNION ALL SELECT 'market', market_uid FROM fills) SELECT kind, key_uid FROM k WHERE key_uid IS NOT NULL GROUP BY ALL HAVING count(*) * 40 >= (SELECT count(*) FROM fills)",
+    "p3_profiles": "WITH k AS (SELECT 'actor' AS kind, actor_uid AS key_uid, market_uid AS v FROM fills UNION ALL SELECT 'market', market_uid, actor_uid FROM fills), c AS (SELECT kind, key_uid, v, count(*) AS n FROM k WHERE key_uid IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY kind, key_uid ORDER BY v IS NULL, n DESC, v) AS o FROM c) SELECT kind, key_uid, CAST(sum(n) AS BIGINT) AS n_rows, count(v) AS n_values, max(v) FILTER (o = 1) AS mode_uid, max(n) FILTER (o = 1 AND v IS NOT NULL) AS mode_rows FROM r GROUP BY kind, key_uid",
+    "p3_percentiles": "WITH p AS (SELECT unnest([0.5, 0.9, 0.99]) AS fraction), r AS (SELECT market_uid, size, row_number() OVER (PARTITION BY market_uid ORDER BY size) AS k, count(*) OVER (PARTITION BY market_uid) AS n FROM fills WHERE market_uid IS NOT NULL AND size IS NOT NULL) SELECT market_uid, CAST(fraction AS DOUBLE) AS fraction, size AS size_at FROM r, p WHERE k = greatest(1, CAST(ceil(CAST(fraction AS DOUBLE) * n) AS BIGINT))",
+    "p6_found": f"WITH {_HOURS} SELECT market_uid, pane AS period_start FROM p WHERE phase = 1 GROUP BY ALL",
+    "p6_hours": f"WITH {_HOURS} {_windows('(SELECT *, pane AS period_start FROM p)')}",
+    "p6_sliding": f"WITH {_HOURS} {_windows('(SELECT *, pane - 3600 * i AS period_start FROM p, (SELECT unnest(range(6)) AS i) WHERE (pane // 3600 - i) % 2 = 0)')}",
+}
