@@ -122,7 +122,7 @@ def win24(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("market_uid", "kind", (F.unix_seconds("scheduled_announcement_at") + F.col("shift")).alias("window_start"))
 
 
-@query("agg24_late_fusion", "WITH s AS (SELECT market_uid, 'text' AS modality, as_of AS "at", match_uid AS uid, lexical_score AS value, 0.8 AS reliability FROM match_results WHERE lexical_score IS NOT NULL AND as_of IS NOT NULL UNION ALL SELECT market_uid, 'trade' AS modality, event_time, fill_uid, CAST(price AS DOUBLE), 0.9 FROM fills WHERE event_time IS NOT NULL), r AS (SELECT market_uid, modality, max("at") AS last_at, arg_max(value, ("at", uid)) AS v, any_value(reliability) AS rel FROM s GROUP BY ALL), w AS (SELECT *, rel * pow(2, -(1712000000 - floor(epoch(last_at))) / 604800) AS w FROM r) SELECT market_uid, count(*) AS modalities, round(sum(w * v) / sum(w), 6) AS fused, round(least(1, 2 * sqrt(greatest(sum(w * v * v) / sum(w) - pow(sum(w * v) / sum(w), 2), 0))), 5) AS disagreement FROM w GROUP BY market_uid")
+@query("agg24_late_fusion", "WITH s AS (SELECT market_uid, 'text' AS modality, as_of AS seen, match_uid AS uid, lexical_score AS value, 0.8 AS reliability FROM match_results WHERE lexical_score IS NOT NULL AND as_of IS NOT NULL UNION ALL SELECT market_uid, 'trade' AS modality, event_time, fill_uid, CAST(price AS DOUBLE), 0.9 FROM fills WHERE event_time IS NOT NULL), r AS (SELECT market_uid, modality, max(seen) AS last_at, arg_max(value, (seen, uid)) AS v, any_value(reliability) AS rel FROM s GROUP BY ALL), w AS (SELECT *, rel * pow(2, -(1712000000 - floor(epoch(last_at))) / 604800) AS w FROM r) SELECT market_uid, count(*) AS modalities, round(sum(w * v) / sum(w), 6) AS fused, round(least(1, 2 * sqrt(greatest(sum(w * v * v) / sum(w) - pow(sum(w * v) / sum(w), 2), 0))), 5) AS disagreement FROM w GROUP BY market_uid")
 def agg24(spark: SparkSession, folder: str) -> DataFrame:
     text = table(spark, folder, "match_results").filter("lexical_score is not null and as_of is not null").select("market_uid", F.lit("text").alias("modality"), F.col("as_of").alias("at"), F.col("match_uid").alias("uid"), F.col("lexical_score").alias("value"), F.lit(0.8).alias("reliability"))
     trade = table(spark, folder, "fills").filter("event_time is not null").select("market_uid", F.lit("trade").alias("modality"), F.col("event_time").alias("at"), F.col("fill_uid").alias("uid"), F.col("price").cast("double").alias("value"), F.lit(0.9).alias("reliability"))
