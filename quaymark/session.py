@@ -65,14 +65,24 @@ def remove_path(spark: SparkSession, path: str) -> None:
         shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: lineage is cut, a lost executor loses nothing, sizes are known."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
+def write_once(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
+    """Writes `df` and reads it back. Its shuffle files are of no more use then, and go as soon as it is written rather
+    than when the driver happens to collect its garbage."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.mode(mode).parquet(path)
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes once to the shared folder and reads back: lineage is cut, a lost executor loses nothing, sizes are known."""
+    return write_once(df, scratch_path(df.sparkSession, name))
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; for a materialised table that is the size of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
