@@ -25,7 +25,7 @@ def components(pairs: DataFrame) -> DataFrame:
     grows beyond its start and a hub's links are re-hung instead of multiplied. Rounds grow with the logarithm of the
     longest chain, and each is written to the shared folder, so a lost executor repeats one round at most.
     """
-    links = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u is not null and v is not null")
+    links = pairs.filter("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     nodes = links.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     links = materialise(links.filter("u <> v").distinct(), "links")
     before = None

@@ -47,7 +47,7 @@ def python_facts(files: DataFrame) -> DataFrame:
 
 def scenarios(files: DataFrame) -> DataFrame:
     """path, line, title and tags of Gherkin scenarios; a feature's tags are inherited."""
-    lines = files.select("path", F.posexplode(F.split(F.decode("content", F.lit("UTF-8")), "\n")).alias("line", "text")).withColumn("text", F.trim("text"))
+    lines = files.select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line", "text")).withColumn("text", F.trim("text"))
     order = Window.partitionBy("path").orderBy("line")
     tagged = lines.withColumn("own", F.when(F.col("text").startswith("@"), F.col("text"))).withColumn("above", F.lag("own").over(order))
     marked = tagged.withColumn("feature_tags", F.last(F.when(F.col("text").startswith("Feature:"), F.coalesce("above", F.lit(""))), ignorenulls=True).over(order))
