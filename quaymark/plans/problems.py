@@ -23,6 +23,11 @@ def _matches(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return table(spark, folder, "match_results").select("match_uid", "document_uid", "as_of", *columns).filter("as_of is not null").distinct()
 
 
+def _in_micros(df: DataFrame) -> DataFrame:
+    """Instants as microseconds since 1970 UTC, which every reader shows alike."""
+    return df.select(*[F.unix_micros(c).alias(c) if kind == "timestamp" else F.col(c) for c, kind in df.dtypes])
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     past = histories(table(spark, folder, "evidence"), "document_uid", "first_seen_at", {"revision_uid": True})
     known = known_attributes(_matches(spark, folder), past, "document_uid", "as_of", ["revision_uid"])
@@ -31,7 +36,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_attributes(spark: SparkSession, folder: str) -> DataFrame:
     past = histories(table(spark, folder, "evidence"), "document_uid", "first_seen_at", DOCUMENT_ATTRIBUTES)
-    return known_attributes(_matches(spark, folder), past, "document_uid", "as_of", list(DOCUMENT_ATTRIBUTES))
+    return _in_micros(known_attributes(_matches(spark, folder), past, "document_uid", "as_of", list(DOCUMENT_ATTRIBUTES)))
 
 
 def _fills(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -43,7 +48,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_kept(spark: SparkSession, folder: str) -> DataFrame:
-    return deduplicate(_fills(spark, folder, "market_uid", "actor_uid", "price", "size"), ["fill_uid"], COPY_ORDER)
+    return _in_micros(deduplicate(_fills(spark, folder, "market_uid", "actor_uid", "price", "size"), ["fill_uid"], COPY_ORDER))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,7 +81,7 @@ def p4_features(spark: SparkSession, folder: str) -> DataFrame:
     markets = small_side(table(spark, folder, "markets").select("market_uid", "category"))
     fills = table(spark, folder, "fills").select("actor_uid", "market_uid", "side", "event_time", "price", "size")
     typed = fills.join(markets, "market_uid", "left").withColumn("kind", F.concat_ws(" ", F.col("category"), F.when(F.col("category").isNotNull(), F.lower("side"))))
-    return feature_table(typed, "actor_uid", "kind", "event_time", {"size": F.col("size"), "notional": F.col("price") * F.col("size")}, _kinds(spark, folder))
+    return _in_micros(feature_table(typed, "actor_uid", "kind", "event_time", {"size": F.col("size"), "notional": F.col("price") * F.col("size")}, _kinds(spark, folder)))
 
 
 def _clocks(spark: SparkSession, folder: str, name: str, uid: str) -> DataFrame:
@@ -135,9 +140,9 @@ def _windows(source: str) -> str:
 
 SQL = {
     "p1_found": f"WITH h AS ({_HISTORY}), m AS ({_MATCHES}) SELECT match_uid, revision_uid FROM (SELECT match_uid, revision_uid, row_number() OVER (PARTITION BY match_uid ORDER BY known DESC, revision_uid DESC) AS k FROM m JOIN h ON h.document_uid = m.document_uid AND h.known <= m.as_of) WHERE k = 1",
-    "p1_attributes": f"WITH h AS ({_HISTORY}), m AS ({_MATCHES}), r AS (SELECT match_uid, revision_uid, known AS revision_uid_known_at FROM (SELECT *, row_number() OVER (PARTITION BY match_uid ORDER BY known DESC, revision_uid DESC) AS k FROM m JOIN h ON h.document_uid = m.document_uid AND h.known <= m.as_of) WHERE k = 1) SELECT * FROM m LEFT JOIN r USING (match_uid) LEFT JOIN {_last_known('title')} USING (match_uid) LEFT JOIN {_last_known('url')} USING (match_uid) LEFT JOIN {_last_known('publication_timestamp_status')} USING (match_uid)",
+    "p1_attributes": f"WITH h AS ({_HISTORY}), m AS ({_MATCHES}), r AS (SELECT match_uid, revision_uid, known AS revision_uid_known_at FROM (SELECT *, row_number() OVER (PARTITION BY match_uid ORDER BY known DESC, revision_uid DESC) AS k FROM m JOIN h ON h.document_uid = m.document_uid AND h.known <= m.as_of) WHERE k = 1) SELECT * REPLACE (epoch_us(as_of) AS as_of, epoch_us(revision_uid_known_at) AS revision_uid_known_at, epoch_us(title_known_at) AS title_known_at, epoch_us(url_known_at) AS url_known_at, epoch_us(publication_timestamp_status_known_at) AS publication_timestamp_status_known_at) FROM m LEFT JOIN r USING (match_uid) LEFT JOIN {_last_known('title')} USING (match_uid) LEFT JOIN {_last_known('url')} USING (match_uid) LEFT JOIN {_last_known('publication_timestamp_status')} USING (match_uid)",
     "p2_found": f"SELECT delivery_id FROM {_COPIES} WHERE rn > 1",
-    "p2_kept": f"SELECT delivery_id, fill_uid, ingested_at, market_uid, actor_uid, price, size FROM {_COPIES} WHERE rn = 1",
+    "p2_kept": f"SELECT delivery_id, fill_uid, epoch_us(ingested_at) AS ingested_at, market_uid, actor_uid, price, size FROM {_COPIES} WHERE rn = 1",
     "p3_found": "WITH k AS (SELECT 'actor' AS kind, actor_uid AS key_uid FROM fills UNION ALL SELECT 'market', market_uid FROM fills) SELECT kind, key_uid FROM k WHERE key_uid IS NOT NULL GROUP BY ALL HAVING count(*) * 40 >= (SELECT count(*) FROM fills)",
     "p3_profiles": "WITH k AS (SELECT 'actor' AS kind, actor_uid AS key_uid, market_uid AS v FROM fills UNION ALL SELECT 'market', market_uid, actor_uid FROM fills), c AS (SELECT kind, key_uid, v, count(*) AS n FROM k WHERE key_uid IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY kind, key_uid ORDER BY v IS NULL, n DESC, v) AS o FROM c) SELECT kind, key_uid, CAST(sum(n) AS BIGINT) AS n_rows, count(v) AS n_values, max(v) FILTER (o = 1) AS mode_uid, max(n) FILTER (o = 1 AND v IS NOT NULL) AS mode_rows FROM r GROUP BY kind, key_uid",
     "p3_percentiles": "WITH p AS (SELECT unnest([0.5, 0.9, 0.99]) AS fraction), r AS (SELECT market_uid, size, row_number() OVER (PARTITION BY market_uid ORDER BY size) AS k, count(*) OVER (PARTITION BY market_uid) AS n FROM fills WHERE market_uid IS NOT NULL AND size IS NOT NULL) SELECT market_uid, CAST(fraction AS DOUBLE) AS fraction, size AS size_at FROM r, p WHERE k = greatest(1, CAST(ceil(CAST(fraction AS DOUBLE) * n) AS BIGINT))",
@@ -145,3 +150,20 @@ SQL = {
     "p6_hours": f"WITH {_HOURS} {_windows('(SELECT *, pane AS period_start FROM p)')}",
     "p6_sliding": f"WITH {_HOURS} {_windows('(SELECT *, pane - 3600 * i AS period_start FROM p, (SELECT unnest(range(6)) AS i) WHERE (pane // 3600 - i) % 2 = 0)')}",
 }
+
+# Topics and facets whose pairs are the market categories of the test tables; only the SQL needs them.
+TOPICS = ("census", "court", "election", "energy", "film", "health", "rates", "shipping", "space", "sport", "trade", "weather")
+FACETS = ("annual", "award", "final", "local", "margin", "national", "other", "outage", "recount", "timing")
+
+
+def _features_sql() -> str:
+    parts = ["count(*) AS n_all", "epoch_us(max(event_time)) AS last_all", "sum(size) AS size_all", "sum(price * size) AS notional_all"]
+    for topic in TOPICS:
+        for facet in FACETS:
+            for side in ("buy", "sell"):
+                name, here = f"{topic}_{facet}_{side}", f"FILTER (kind = '{topic}/{facet} {side}')"
+                parts += [f"count(*) {here} AS n_{name}", f"epoch_us(max(event_time) {here}) AS last_{name}", f"sum(size) {here} AS size_{name}", f"sum(price * size) {here} AS notional_{name}"]
+    return f"SELECT actor_uid, {', '.join(parts)} FROM (SELECT f.*, m.category || ' ' || lower(f.side) AS kind FROM fills f LEFT JOIN markets m USING (market_uid)) WHERE actor_uid IS NOT NULL GROUP BY actor_uid"
+
+
+SQL["p4_features"] = _features_sql()
