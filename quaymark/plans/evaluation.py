@@ -216,14 +216,13 @@ def gr05(spark: SparkSession, folder: str) -> DataFrame:
     return components(table(spark, folder, "evidence").select(F.col("document_uid").alias("a"), F.col("source").alias("b")).distinct())
 
 
-@query("gr05b_cofunded_pairs", with_(_EDGES) + "SELECT DISTINCT a.dst AS a, b.dst AS b FROM ed a JOIN ed b ON a.src = b.src AND a.dst < b.dst WHERE a.src IN (SELECT src FROM ed GROUP BY src HAVING count(*) <= 20) UNION SELECT src, dst FROM ed WHERE src < dst")
+@query("gr05b_cofunded_clusters", "WITH RECURSIVE " + _EDGES + ", g AS (SELECT src, min(dst) AS low FROM ed GROUP BY src), k AS (SELECT ed.dst AS a, g.low AS b FROM ed JOIN g USING (src) UNION SELECT src, dst FROM ed WHERE src < dst), l AS (SELECT a, b FROM k UNION SELECT b, a FROM k), t AS (SELECT a AS id, a AS r FROM l UNION SELECT l.b, t.r FROM t JOIN l ON l.a = t.id) SELECT id, min(r) AS component FROM t GROUP BY id")
 def gr05b(spark: SparkSession, folder: str) -> DataFrame:
-    """Direct transfers in name order, and wallets with a common funder; a funder of more than 20 is a venue, not a link."""
+    """Clusters of wallets with a common funder or a direct transfer in name order. The wallets of one funder are linked to
+    the first of them: the same clusters as all their pairs, with as many links as wallets."""
     rows = edges(spark, folder)
-    few = rows.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter("n <= 20").select("src")
-    small = rows.join(few, "src")
-    pairs = small.select("src", F.col("dst").alias("a")).join(small.select("src", F.col("dst").alias("b")), "src").filter("a < b").select("a", "b")
-    return pairs.unionByName(rows.filter("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))).distinct()
+    stars = rows.join(rows.groupBy("src").agg(F.min("dst").alias("low")), "src").select(F.col("dst").alias("a"), F.col("low").alias("b"))
+    return components(stars.unionByName(rows.filter("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))))
 
 
 @query("gr06_hub_factor", with_(_EDGES) + "SELECT id, count(*) AS degree, round(1 / (1 + 0.1 * greatest(count(*) - 10, 0)), 6) AS hub FROM (SELECT src AS id FROM ed UNION ALL SELECT dst FROM ed) GROUP BY id")
