@@ -5,16 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaymark.session import materialise, scratch_path, small_side
+from quaymark.session import materialise, scratch_path, small_side, write_once
 
 #: Cells of the frozen frequency sketch that orders grams from rare to frequent: 1 MB, whatever the corpus.
 SKETCH_CELLS = 1 << 18
@@ -29,6 +27,17 @@ def words(text: Column) -> Column:
 
 def edits(a: list[str], b: list[str]) -> int:
     """Words to insert, delete or replace to get from `a` to `b`, by bit-vectors over the words of `a`."""
+    same = 0
+    for x, y in zip(a, b):  # equal beginnings and ends need no edit
+        if x != y:
+            break
+        same += 1
+    a, b, same = a[same:], b[same:], 0
+    for x, y in zip(reversed(a), reversed(b)):
+        if x != y:
+            break
+        same += 1
+    a, b = a[: len(a) - same], b[: len(b) - same]
     if len(a) > len(b):
         a, b = b, a
     size = len(a)
@@ -52,19 +61,22 @@ def edits(a: list[str], b: list[str]) -> int:
     return distance
 
 
-@lru_cache(1 << 18)
-def _word_id(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+def codes(tokens: Column) -> Column:
+    """64-bit codes of words, made in the JVM: what grams and sketches are computed from. Verification compares the words."""
+    return F.transform(tokens, lambda w: F.xxhash64(w))
 
 
-def _grams(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the words, and of each two neighbouring words."""
-    one = np.array([_word_id(w) for w in tokens], np.uint64)
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column as one array, and the lengths of its lists."""
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.diff(column.offsets.to_numpy())
+
+
+def _grams(words_: np.ndarray) -> np.ndarray:
+    """Codes of each two neighbouring words of a flat array; those across two texts mean nothing."""
     with np.errstate(over="ignore"):
-        two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ ((one[1:] << np.uint64(1)) + np.uint64(0x632BE59BD9B4E019))
-        two ^= two >> np.uint64(29)
-        two *= np.uint64(0xBF58476D1CE4E5B9)
-    return one, two ^ (two >> np.uint64(32))
+        two = (words_[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ ((words_[1:] << np.uint64(1)) + np.uint64(0x632BE59BD9B4E019))
+        two = (two ^ (two >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return two ^ (two >> np.uint64(32))
 
 
 def prefix_size(size: int) -> int:
@@ -74,84 +86,184 @@ def prefix_size(size: int) -> int:
     return max(0, size - 1 - kept + 1)
 
 
-POSTING = "body binary, size int, gram long, at int, s0 long, s1 long, s2 long, s3 long"
+#: place: size << 32 | place of the gram << 1 | accepted before. s0 to s3: a 256-bit sketch of the text's words.
+POSTING = "gram long, id long, place long, s0 long, s1 long, s2 long, s3 long"
+SKETCH = ("s0", "s1", "s2", "s3")
 
 
 def postings(bodies: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """body, size, gram, at (place in the text) and a 256-bit sketch of the words, for each gram of the rare prefix."""
+    """A posting for each gram of the rare prefix of each body (columns id, codes)."""
     shared = bodies.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = shared.value
         for b in batches:
-            names, lists = b.column("body").to_pylist(), b.column("words").to_pylist()
-            keep, sizes, counts, grams, at, bits = [], [], [], [], [], []
-            for name, tokens in zip(names, lists):
-                one, two = _grams(tokens)
-                if not len(two):
-                    continue
-                order = np.lexsort((np.arange(len(two)), two, cells[two >> np.uint64(46)]))[: prefix_size(len(tokens))]
-                mask = np.zeros(4, np.uint64)
-                np.bitwise_or.at(mask, (one >> np.uint64(8)) & np.uint64(3), np.uint64(1) << (one & np.uint64(63)))
-                keep.append(name), sizes.append(len(tokens)), counts.append(len(order)), grams.append(two[order]), at.append(order), bits.append(mask)
-            if not keep:
+            flat, sizes = _flat(b.column("codes"))
+            if len(flat) < 2:
                 continue
-            n = np.array(counts)
-            spread = np.repeat(np.arange(len(keep)), n)
-            mask = np.vstack(bits)[spread].view(np.int64)
-            columns = [pa.array(keep, pa.binary()).take(pa.array(spread)), pa.array(np.repeat(np.array(sizes, np.int32), n)), pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(at).astype(np.int32)), *[pa.array(np.ascontiguousarray(mask[:, i])) for i in range(4)]]
-            yield pa.RecordBatch.from_arrays(columns, names=["body", "size", "gram", "at", "s0", "s1", "s2", "s3"])
-
-    return bodies.select("body", "words").mapInArrow(run, POSTING)
-
-
-def frequency_sketch(bodies: DataFrame) -> np.ndarray:
+            start = np.cumsum(sizes) - sizes
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            mask = np.zeros((len(sizes), 4), np.uint64)
+            np.bitwise_or.at(mask, (text, (flat >> np.uint64(8)) & np.uint64(3)), np.uint64(1) << (flat & np.uint64(63)))
+            two, own = _grams(flat), text[:-1]
+            inside = own == text[1:]
+            at = (np.arange(len(two)) - start[own])[inside]
+            two, own = two[inside], own[inside]
+            order = np.lexsort((at, two, shared.value[two >> np.uint64(46)], own))  # by text, rare first
+            rank = _rank(own[order])
+            limit = np.array([prefix_size(int(n)) for n in sizes])
+            order = order[rank < limit[own[order]]]
+            of = own[order]
+            place = sizes[of].astype(np.int64) << 32 | at[order] << 1
+            ids = b.column("id").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(two[order].view(np.int64)), pa.array(ids[of]), pa.array(place), *[pa.array(mask[of, i].view(np.int64)) for i in range(4)]], names=["gram", "id", "place", *SKETCH])
+
+    return bodies.select("id", "codes").mapInArrow(run, POSTING)
+
+
+def _rank(groups: np.ndarray) -> np.ndarray:
+    """Place of each element within its run of equal neighbours."""
+    first = np.concatenate([[True], groups[1:] != groups[:-1]]) if len(groups) else np.zeros(0, bool)
+    start = np.flatnonzero(first)
+    return np.arange(len(groups)) - np.repeat(start, np.diff(np.append(start, len(groups))))
+
+
+def frequency_sketch(bodies: DataFrame) -> DataFrame:
     """How many grams of the first batch fall into each cell. It only orders grams, from rare to frequent, and is frozen
     with the index, since all prefixes must follow one order; cells it never met count as rarest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH_CELLS, np.int64)
         for b in batches:
-            for tokens in b.column("words").to_pylist():
-                np.add.at(total, (_grams(tokens)[1] >> np.uint64(46)).astype(np.int64), 1)
+            flat, sizes = _flat(b.column("codes"))
+            if len(flat) > 1:
+                text = np.repeat(np.arange(len(sizes)), sizes)
+                total += np.bincount((_grams(flat)[text[:-1] == text[1:]] >> np.uint64(46)).astype(np.int64), minlength=SKETCH_CELLS)
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["cell", "n"])
 
-    rows = bodies.select("words").mapInArrow(run, "cell int, n long").groupBy("cell").sum("n").toPandas()
-    sketch = np.zeros(SKETCH_CELLS, np.int64)
-    sketch[rows["cell"].to_numpy()] = rows["sum(n)"].to_numpy()
-    return sketch
+    return bodies.select("codes").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def candidates(a: DataFrame, b: DataFrame, within: bool) -> DataFrame:
-    """Distinct body pairs (body_a, body_b) that share a prefix gram and pass the cheap bounds; `within` takes each
-    unordered pair of one table once.
+def read_sketch(cells: DataFrame) -> np.ndarray:
+    """The sketch as an array; it has at most SKETCH_CELLS rows."""
+    rows, sketch = cells.toPandas(), np.zeros(SKETCH_CELLS, np.int64)
+    sketch[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    return sketch
+
 
-    With k = a quarter of the longer text: lengths differ by at most k; the shared gram's places leave room for k edits
-    before and after it; word sets differ by at most 2 k less the difference in length.
+#: Runs of one gram up to this length are compared offset by offset over all runs at once, longer ones run by run.
+SHORT_RUN = 2048
+
+
+def _near(left: np.ndarray, right: np.ndarray, place: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which pairs of postings (indices) pass the cheap bounds, cheapest first."""
+    a, b = place[left], place[right]
+    n, m = a >> 32, b >> 32
+    k, gap = np.maximum(n, m) >> 2, np.abs(n - m)
+    shift = ((a & 0xFFFFFFFF) >> 1) - ((b & 0xFFFFFFFF) >> 1)
+    keep = np.flatnonzero(np.abs(shift) + np.abs(n - m - shift) <= k)  # this bounds the gap as well
+    room = 2 * k[keep] - gap[keep]
+    apart = np.bitwise_count(bits[left[keep]] ^ bits[right[keep]]).sum(axis=1, dtype=np.int64)
+    return keep[apart <= room]
+
+
+def _pairs_of_runs(gram: np.ndarray, ids: np.ndarray, place: np.ndarray, bits: np.ndarray, within: bool) -> np.ndarray:
+    """Id pairs (other, new) of postings with an equal gram, sorted by gram with those accepted before first; one of each
+    pair is new, and both only if `within`."""
+    rank = _rank(gram)
+    fresh = (place & 1) == 0
+    start = np.arange(len(gram)) - rank
+    length = np.bincount(start, minlength=len(gram))[start]
+    known, dense = np.unique(ids, return_inverse=True)
+    out = [np.zeros(0, np.int64)]
+
+    def take(left: np.ndarray, right: np.ndarray) -> None:
+        if not within:
+            ok = ~fresh[left]
+            left, right = left[ok], right[ok]
+        hit = _near(left, right, place, bits)
+        if len(hit):
+            out.append(np.unique(dense[left[hit]] * len(known) + dense[right[hit]]))
+
+    right = np.flatnonzero(fresh & (length <= SHORT_RUN) & (rank > 0))
+    d = 1
+    while len(right):
+        take(right - d, right)
+        d += 1
+        right = right[rank[right] >= d]
+    for i in np.flatnonzero(fresh & (length > SHORT_RUN) & (rank > 0)):
+        take(np.arange(start[i], i), np.full(rank[i], i))
+    pairs = np.unique(np.concatenate(out))
+    return np.stack([known[pairs // max(1, len(known))], known[pairs % max(1, len(known))]], 1)
+
+
+def candidates(new: DataFrame, old: DataFrame | None, within: bool) -> DataFrame:
+    """Distinct pairs (id_a, id_b) of a text of `old` (or, `within`, of `new`) and one of `new` that share a prefix gram and
+    pass the cheap bounds.
+
+    With k = a quarter of the longer text: the shared gram's places leave room for k edits before and after it, which
+    bounds the lengths too; word sets differ by at most 2 k less the difference in length. Postings are brought together
+    by gram and compared as arrays; a task holds the postings of one gram at a time.
     """
-    x = a.select(*[F.col(c).alias(f"{c}_a") for c in a.columns])
-    y = b.select(*[F.col(c).alias(f"{c}_b") for c in b.columns])
-    k = F.floor(F.greatest("size_a", "size_b") / 4)
-    gap = F.abs(F.col("size_a") - F.col("size_b"))
-    before = F.abs(F.col("at_a") - F.col("at_b"))
-    after = F.abs((F.col("size_a") - F.col("at_a")) - (F.col("size_b") - F.col("at_b")))
-    apart = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(1, 4)), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
-    near = (gap <= k) & (before + after <= k) & (apart <= 2 * k - gap)
-    if within:
-        near = near & (F.col("body_a") < F.col("body_b"))
-    return x.join(y, (F.col("gram_a") == F.col("gram_b")) & near).select("body_a", "body_b").distinct()
+    both = new if old is None else new.unionByName(old.withColumn("place", F.col("place").bitwiseOR(F.lit(1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            gram = t.column("gram").to_numpy()
+            stop = len(gram) if last else int(np.searchsorted(gram, gram[-1], "left"))  # the last gram may go on
+            part = t.slice(0, stop)
+            if stop:
+                bits = np.stack([part.column(c).to_numpy() for c in SKETCH], 1).view(np.uint64)
+                found = _pairs_of_runs(gram[:stop], part.column("id").to_numpy(), part.column("place").to_numpy(), bits, within)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["id_a", "id_b"])
+            held[:] = t.slice(stop).to_batches()
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                if sum(x.num_rows for x in held) >= 200_000:
+                    yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    together = both.repartition("gram").sortWithinPartitions("gram", F.col("place").bitwiseAND(F.lit(1)).desc())
+    return together.mapInArrow(run, "id_a long, id_b long").distinct()
+
+
+def _within_quarter(a: list[str], b: list[str]) -> bool:
+    return 4 * edits(a, b) <= max(len(a), len(b))
 
 
 @F.arrow_udf(T.BooleanType())
 def near_equal(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([4 * edits(x, y) <= max(len(x), len(y)) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+    return pa.array([_within_quarter(x.split(" "), y.split(" ")) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+
+
+def _sole(column: str) -> Column:
+    """The one value of a group, null if there are several."""
+    return F.when(F.min(column) == F.max(column), F.min(column))
 
 
 def verified(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """The pairs whose bodies really are within a quarter."""
-    whole = pairs.join(a.select(F.col("body").alias("body_a"), F.col("words").alias("words_a")), "body_a").join(b.select(F.col("body").alias("body_b"), F.col("words").alias("words_b")), "body_b")
-    return whole.filter(near_equal("words_a", "words_b")).select("body_a", "body_b")
+    """The pairs whose bodies really are within a quarter, as (body_a, body_b).
+
+    Two bodies that only one and the same document has (column `document`, null for a body of several) need no look:
+    revisions of a document don't repeat each other. The pairs are settled first, so the words of these never move.
+    """
+    owner = lambda df, x: df.select(F.col("id").alias(f"id_{x}"), F.col("document").alias(f"document_{x}"))
+    side = lambda df, x: df.select(F.col("id").alias(f"id_{x}"), F.col("body").alias(f"body_{x}"), F.col("words").alias(f"words_{x}"))
+    met = materialise(pairs, "met")
+    owned = owner(a, "a").join(small_side(met), "id_a").join(owner(b, "b"), "id_b").filter(~F.coalesce(F.col("document_a") == F.col("document_b"), F.lit(False)))
+    open_pairs = materialise(owned.select("id_a", "id_b"), "open")
+    both = side(a, "a").join(small_side(open_pairs), "id_a").join(side(b, "b"), "id_b")
+    x, y = F.split("words_a", " "), F.split("words_b", " ")
+    k = F.shiftright(F.greatest(F.size(x), F.size(y)), 2)
+    likely = (F.size(F.array_except(x, y)) <= k) & (F.size(F.array_except(y, x)) <= k)  # each missing word is an edit
+    return both.filter(likely).filter(near_equal("words_a", "words_b")).select("body_a", "body_b")
 
 
 @dataclass(frozen=True)
@@ -175,9 +287,7 @@ class AcceptedIndex:
         self.spark, self.path, self.fields, self.limit = spark, (path or scratch_path(spark, "accepted")).rstrip("/"), fields, pairs_at_once
         self.parts, self.sketch, self.schemas = 0, None, {}
         if self._exists("sketch"):  # an index of an earlier session goes on
-            self.sketch = np.zeros(SKETCH_CELLS, np.int64)
-            for cell, n in spark.read.parquet(f"{self.path}/sketch").collect():  # at most SKETCH_CELLS rows
-                self.sketch[cell] = n
+            self.sketch = read_sketch(spark.read.parquet(f"{self.path}/sketch"))
             while self._exists(f"postings/part={self.parts}/_SUCCESS"):
                 self.parts += 1
             self.schemas = {n: spark.read.parquet(f"{self.path}/{n}/part=0").schema for n in ("rows", "bodies", "postings")} if self.parts else {}
@@ -191,10 +301,8 @@ class AcceptedIndex:
 
     def _append(self, name: str, df: DataFrame) -> DataFrame:
         """Writes this batch's folder as a whole; what a batch that failed left there is replaced."""
-        target = f"{self.path}/{name}/part={self.parts}"
-        df.write.mode("overwrite").parquet(target)
         self.schemas[name] = df.schema
-        return self.spark.read.schema(df.schema).parquet(target)
+        return write_once(df, f"{self.path}/{name}/part={self.parts}", "overwrite")
 
     def take(self, batch: DataFrame) -> DataFrame:
         """Takes a batch whose rows all come after those taken before; returns (uid_a, uid_b), smaller first: each row
@@ -206,11 +314,12 @@ class AcceptedIndex:
         words is near nothing. Whole repeated rows (equal uid) count once.
         """
         f = self.fields
+        digest = lambda c: F.unhex(F.md5(F.col(c).cast("string")))
         rows = batch.filter(F.col(f.uid).isNotNull()).select(
-            F.col(f.uid).alias("uid"), F.col(f.document).alias("document"), F.col(f.revision).alias("revision"), F.struct(F.col(f.at).isNull().alias("late"), F.col(f.at).alias("at"), F.col(f.uid).alias("uid")).alias("turn"), words(F.coalesce(F.col(f.body), F.lit(""))).alias("words")
+            F.col(f.uid).alias("uid"), digest(f.document).alias("document"), digest(f.revision).alias("revision"), F.struct(F.col(f.at).isNull().alias("late"), F.col(f.at).alias("at"), F.col(f.uid).alias("uid")).alias("turn"), F.array_join(words(F.coalesce(F.col(f.body), F.lit(""))), " ").alias("words")
         )
-        rows = rows.withColumn("body", F.when(F.size("words") > 0, F.unhex(F.md5(F.concat_ws(" ", "words")))))
-        whole = materialise(rows.dropDuplicates(["uid"]), "batch")
+        rows = rows.withColumn("body", F.when(F.col("words") != "", F.unhex(F.md5("words"))))
+        whole = materialise(rows, "batch")
         out = []
         while whole is not None:
             part, whole = self._next(whole)
@@ -223,53 +332,64 @@ class AcceptedIndex:
 
     def _next(self, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         """Takes `rows`, or an earlier part of them if too many would meet; its pairs, and the rows that are left."""
-        slim = rows.drop("words")
-        bodies = rows.filter("body is not null").groupBy("body").agg(F.first("words").alias("words"))
+        slim = materialise(rows.drop("words").dropDuplicates(["uid"]), "slim")
+        number = F.monotonically_increasing_id() + F.lit(self.parts).cast("long") * (1 << 48)
+        bodies = materialise(rows.filter("body is not null").groupBy("body").agg(F.first("words").alias("words"), _sole("document").alias("document")).withColumn("id", number), "bodies")
+        coded = bodies.select("id", codes(F.split("words", " ")).alias("codes"))
         if self.sketch is None:
-            self.sketch = frequency_sketch(bodies)
-            cells = [(int(i), int(self.sketch[i])) for i in np.flatnonzero(self.sketch)]
-            self.spark.createDataFrame(cells, "cell int, n long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/sketch")
-        bodies = materialise(bodies, "bodies")
-        marks = materialise(postings(bodies, self.sketch), "postings")
-
-        # against all that is accepted
-        if self.parts:
-            near = verified(candidates(marks, self._stored("postings"), False), bodies, self._stored("bodies"))
-            old = materialise(self._repeats(slim, self._stored("rows"), near), "old")
-            unsettled = slim.join(old.select("uid").distinct(), "uid", "left_anti")
+            frequency_sketch(coded).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/sketch")
+            self.sketch = read_sketch(self.spark.read.parquet(f"{self.path}/sketch"))
+        marks = materialise(postings(coded, self.sketch), "postings")
+        old_marks, old_bodies = (self._stored("postings"), self._stored("bodies")) if self.parts else (None, None)
+        own = ["id", "body", "words", "document"]
+
+        # One pass over old and new where few new ones meet; else the old ones first, so that what repeats them is out.
+        firsts = materialise(self._first_rows(slim), "firsts")
+        share = self._share(marks, firsts)
+        if share == 1:
+            known = bodies if old_bodies is None else bodies.select(*own).unionByName(old_bodies.select(*own))
+            near = verified(candidates(marks, old_marks, True), known, bodies)
+            near = materialise(near.unionByName(near.select(F.col("body_b").alias("body_a"), F.col("body_a").alias("body_b"))), "near")
+            old = materialise(self._repeats(slim, self._stored("rows"), near), "old") if self.parts else None
+            settled_bodies = None
         else:
-            old, unsettled = None, slim
-
-        # within the batch, among rows that repeat nothing yet
-        firsts = unsettled.groupBy("revision", "document", "body", F.when(F.col("revision").isNull(), F.col("uid"))).agg(F.min("turn").alias("turn"))
-        firsts = materialise(firsts.select(F.col("turn.uid").alias("uid"), "revision", "document", "body", "turn"), "firsts")
-        live, living = marks, None
-        if old is not None:
-            living = materialise(firsts.filter("body is not null").select("body").distinct(), "living")
-            live = materialise(marks.join(small_side(living), "body", "left_semi"), "live")
-        share = self._share(live, firsts)
-        if share < 1:
-            cut = rows.select(F.percentile_approx(F.unix_micros("turn.at"), F.lit(share), F.lit(10_000))).first()[0]
-            early = F.coalesce(F.unix_micros("turn.at") <= cut, F.lit(False))
-            head, tail = materialise(rows.filter(early), "head"), materialise(rows.filter(~early), "tail")
-            if not tail.isEmpty() and not head.isEmpty():
-                pairs, more = self._next(head)
-                return pairs, tail if more is None else materialise(more.unionByName(tail), "rest")
-        same = verified(candidates(live, live, True), bodies, bodies)
-        both = materialise(same.unionByName(same.select(F.col("body_b").alias("body_a"), F.col("body_a").alias("body_b"))), "near")
-        accepted = self._append("rows", self._settle(firsts, both))
-
-        # all rows against what the batch added; bodies among themselves are known already
-        new_bodies = accepted.filter("body is not null").select("body").distinct()
-        stored_bodies = self._append("bodies", bodies.join(new_bodies, "body", "left_semi"))
-        stored_marks = self._append("postings", marks.join(new_bodies, "body", "left_semi").repartition("gram"))
-        near = both
-        if old is not None:
-            near = near.unionByName(verified(candidates(marks.join(small_side(living), "body", "left_anti"), stored_marks, False), bodies, stored_bodies))
+            near = old = None
+            if self.parts:
+                found = verified(candidates(marks, old_marks, False), old_bodies, bodies)
+                old = materialise(self._repeats(slim, self._stored("rows"), found.select(F.col("body_b").alias("body_a"), F.col("body_a").alias("body_b"))), "old")
+                firsts = materialise(self._first_rows(slim.join(old.select("uid").distinct(), "uid", "left_anti")), "firsts")
+            living = materialise(firsts.filter("body is not null").select("body").distinct().join(bodies.select("body", "id"), "body"), "living")
+            live = materialise(marks.join(small_side(living.select("id")), "id", "left_semi"), "live")
+            share = self._share(live, firsts)
+            if share < 1:
+                cut = rows.select(F.percentile_approx(F.unix_micros("turn.at"), F.lit(share), F.lit(10_000))).first()[0]
+                early = F.coalesce(F.unix_micros("turn.at") <= cut, F.lit(False))
+                head, tail = materialise(rows.filter(early), "head"), materialise(rows.filter(~early), "tail")
+                if not tail.isEmpty() and not head.isEmpty():
+                    pairs, more = self._next(head)
+                    return pairs, tail if more is None else materialise(more.unionByName(tail), "rest")
+            near = verified(candidates(live, None, True), bodies, bodies)
+            near = materialise(near.unionByName(near.select(F.col("body_b").alias("body_a"), F.col("body_a").alias("body_b"))), "near")
+            settled_bodies = marks.join(small_side(living.select("id")), "id", "left_anti")
+
+        unsettled = firsts if old is None else firsts.join(old.select("uid").distinct(), "uid", "left_anti")
+        accepted = self._append("rows", self._settle(unsettled, near))
+        added = bodies.join(small_side(accepted.filter("body is not null").select("body")), "body", "left_semi").select(*own)
+        added = self._append("bodies", added)
+        added_marks = self._append("postings", marks.join(small_side(added.select("id")), "id", "left_semi"))
+        if settled_bodies is not None:  # what repeats older rows may repeat new ones as well
+            more = verified(candidates(settled_bodies, added_marks, False), added, bodies)
+            near = near.unionByName(more.select(F.col("body_b").alias("body_a"), F.col("body_a").alias("body_b")))
         new = materialise(self._repeats(slim, accepted, near), "new")
         self.parts += 1
         return (new if old is None else old.unionByName(new)).select("uid", "uid_b"), None
 
+    @staticmethod
+    def _first_rows(rows: DataFrame) -> DataFrame:
+        """The first row of each revision, document and body: no later one of them can be accepted."""
+        firsts = rows.groupBy("revision", "document", "body", F.when(F.col("revision").isNull(), F.col("uid"))).agg(F.min("turn").alias("turn"))
+        return firsts.select(F.col("turn.uid").alias("uid"), "revision", "document", "body", "turn")
+
     @staticmethod
     def _repeats(rows: DataFrame, accepted: DataFrame, near: DataFrame) -> DataFrame:
         """uid, uid_b: each row with the accepted rows before it that it repeats. `near`: body_a of rows, body_b of accepted

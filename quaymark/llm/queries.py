@@ -12,7 +12,7 @@ from quaymark.llm.tokens import encode_corpus
 from quaymark.sources.tables import table
 
 #: Days are handed to the index in this many calls of about equal rows; where they are cut makes no difference.
-CALLS = 3
+CALLS = 2
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
