@@ -80,9 +80,9 @@ def two_sided_tails(df: DataFrame, group: str, uid: str, value: str) -> DataFram
                 continue
             at = lambda k: v[k if k < i else k + 1]  # the k-th of the others  # noqa: B023, E731
             middle = float((at((m - 1) // 2) + at(m // 2)) / 2)
-            away = abs(x - middle)
-            extreme = int(np.searchsorted(v, middle - away, "right") + n - np.searchsorted(v, middle + away, "left")) if away else n
-            out.append((middle, (1 + min(m, extreme - 1)) / (1 + m)))
+            away = abs(x - middle) - 1e-12  # what differs by rounding only is as extreme
+            extreme = int(np.searchsorted(v, middle - away, "right") + n - np.searchsorted(v, middle + away, "left")) if away > 0 else n
+            out.append((middle, extreme / (1 + m)))
         return pd.DataFrame({group: pdf[group], uid: pdf[uid], "loo_median": [o[0] for o in out], "tail": [o[1] for o in out]})
 
     rows = df.filter(F.col(value).isNotNull()).select(group, uid, F.col(value).cast("double").alias(value))
