@@ -255,13 +255,13 @@ def verified(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     revisions of a document don't repeat each other. The pairs are settled first, so the words of these never move.
     """
     owner = lambda df, x: df.select(F.col("id").alias(f"id_{x}"), F.col("document").alias(f"document_{x}"))
-    side = lambda df, x: df.select(F.col("id").alias(f"id_{x}"), F.col("body").alias(f"body_{x}"), F.col("words").alias(f"words_{x}"))
+    side = lambda df, x: df.select(F.col("id").alias(f"id_{x}"), F.col("body").alias(f"body_{x}"), F.col("words").alias(f"words_{x}"), F.col("size").alias(f"size_{x}"))
     met = materialise(pairs, "met")
     owned = owner(a, "a").join(small_side(met), "id_a").join(owner(b, "b"), "id_b").filter(~F.coalesce(F.col("document_a") == F.col("document_b"), F.lit(False)))
     open_pairs = materialise(owned.select("id_a", "id_b"), "open")
     both = side(a, "a").join(small_side(open_pairs), "id_a").join(side(b, "b"), "id_b")
     x, y = F.split("words_a", " "), F.split("words_b", " ")
-    k = F.shiftright(F.greatest(F.size(x), F.size(y)), 2)
+    k = F.shiftright(F.greatest("size_a", "size_b"), 2)
     likely = (F.size(F.array_except(x, y)) <= k) & (F.size(F.array_except(y, x)) <= k)  # each missing word is an edit
     return both.filter(likely).filter(near_equal("words_a", "words_b")).select("body_a", "body_b")
 
@@ -334,14 +334,14 @@ class AcceptedIndex:
         """Takes `rows`, or an earlier part of them if too many would meet; its pairs, and the rows that are left."""
         slim = materialise(rows.drop("words").dropDuplicates(["uid"]), "slim")
         number = F.monotonically_increasing_id() + F.lit(self.parts).cast("long") * (1 << 48)
-        bodies = materialise(rows.filter("body is not null").groupBy("body").agg(F.first("words").alias("words"), _sole("document").alias("document")).withColumn("id", number), "bodies")
+        bodies = materialise(rows.filter("body is not null").groupBy("body").agg(F.first("words").alias("words"), _sole("document").alias("document")).withColumn("id", number).withColumn("size", F.size(F.split("words", " "))), "bodies")
         coded = bodies.select("id", codes(F.split("words", " ")).alias("codes"))
         if self.sketch is None:
             frequency_sketch(coded).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/sketch")
             self.sketch = read_sketch(self.spark.read.parquet(f"{self.path}/sketch"))
         marks = materialise(postings(coded, self.sketch), "postings")
         old_marks, old_bodies = (self._stored("postings"), self._stored("bodies")) if self.parts else (None, None)
-        own = ["id", "body", "words", "document"]
+        own = ["id", "body", "words", "document", "size"]
 
         # One pass over old and new where few new ones meet; else the old ones first, so that what repeats them is out.
         firsts = materialise(self._first_rows(slim), "firsts")
@@ -406,11 +406,17 @@ class AcceptedIndex:
     def _share(self, marks: DataFrame, firsts: DataFrame) -> float:
         """1, or the share of the batch whose pairs stay below the limit: postings of one gram, rows of one body or
         revision meet each other, and those meetings grow with the square."""
-        met = None
-        for df, key in ((marks, "gram"), (firsts, "body"), (firsts, "revision")):
-            one = df.groupBy(key).count().agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("n"))
-            met = one if met is None else met.unionByName(one)
-        n = met.agg(F.sum("n")).first()[0] or 0
+        def meetings(counted: list[tuple[DataFrame, Column]]) -> float:
+            met = None
+            for df, key in counted:
+                one = df.groupBy(key.alias("key")).count().agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("n"))
+                met = one if met is None else met.unionByName(one)
+            return met.agg(F.sum("n")).first()[0] or 0
+
+        rows = [(firsts, F.col("body")), (firsts, F.col("revision"))]
+        if meetings([(marks, F.pmod("gram", F.lit(1 << 16))), *rows]) <= self.limit:  # grams put together meet more, never less
+            return 1.0
+        n = meetings([(marks, F.col("gram")), *rows])
         return 1.0 if n <= self.limit else math.sqrt(self.limit / n)
 
     def _settle(self, firsts: DataFrame, near: DataFrame) -> DataFrame:
