@@ -38,16 +38,31 @@ def extreme_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], last:
     return df.groupBy(*keys).agg(best).select(*keys, "__row.*").select(*df.columns)
 
 
+def _fresh(df: DataFrame, at: str, seen: str, payload: Sequence[str], max_age: int) -> DataFrame:
+    """`payload` and `seen` as null where they are older than `max_age` seconds at `at`."""
+    fresh = F.unix_micros(at) - F.unix_micros(seen) <= max_age * 1_000_000
+    return df.withColumns({c: F.when(fresh, F.col(c)) for c in [*payload, seen]})
+
+
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, payload: Sequence[str], max_age: int | None = None, within_partition: Sequence[str] = ()) -> DataFrame:
     """Each left row with the `payload` of the last right row of its keys at or before its time; older than `max_age`
-    seconds counts as none. One union, one shuffle, one sort: no pair of rows is ever formed."""
+    seconds counts as none. One union, one shuffle, one sort: no pair of rows is ever formed. With `max_age` the time line is
+    cut into slices of twenty times that age; what may still be known in the next slice is copied there, so that no task
+    sorts a whole key."""
+    if max_age is not None:
+        width = 20 * max(max_age, 1) * 1_000_000
+        at = F.floor(F.unix_micros(right_at) / width)
+        reach = F.floor((F.unix_micros(right_at) + max_age * 1_000_000) / width)
+        left = left.withColumn("__slice", F.floor(F.unix_micros(left_at) / width))
+        right = right.withColumn("__slice", F.explode(F.sequence(at, reach)))
+        return asof_join(left, right, [*keys, "__slice"], left_at, right_at, payload).transform(_fresh, left_at, f"{right_at}_right" if right_at in left.columns else right_at, [c if c not in left.columns else f"{c}_right" for c in payload], max_age).drop("__slice")
     packed = F.struct(F.col(right_at).alias("__t"), *[F.col(c) for c in payload])
     events = left.select(*keys, F.col(left_at).alias("__at"), F.lit(1).alias("__side"), F.struct(*[F.col(c) for c in left.columns]).alias("__left"), F.lit(None).cast(right.select(packed).schema[0].dataType).alias("__right"))
     facts = right.select(*keys, F.col(right_at).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(events.schema["__left"].dataType).alias("__left"), packed.alias("__right"))
     upto = Window.partitionBy(*keys).orderBy("__at", "__side", F.col("__right")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = events.unionByName(facts).withColumn("__last", F.last("__right", ignorenulls=True).over(upto)).filter("__side = 1")
     age = F.unix_micros("__at") - F.unix_micros("__last.__t")
-    fresh = age.isNotNull() if max_age is None else age <= max_age * 1_000_000
+    fresh = age.isNotNull()
     return joined.select("__left.*", *[F.when(fresh, F.col(f"__last.{c}")).alias(c if c not in left.columns else f"{c}_right") for c in payload], F.when(fresh, F.col("__last.__t")).alias(f"{right_at}_right" if right_at in left.columns else right_at))
 
 

@@ -199,7 +199,7 @@ def jn03(spark: SparkSession, folder: str) -> DataFrame:
 @query("jn04_book_as_of", with_(EFILLS, BOOKS) + ", j AS (SELECT f.fill_uid, f.event_time, b.snapshot_uid, b.event_time AS t FROM (SELECT * FROM efills WHERE market_uid = 'ev:view') f LEFT JOIN (SELECT market_uid, event_time, max(snapshot_uid) AS snapshot_uid FROM books GROUP BY ALL) b ON b.market_uid = f.market_uid AND b.event_time = (SELECT max(event_time) FROM books x WHERE x.market_uid = f.market_uid AND x.event_time <= f.event_time - INTERVAL 1 SECOND)) SELECT fill_uid, CASE WHEN event_time - INTERVAL 1 SECOND - t <= INTERVAL 10 MINUTE THEN snapshot_uid END AS snapshot_uid FROM j")
 def jn04(spark: SparkSession, folder: str) -> DataFrame:
     """The last book at or before a second ahead of the fill, unless older than ten minutes."""
-    trades = event_fills(spark, folder).filter("market_uid = 'ev:view'").select("fill_uid", "market_uid", F.timestamp_micros(F.unix_micros("event_time") - 1_000_000).alias("before"))
+    trades = event_fills(spark, folder).select("fill_uid", "market_uid", F.timestamp_micros(F.unix_micros("event_time") - 1_000_000).alias("before"))
     return asof_join(trades, books(spark, folder), ["market_uid"], "before", "event_time", ["snapshot_uid"], 600).select("fill_uid", "snapshot_uid")
 
 

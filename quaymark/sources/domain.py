@@ -34,12 +34,11 @@ def event_fills(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def books(spark: SparkSession, folder: str) -> DataFrame:
-    """Two-level order books around the price, of view events."""
+    """Two-level order books around the price, one an event."""
     def levels(sign: int):
         return F.array(*[F.struct(F.round(F.col("price") + sign * 0.01 * i, 6).alias("price"), (F.col("event_id") % (10 * i) + i).cast("double").alias("size")) for i in (1, 2)])
 
-    base = _event_base(spark, folder).filter("market_uid = 'ev:view'")
-    return base.select(F.concat(F.lit("ev:book-"), F.col("event_id")).alias("snapshot_uid"), "market_uid", "outcome_uid", levels(-1).alias("bids"), levels(1).alias("asks"), "event_time", "ingested_at")
+    return _event_base(spark, folder).select(F.concat(F.lit("ev:book-"), F.col("event_id")).alias("snapshot_uid"), "market_uid", "outcome_uid", levels(-1).alias("bids"), levels(1).alias("asks"), "event_time", "ingested_at")
 
 
 def fills(spark: SparkSession, folder: str) -> DataFrame:
