@@ -63,31 +63,27 @@ def upper_tail(df: DataFrame, feature: str, by: Sequence[str] = ()) -> Column:
 
 
 def two_sided_tails(df: DataFrame, group: str, uid: str, value: str) -> DataFrame:
-    """Leave-one-out two-sided tail around the leave-one-out median, per group: sorted once, both from array positions.
-
-    A group is one peer cohort; the rows beyond a task's memory would have to be cut by cohort first.
-    """
+    """Leave-one-out two-sided tail around the leave-one-out median, per group. Rows of equal value have equal results, so
+    rows are first counted per value; positions come from the cumulative counts, and a group holds its distinct values."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(pdf[value].to_numpy(float))
-        n = len(v)
-        out = []
-        for x in pdf[value].to_numpy(float):
-            i = int(np.searchsorted(v, x))
-            m = n - 1
-            if not m:
-                out.append((None, None))
-                continue
-            at = lambda k: v[k if k < i else k + 1]  # the k-th of the others  # noqa: B023, E731
-            middle = float((at((m - 1) // 2) + at(m // 2)) / 2)
-            away = abs(x - middle) - 1e-12  # what differs by rounding only is as extreme
-            extreme = int(np.searchsorted(v, middle - away, "right") + n - np.searchsorted(v, middle + away, "left")) if away > 0 else n
-            out.append((middle, extreme / (1 + m)))
-        return pd.DataFrame({group: pdf[group], uid: pdf[uid], "loo_median": [o[0] for o in out], "tail": [o[1] for o in out]})
+        pdf = pdf.sort_values(value)
+        v, upto = pdf[value].to_numpy(float), np.cumsum(pdf["__n"].to_numpy())
+        n, none = int(upto[-1]), np.full(len(v), np.nan)
+        m, below = n - 1, np.concatenate([[0], upto])
+        if not m:
+            return pd.DataFrame({group: pdf[group], value: v, "loo_median": none, "tail": none})
+        at = lambda k: v[np.searchsorted(upto, np.where(k < below[:-1], k, k + 1), "right")]  # the k-th of the others
+        middle = (at((m - 1) // 2) + at(m // 2)) / 2
+        away = np.abs(v - middle) - 1e-12  # what differs by rounding only is as extreme
+        extreme = below[np.searchsorted(v, middle - away, "right")] + n - below[np.searchsorted(v, middle + away, "left")]
+        return pd.DataFrame({group: pdf[group], value: v, "loo_median": middle, "tail": np.where(away > 0, extreme, n) / n})
 
     rows = df.filter(F.col(value).isNotNull()).select(group, uid, F.col(value).cast("double").alias(value))
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {uid} {kinds[uid]}, loo_median double, tail double")
+    counts = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("__n"))
+    tails = counts.groupBy(group).applyInPandas(run, f"{group} {dict(rows.dtypes)[group]}, {value} double, loo_median double, tail double")
+    both = rows.alias("r").join(tails.alias("t"), F.col(f"r.{group}").eqNullSafe(F.col(f"t.{group}")) & (F.col(f"r.{value}") == F.col(f"t.{value}")))
+    return both.select(f"r.{group}", f"r.{uid}", "loo_median", "tail")
 
 
 def composite(surprises: Column, top: int = 5, least: int = 6, clip: float = 6.0) -> Column:

@@ -82,7 +82,7 @@ _TWO = "t AS (SELECT market_uid, fill_uid, CAST(price AS DOUBLE) AS v FROM f), l
 
 @query("win14_two_sided_tail", with_(FILLS, _TWO.replace("FROM f)", "FROM f WHERE actor_uid IS NULL)")) + "SELECT l.fill_uid, round(l.m, 6) AS loo_median, round((1 + count(*) FILTER (abs(b.v - l.m) >= abs(l.v - l.m) - 1e-12)) / (1 + count(*)), 6) AS tail FROM l JOIN t b ON l.market_uid = b.market_uid AND l.fill_uid <> b.fill_uid GROUP BY l.fill_uid, l.m")
 def win14(spark: SparkSession, folder: str) -> DataFrame:
-    rows = fills(spark, folder).filter("actor_uid is null").select("market_uid", "fill_uid", F.col("price").cast("double").alias("v"))
+    rows = fills(spark, folder).select("market_uid", "fill_uid", F.col("price").cast("double").alias("v"))
     return two_sided_tails(rows, "market_uid", "fill_uid", "v").filter("tail is not null").select("fill_uid", r6("loo_median"), r6("tail"))
 
 

@@ -1,9 +1,13 @@
 """Queries over all rows: no part of the tables is left out."""
 
+import random
+from statistics import median
+
 import pytest
 
 import __spark_entry__ as entry
 from oracle import connect, difference
+from quaymark.operators.actors import two_sided_tails
 from quaymark.operators.asof import asof_join
 from quaymark.plans.relations_sql import EFILLS, with_
 from quaymark.sources.domain import books
@@ -38,3 +42,20 @@ def test_asof_join_across_slices(spark):
     got = {(r["k"], r["s"]): r["v"] for r in asof_join(left, right, ["k"], "at", "t", ["v"], 600).collect()}
     best = lambda k, s: max(((u, v) for q, u, v in facts if q == k and u <= s), default=(None, None))
     assert got == {(k, s): v if u is not None and s - u <= 600 else None for k in "ab" for s in at for u, v in [best(k, s)]}
+
+
+def test_win14_covers_every_fill(spark, con, tiny):
+    sql = entry.oracle_sql()["win14_two_sided_tail"].replace(" WHERE actor_uid IS NULL", "")
+    assert difference(spark, con, entry.queries()["win14_two_sided_tail"], sql, tiny) == ""
+
+
+def test_two_sided_tails_by_brute_force(spark):
+    dice = random.Random(5)
+    rows = [(g, f"{g}{i}", dice.randint(0, sides) / 8) for g, n, sides in (("a", 41, 6), ("b", 40, 1), ("c", 37, 999), ("d", 2, 3), ("e", 1, 1)) for i in range(n)]
+    got = {r["u"]: (r["loo_median"], r["tail"]) for r in two_sided_tails(spark.createDataFrame(rows, "g string, u string, v double"), "g", "u", "v").collect()}
+    want = {}
+    for g, u, v in rows:
+        others = [x for h, w, x in rows if h == g and w != u]
+        middle = median(others) if others else None
+        want[u] = (middle, (1 + sum(abs(x - middle) >= abs(v - middle) - 1e-12 for x in others)) / (1 + len(others))) if others else (None, None)
+    assert got == want
