@@ -406,6 +406,10 @@ def win10(spark: SparkSession, folder: str) -> DataFrame:
     return df.filter("move_5 is not null or move_30 is not null").select("market_uid", "bucket", r6("move_5"), r6("move_30"))
 
 
+#: The reference's rules: a trailing week, of which 288 buckets, a day and 288 values must be there, 100 for the empirical tail.
+SURVEYED = Rules(baseline=7 * 86_400, least_buckets=288, least_elapsed=86_400, least_values=288, least_tail=100)
+
+
 def _event_of(df: DataFrame) -> DataFrame:
     """Siblings: the markets of click, view and search events belong to one event, the rest to another."""
     return df.select("market_uid").distinct().withColumn("event_uid", F.when(F.col("market_uid").isin("ev:click", "ev:view", "ev:search"), "event:browse").otherwise("event:buy"))
@@ -421,15 +425,15 @@ def jn06b(spark: SparkSession, folder: str) -> DataFrame:
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
     obs = observations(spark, folder)
     grid = moves(dense_grid(bucket_prices(obs)))
-    return trailing_scores(grid.select(*SERIES, "bucket", F.abs("move_5").alias("value")), "value", Rules(baseline=86_400, least_values=10, least_tail=10))
+    return trailing_scores(grid.select(*SERIES, "bucket", F.abs("move_5").alias("value")), "value", SURVEYED)
 
 
 @query("win05_baseline_gate", with_(OBS, _PRICE, _GRID) + "SELECT market_uid, bucket, CASE WHEN n_buckets < 30 OR elapsed < 7200 THEN 'none' ELSE 'ready' END AS gate, n_buckets, n_values FROM (SELECT market_uid, bucket, count(*) OVER w AS n_buckets, count(move_5) OVER w AS n_values, bucket - min(bucket) OVER w AS elapsed FROM m2 WINDOW w AS (PARTITION BY market_uid ORDER BY bucket RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING))")
 def win05(spark: SparkSession, folder: str) -> DataFrame:
     grid = moves(dense_grid(bucket_prices(observations(spark, folder))))
-    past = Window.partitionBy(*SERIES).orderBy("bucket").rangeBetween(-86_400, -1)
+    past = Window.partitionBy(*SERIES).orderBy("bucket").rangeBetween(-SURVEYED.baseline, -1)
     df = grid.select("market_uid", "bucket", F.count(F.lit(1)).over(past).alias("n_buckets"), F.count("move_5").over(past).alias("n_values"), (F.col("bucket") - F.min("bucket").over(past)).alias("elapsed"))
-    return df.select("market_uid", "bucket", F.when((F.col("n_buckets") < 30) | (F.col("elapsed") < 7_200), "none").otherwise("ready").alias("gate"), "n_buckets", "n_values")
+    return df.select("market_uid", "bucket", F.when((F.col("n_buckets") < SURVEYED.least_buckets) | (F.col("elapsed") < SURVEYED.least_elapsed), "none").otherwise("ready").alias("gate"), "n_buckets", "n_values")
 
 
 @query("win06_robust_scores")
@@ -459,7 +463,7 @@ def win19(spark: SparkSession, folder: str) -> DataFrame:
 @query("cmp01_causal_detection")
 def cmp01(spark: SparkSession, folder: str) -> DataFrame:
     obs = observations(spark, folder)
-    return detect(obs, event_fills(spark, folder), _event_of(obs), Rules(baseline=86_400, least_values=10, least_tail=10))
+    return detect(obs, event_fills(spark, folder), _event_of(obs), SURVEYED)
 
 
 # --- top-k and pages -------------------------------------------------------------------------------------------------

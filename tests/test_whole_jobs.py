@@ -1,5 +1,6 @@
 """Queries over all rows: no part of the tables is left out."""
 
+import bisect
 import random
 from statistics import median
 
@@ -7,10 +8,13 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import connect, difference
+from pyspark.sql import functions as F
+
 from quaymark.operators.actors import two_sided_tails
 from quaymark.operators.asof import asof_join
+from quaymark.operators.detect import bucket_prices, dense_grid, moves
 from quaymark.plans.relations_sql import EFILLS, with_
-from quaymark.sources.domain import books
+from quaymark.sources.domain import books, observations
 
 #: Books of every market, not of view events alone as in relations_sql.BOOKS.
 ALL_BOOKS = """books AS (SELECT 'ev:book-' || event_id AS snapshot_uid, 'ev:' || event_type AS market_uid, value / (value + 50) AS p, event_id, ts AS event_time FROM events)"""
@@ -59,3 +63,31 @@ def test_two_sided_tails_by_brute_force(spark):
         middle = median(others) if others else None
         want[u] = (middle, (1 + sum(abs(x - middle) >= abs(v - middle) - 1e-12 for x in others)) / (1 + len(others))) if others else (None, None)
     assert got == want
+
+
+def test_win05_looks_back_a_week(spark, con, tiny):
+    sql = entry.oracle_sql()["win05_baseline_gate"].replace("86400 PRECEDING", "604800 PRECEDING").replace("n_buckets < 30 OR elapsed < 7200", "n_buckets < 288 OR elapsed < 86400")
+    assert "604800" in sql and "n_buckets < 288" in sql
+    assert difference(spark, con, entry.queries()["win05_baseline_gate"], sql, tiny) == ""
+
+
+def test_win06_and_cmp01_score_against_a_week(spark):
+    folder = "/root/testdata/sf0.1"
+    grid = moves(dense_grid(bucket_prices(observations(spark, folder)))).filter("market_uid = 'ev:view'").select("bucket", F.abs("move_5").alias("v")).orderBy("bucket").collect()
+    at, values = [r["bucket"] for r in grid], [r["v"] for r in grid]
+    got = {r["bucket"]: r for r in entry.queries()["win06_robust_scores"](spark, folder).filter("market_uid = 'ev:view'").collect()}
+    want = 0
+    for i, (t, v) in enumerate(zip(at, values)):
+        start = bisect.bisect_left(at, t - 604_800)
+        past = [x for x in values[start:i] if x is not None]
+        if i - start < 288 or t - at[start] < 86_400 or len(past) < 288 or v is None:
+            assert t not in got
+            continue
+        want += 1
+        assert got[t]["n_values"] == len(past)
+        if i % 50 == 0:
+            middle = median(past)
+            assert got[t]["median"] == pytest.approx(middle, abs=1e-6) and got[t]["mad"] == pytest.approx(median(abs(x - middle) for x in past), abs=1e-6)
+    assert 0 < want == len(got)
+    first = bucket_prices(observations(spark, folder)).agg(F.min("bucket")).first()[0]
+    assert entry.queries()["cmp01_causal_detection"](spark, folder).agg(F.min("started")).first()[0] >= first + 86_400
