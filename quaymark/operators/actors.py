@@ -103,16 +103,33 @@ def mid_rank(score: str, by: Sequence[str] = ()) -> dict[str, Column]:
     return {"percentile": (less + (same - 1) / 2 + 0.5) / n, "rank": rank, "tie_group": F.dense_rank().over(down), "ties": same}
 
 
-def nearest(df: DataFrame, uid: str, features: Sequence[str], candidates: DataFrame, k: int, group: str) -> DataFrame:
-    """The `k` nearest peers of each candidate within its group by Euclid over `features` scaled by their deviation.
-    Candidates are few and must be broadcast within a checked size; peers are met group by group."""
-    scale = df.select(*[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"s_{c}") for c in features])
-    peers = df.select(F.col(uid).alias("peer"), F.col(group), *[F.col(c).alias(f"p_{c}") for c in features])
-    pairs = candidates.select(uid, group, *features).join(peers, group).filter(F.col("peer") != F.col(uid))
-    spread = {c: scale.select(f"s_{c}").scalar() for c in features}
-    distance = F.sqrt(sum((F.pow((F.col(c) - F.col(f"p_{c}")) / spread[c], F.lit(2.0)) for c in features[1:]), F.pow((F.col(features[0]) - F.col(f"p_{features[0]}")) / spread[features[0]], F.lit(2.0))))
-    place = F.row_number().over(Window.partitionBy(uid).orderBy("distance", "peer"))
-    return pairs.withColumn("distance", distance).withColumn("place", place).filter(F.col("place") <= k).select(uid, "peer", "distance", "place")
+def nearest(df: DataFrame, uid: str, features: Sequence[str], k: int, group: str, furthest: float) -> DataFrame:
+    """The `k` nearest peers of every row within its group by Euclid over `features` scaled by their deviation; ties by uid.
+    reason is null with support, else nuisance_peer_support_insufficient (fewer than `k` peers; one row even without any)
+    or nuisance_support_ood (the k-th lies beyond `furthest`).
+
+    Rows of equal features have equal distances: distinct points are paired, each standing for its first k + 1 uids, and
+    the k + 1 nearest of a point hold the `k` nearest of each of its rows. Rows are never paired."""
+    spread = df.select(*[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(c) for c in features]).first()
+    place = F.row_number().over(Window.partitionBy(group, *features).orderBy(uid))
+    points = df.select(uid, group, *features).withColumn("__place", place).filter(F.col("__place") <= k + 1).groupBy(group, *features).agg(F.collect_list(uid).alias("__uids"))
+    peers = points.select(group, F.col("__uids").alias("__peers"), *[F.col(c).alias(f"p_{c}") for c in features])
+    distance = F.sqrt(sum((F.pow((F.col(c) - F.col(f"p_{c}")) / spread[c], F.lit(2.0)) for c in features), F.lit(0.0)))
+    point = Window.partitionBy(group, *features)
+    pairs = points.drop("__uids").join(peers, group).select(group, *features, distance.alias("distance"), "__peers")
+    upto = F.sum(F.size("__peers")).over(point.orderBy("distance").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    same = F.sum(F.size("__peers")).over(Window.partitionBy(group, *features, "distance"))
+    close = pairs.withColumn("__closer", upto - same).filter(F.col("__closer") <= k)
+    near = close.select(group, *features, "distance", F.explode("__peers").alias("peer"))
+    near = near.withColumn("__place", F.row_number().over(point.orderBy("distance", "peer"))).filter(F.col("__place") <= k + 1).drop("__place")
+    a, b = df.select(uid, group, *features).alias("a"), near.alias("b")
+    on = F.col(f"a.{uid}") != F.col("b.peer")
+    for c in [group, *features]:
+        on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    own = Window.partitionBy(uid)
+    met = a.join(b, on, "left").select(f"a.{uid}", "b.peer", "b.distance").withColumn("place", F.row_number().over(own.orderBy("distance", "peer"))).filter(F.col("place") <= k)
+    reason = F.when(F.count("peer").over(own) < k, "nuisance_peer_support_insufficient").when(F.max("distance").over(own) > furthest, "nuisance_support_ood")
+    return met.select(uid, "peer", "distance", F.when(F.col("peer").isNotNull(), F.col("place")).alias("place"), reason.alias("reason"))
 
 
 def enroll(top: DataFrame, registered: DataFrame, now: Column, cooldown: int) -> DataFrame:

@@ -126,8 +126,7 @@ def win18(spark: SparkSession, folder: str) -> DataFrame:
 @query("jn13_nearest_peers", with_(FILLS, _AF, "n AS (SELECT actor_uid, CASE WHEN markets > 3 THEN 'wide' ELSE 'narrow' END AS style, CAST(fills AS DOUBLE) AS x, CAST(markets AS DOUBLE) AS y FROM af), sd AS (SELECT stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM n), ca AS (SELECT * FROM n ORDER BY actor_uid LIMIT 5), d AS (SELECT ca.actor_uid, n.actor_uid AS peer, sqrt(pow((ca.x - n.x) / sx, 2) + pow((ca.y - n.y) / sy, 2)) AS distance FROM ca JOIN n ON ca.style = n.style AND ca.actor_uid <> n.actor_uid, sd)") + "SELECT actor_uid, round(distance, 6) AS distance, place FROM (SELECT *, row_number() OVER (PARTITION BY actor_uid ORDER BY distance, peer) AS place FROM d) WHERE place <= 5")
 def jn13(spark: SparkSession, folder: str) -> DataFrame:
     rows = actor_features(fills(spark, folder)).select("actor_uid", F.when(F.col("markets") > 3, "wide").otherwise("narrow").alias("style"), F.col("fills").cast("double").alias("x"), F.col("markets").cast("double").alias("y"))
-    few = F.broadcast(rows.orderBy("actor_uid").limit(5))  # five candidates: a fixed bound
-    return nearest(rows, "actor_uid", ["x", "y"], few, 5, "style").select("actor_uid", r6("distance"), F.col("place").cast("long").alias("place"))
+    return nearest(rows, "actor_uid", ["x", "y"], 20, "style", 4.0).select("actor_uid", r6("distance"), F.col("place").cast("long").alias("place"), "reason")
 
 
 @query("cmp07_dual_clock_replay", with_(FILLS) + "SELECT actor_uid, count(*) FILTER (event_time <= TIMESTAMP '2024-03-10') AS retrospective, count(*) FILTER (event_time <= TIMESTAMP '2024-03-10' AND ingested_at <= TIMESTAMP '2024-03-10') AS prospective FROM f WHERE actor_uid IS NOT NULL GROUP BY actor_uid")

@@ -1,8 +1,9 @@
 """Queries over all rows: no part of the tables is left out."""
 
 import bisect
+import math
 import random
-from statistics import median
+from statistics import median, pstdev
 
 import pytest
 
@@ -10,7 +11,7 @@ import __spark_entry__ as entry
 from oracle import connect, difference
 from pyspark.sql import functions as F
 
-from quaymark.operators.actors import two_sided_tails
+from quaymark.operators.actors import nearest, two_sided_tails
 from quaymark.operators.asof import asof_join
 from quaymark.operators.detect import bucket_prices, dense_grid, moves
 from quaymark.plans.relations_sql import EFILLS, with_
@@ -91,3 +92,28 @@ def test_win06_and_cmp01_score_against_a_week(spark):
     assert 0 < want == len(got)
     first = bucket_prices(observations(spark, folder)).agg(F.min("bucket")).first()[0]
     assert entry.queries()["cmp01_causal_detection"](spark, folder).agg(F.min("started")).first()[0] >= first + 86_400
+
+
+def test_jn13_takes_every_actor(spark, con, tiny):
+    sql = entry.oracle_sql()["jn13_nearest_peers"].replace(" ORDER BY actor_uid LIMIT 5", "").replace("place <= 5", "place <= 20")
+    query = lambda s, d: entry.queries()["jn13_nearest_peers"](s, d).filter("place is not null").drop("reason")
+    assert difference(spark, con, query, sql, tiny) == ""
+
+
+def test_nearest_by_brute_force(spark):
+    dice = random.Random(3)
+    rows = [(f"a{i:03}", g, float(dice.randint(0, 4)), float(dice.randint(0, 3))) for i, g in enumerate("x" * 60 + "y" * 5 + "z")] + [("far", "x", 90.0, 90.0)]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, "u string, g string, x double, y double"), "u", ["x", "y"], 5, "g", 4.0).collect():
+        got.setdefault(r["u"], []).append((r["place"], r["peer"], r["distance"], r["reason"]))
+    sx, sy = pstdev(r[2] for r in rows), pstdev(r[3] for r in rows)
+    for u, g, x, y in rows:
+        near = sorted((math.sqrt(((x - q) / sx) ** 2 + ((y - w) / sy) ** 2), v) for v, h, q, w in rows if h == g and v != u)[:5]
+        reason = "nuisance_peer_support_insufficient" if len(near) < 5 else "nuisance_support_ood" if near[-1][0] > 4 else None
+        mine = sorted(got[u], key=lambda r: r[0] or 0)
+        if not near:
+            assert mine == [(None, None, None, reason)]
+            continue
+        assert [r[0] for r in mine] == list(range(1, len(near) + 1)) and {r[3] for r in mine} == {reason}
+        assert [r[2] for r in mine] == pytest.approx([d for d, _ in near], abs=1e-9)
+        assert all(p < q for (_, p, d, _), (_, q, e, _) in zip(mine, mine[1:]) if d == e)
