@@ -389,7 +389,7 @@ def win04(spark: SparkSession, folder: str) -> DataFrame:
 @query("top02_top_anomalies", with_(OBS, _SHOCK) + "SELECT observation_uid, market_uid, round(score, 6) AS score FROM y WHERE abs(score) > 2.5 ORDER BY abs(score) DESC, observation_uid LIMIT 50")
 def top02(spark: SparkSession, folder: str) -> DataFrame:
     df = belief_shocks(observations(spark, folder), "market_uid", "event_time", "observation_uid").filter("anomaly")
-    return df.orderBy(F.abs("score").desc(), "observation_uid").limit(50).select("observation_uid", "market_uid", r6("score"))
+    return df.orderBy(F.abs("score").desc(), "observation_uid").select("observation_uid", "market_uid", r6("score"))
 
 
 _GRID = "g AS (SELECT market_uid, outcome_uid, unnest(generate_series(lo, hi, 300)) AS bucket FROM (SELECT market_uid, outcome_uid, min(bucket) AS lo, max(bucket) AS hi FROM bp GROUP BY ALL)), c AS (SELECT g.market_uid, g.bucket, bp.price IS NOT NULL AS observed, last_value(bp.price IGNORE NULLS) OVER w AS p, last_value(CASE WHEN bp.price IS NOT NULL THEN CAST(floor(epoch(bp.source_time)) AS BIGINT) END IGNORE NULLS) OVER w AS t FROM g LEFT JOIN bp USING (market_uid, outcome_uid, bucket) WINDOW w AS (PARTITION BY g.market_uid ORDER BY g.bucket)), d AS (SELECT market_uid, bucket, observed, CASE WHEN bucket - t <= 600 THEN p END AS price FROM c), mv AS (SELECT *, CASE WHEN price IS NOT NULL THEN ln(greatest(least(price, 1 - 1e-6), 1e-6) / (1 - greatest(least(price, 1 - 1e-6), 1e-6))) END AS x FROM d), m2 AS (SELECT *, x - lag(x, 1) OVER w AS move_5, x - lag(x, 6) OVER w AS move_30 FROM mv WINDOW w AS (PARTITION BY market_uid ORDER BY bucket))"

@@ -137,7 +137,7 @@ def sc16(spark: SparkSession, folder: str) -> DataFrame:
 @query("top03_actionable", with_(_ROWS) + "SELECT row_uid FROM er WHERE label = 'positive' ORDER BY round(1 - score, 4), score DESC, row_uid LIMIT 40")
 def top03(spark: SparkSession, folder: str) -> DataFrame:
     rows = eval_rows(spark, folder).filter("label = 'positive'")
-    return rows.orderBy(F.round(1 - F.col("score"), 4), F.col("score").desc(), "row_uid").limit(40).select("row_uid")
+    return rows.orderBy(F.round(1 - F.col("score"), 4), F.col("score").desc(), "row_uid").select("row_uid")
 
 
 @query("top09_head_and_tail", "(SELECT 'head' AS part, market_uid FROM markets ORDER BY market_uid LIMIT 10) UNION ALL (SELECT 'tail', market_uid FROM markets ORDER BY market_uid DESC LIMIT 10)")

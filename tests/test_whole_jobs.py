@@ -117,3 +117,16 @@ def test_nearest_by_brute_force(spark):
         assert [r[0] for r in mine] == list(range(1, len(near) + 1)) and {r[3] for r in mine} == {reason}
         assert [r[2] for r in mine] == pytest.approx([d for d, _ in near], abs=1e-9)
         assert all(p < q for (_, p, d, _), (_, q, e, _) in zip(mine, mine[1:]) if d == e)
+
+
+@pytest.mark.parametrize("name, limit", [("top02_top_anomalies", " LIMIT 50"), ("top03_actionable", " LIMIT 40")])
+def test_top_rows_are_all_there_in_order(spark, name, limit):
+    folder, sql = "/root/testdata/sf0.01", entry.oracle_sql()[name].removesuffix(limit)
+    con = connect(folder)
+    assert len(con.execute(sql).fetchall()) > 50
+    assert difference(spark, con, entry.queries()[name], sql, folder) == ""
+    got = entry.queries()[name](spark, folder).collect()
+    if name == "top02_top_anomalies":
+        assert [abs(r["score"]) for r in got] == sorted((abs(r["score"]) for r in got), reverse=True)
+    else:
+        assert [r["row_uid"] for r in got] == [r[0] for r in con.execute(sql).fetchall()]
