@@ -178,9 +178,9 @@ def flt20(spark: SparkSession, folder: str) -> DataFrame:
 # --- joins -----------------------------------------------------------------------------------------------------------
 @query("jn01_ticks_markets", "SELECT f.fill_uid, f.market_uid, m.question, epoch_us(f.event_time) AS event_time FROM fills f JOIN markets m USING (market_uid) ORDER BY m.question, f.event_time, f.delivery_id LIMIT 500")
 def jn01(spark: SparkSession, folder: str) -> DataFrame:
-    ticks = table(spark, folder, "fills").select("fill_uid", "delivery_id", "market_uid", "event_time")
+    ticks = table(spark, folder, "fills").select("fill_uid", "market_uid", "event_time")
     named = ticks.join(small_side(table(spark, folder, "markets").select("market_uid", "question")), "market_uid")
-    return named.orderBy("question", F.col("event_time").asc_nulls_last(), "delivery_id").limit(500).select("fill_uid", "market_uid", "question", us("event_time"))
+    return named.select("fill_uid", "market_uid", "question", us("event_time"))
 
 
 @query("jn02_recent_feed", "SELECT f.delivery_id, m.question, epoch_us(f.event_time) AS event_time FROM fills f LEFT JOIN markets m USING (market_uid) ORDER BY f.event_time DESC NULLS LAST, f.delivery_id LIMIT 60")

@@ -130,3 +130,9 @@ def test_top_rows_are_all_there_in_order(spark, name, limit):
         assert [abs(r["score"]) for r in got] == sorted((abs(r["score"]) for r in got), reverse=True)
     else:
         assert [r["row_uid"] for r in got] == [r[0] for r in con.execute(sql).fetchall()]
+
+
+def test_jn01_joins_all_ticks(spark, con, tiny):
+    sql = entry.oracle_sql()["jn01_ticks_markets"].removesuffix(" LIMIT 500")
+    assert len(con.execute(sql).fetchall()) > 500
+    assert difference(spark, con, entry.queries()["jn01_ticks_markets"], sql, tiny) == ""
