@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,34 +16,47 @@ OUTPUT = "stream string, seq long, kind string, status string, withheld boolean"
 STATE = "last long, open_gap boolean"
 
 
+#: Rows of one frame handed back at a time.
+PIECE = 100_000
+
+
 def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A key's frames come in chunks in no order, so all are gathered first: per frame, a number and the code of its kind."""
     last, gap = state.get if state.exists else (None, False)
-    rows = []
+    names, seqs, codes = {}, [], []
     for pdf in frames:
-        for seq, kind in pdf.sort_values("seq")[["seq", "kind"]].itertuples(index=False):
-            if seq != seq or seq is None or seq < 0:
+        seqs.append(pdf["seq"].to_numpy("int64", na_value=-1) if pdf["seq"].dtype != "float64" else pdf["seq"].fillna(-1).to_numpy("int64"))
+        code, kinds = pd.factorize(pdf["kind"], use_na_sentinel=False)
+        codes.append(np.array([names.setdefault(None if pd.isna(k) else k, len(names)) for k in kinds], "int32")[code])
+    seq, code = np.concatenate(seqs), np.concatenate(codes)
+    kinds = np.array(list(names), object)
+    rank = np.empty(len(kinds), "int32")
+    rank[sorted(range(len(kinds)), key=lambda i: (kinds[i] is None, kinds[i] or ""))] = np.arange(len(kinds))
+    order = np.lexsort((rank[code], seq))
+    for start in range(0, len(seq), PIECE):
+        at = order[start : start + PIECE]
+        s, k = seq[at], kinds[code[at]]
+        rows = []
+        for number, kind in zip(s.tolist(), k.tolist()):
+            if number < 0:
                 rows.append((key[0], None, kind, "invalid", True))
                 continue
-            seq = int(seq)
-            if last is not None and seq <= last:
-                rows.append((key[0], seq, kind, "replay", True))
+            if last is not None and number <= last:
+                rows.append((key[0], number, kind, "replay", True))
                 continue
-            if last is not None and seq > last + 1:
-                gap = True
-                status = "gap"
-            else:
-                status = "contiguous"
-            if kind == "snapshot":
-                gap = False
-            rows.append((key[0], seq, kind, status, gap))
-            last = seq
-    state.update((last, gap))
-    yield pd.DataFrame(rows, columns=["stream", "seq", "kind", "status", "withheld"]).astype({"seq": "Int64"})
+            status = "gap" if last is not None and number > last + 1 else "contiguous"
+            gap = (gap or status == "gap") and kind != "snapshot"
+            rows.append((key[0], number, kind, status, gap))
+            last = number
+        if start + PIECE >= len(seq):
+            state.update((last, gap))
+        yield pd.DataFrame(rows, columns=["stream", "seq", "kind", "status", "withheld"]).astype({"seq": "Int64"})
 
 
 def sequence_states(frames: DataFrame) -> DataFrame:
     """Per stream and frame (stream, seq, kind): contiguous, gap, replay or invalid; after a gap frames are withheld until a
-    full snapshot comes. State is two values per stream; frames of one stream and batch are taken in order of seq."""
+    full snapshot comes. State is two values per stream; frames of one stream and batch are taken in order of seq,
+    whatever files and chunks they come in; a task holds twenty-odd bytes for each frame of the stream in the batch."""
     return frames.groupBy("stream").applyInPandasWithState(_step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 

@@ -16,6 +16,7 @@ from quaymark.operators.asof import asof_join
 from quaymark.operators.detect import bucket_prices, dense_grid, moves
 from quaymark.plans.relations_sql import EFILLS, with_
 from quaymark.sources.domain import books, observations
+from quaymark.streaming.sequences import run_once, sequence_states
 
 #: Books of every market, not of view events alone as in relations_sql.BOOKS.
 ALL_BOOKS = """books AS (SELECT 'ev:book-' || event_id AS snapshot_uid, 'ev:' || event_type AS market_uid, value / (value + 50) AS p, event_id, ts AS event_time FROM events)"""
@@ -136,3 +137,19 @@ def test_jn01_joins_all_ticks(spark, con, tiny):
     sql = entry.oracle_sql()["jn01_ticks_markets"].removesuffix(" LIMIT 500")
     assert len(con.execute(sql).fetchall()) > 500
     assert difference(spark, con, entry.queries()["jn01_ticks_markets"], sql, tiny) == ""
+
+
+def test_st02_is_in_order_over_chunks_and_files(spark, tmp_path):
+    """25 000 shuffled frames a stream in several files: more than one Arrow batch each."""
+    numbers = F.expr("id div 2 + (id div 2) div 5000")  # a gap after each 5 000 frames
+    rows = spark.range(50_000).select(F.concat(F.lit("s"), F.col("id") % 2).alias("stream"), numbers.alias("seq"), F.when(numbers % 6007 == 0, "snapshot").otherwise("delta").alias("kind"))
+    rows.orderBy(F.rand(7)).repartition(5).write.parquet(f"{tmp_path}/frames")
+    got = run_once(sequence_states(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/frames")), "shuffled")
+    last, gap, want = None, False, {}
+    for r in rows.filter("stream = 's0'").orderBy("seq").collect():
+        status = "gap" if last is not None and r["seq"] > last + 1 else "contiguous"
+        gap, last = (gap or status == "gap") and r["kind"] != "snapshot", r["seq"]
+        want[r["seq"]] = (r["kind"], status, gap)
+    for s in ("s0", "s1"):
+        mine = got.filter(F.col("stream") == s).collect()
+        assert len(mine) == 25_000 and {r["seq"]: (r["kind"], r["status"], r["withheld"]) for r in mine} == want
