@@ -8,11 +8,13 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Size up to which a side may be broadcast; beyond it Spark shuffles both sides.
-BROADCAST_LIMIT_BYTES = 32 << 20
+#: Size in memory up to which a side may be broadcast, beyond which Spark shuffles both sides; how many times larger than
+#: its Parquet files a table of unknown rows may be in memory.
+BROADCAST_LIMIT_BYTES, PACKED = 64 << 20, 4
 
 
 def build_session(app: str = "quaymark", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -65,14 +67,14 @@ def remove_path(spark: SparkSession, path: str) -> None:
         shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
-def write_once(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
+def write_once(df: DataFrame, path: str, mode: str = "errorifexists", **options: str) -> DataFrame:
     """Writes `df` and reads it back. Its shuffle files are of no more use then, and go as soon as it is written rather
     than when the driver happens to collect its garbage."""
     spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")
     try:
-        df.write.mode(mode).parquet(path)
+        df.write.mode(mode).options(**options).parquet(path)
     finally:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
     return spark.read.schema(df.schema).parquet(path)
@@ -83,14 +85,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return write_once(df, scratch_path(df.sparkSession, name))
 
 
+def counted(df: DataFrame, name: str) -> DataFrame:
+    """`materialise` that counts the rows as it writes them; the count is the attribute `rows_written`."""
+    seen = Observation(name)
+    out = materialise(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    out.rows_written = seen.get["rows"]
+    return out
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; for a materialised table that is the size of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """`df` marked for broadcast if its planned size is at most `limit`, else unmarked, so that Spark shuffles it."""
-    return F.broadcast(df) if planned_bytes(df) <= limit else df
+def _row_bytes(df: DataFrame) -> int:
+    """Bytes of a row in memory: 16 and 8 a column, 40 more for one of varying length."""
+    return 16 + sum(8 if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)) else 48 for f in df.schema.fields)
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES, rows: int | None = None) -> DataFrame:
+    """`df` marked for broadcast if it takes at most `limit` in memory, else unmarked, so that Spark shuffles it.
+
+    That is its rows, where they were counted or are given, times their width, and never less than the planned size.
+    Where only the planned size is known it is taken as Parquet that unfolds PACKED times.
+    """
+    n, planned = rows if rows is not None else df.__dict__.get("rows_written"), planned_bytes(df)
+    size = planned * PACKED if n is None else max(n * _row_bytes(df), planned if rows is None else 0)
+    return F.broadcast(df) if size <= limit else df
 
 
 def test_data(sf: str) -> str:
