@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,13 +12,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from quaymark.session import materialise, scratch_path, small_side, write_once
+from quaymark.session import counted, materialise, scratch_path, small_side, write_once
 
 #: Cells of the frozen frequency sketch that orders grams from rare to frequent: 1 MB, whatever the corpus.
 SKETCH_CELLS = 1 << 18
-#: Pairs of postings that the first join within a batch may meet; a batch that would meet more is taken in parts.
+#: Pairs of postings that one pass within a batch may compare; a batch that would meet more is taken in parts.
 PAIRS_AT_ONCE = 400_000_000
+#: Stored postings of one gram that one task may hold; a gram with more is split into blocks of them.
+HOT_POSTINGS = 1_000_000
+#: Values up to which a look-up goes into the scan of the stored tables, and up to which its values are broadcast (8 to
+#: 16 bytes each, some 200 MB in memory at most).
+FEW_VALUES, BROADCAST_VALUES = 1_000, 4_000_000
+#: Stored postings lie in 2^BUCKET_BITS ranges of grams; all stored tables are sorted, in pages of PAGE_ROWS rows.
+BUCKET_BITS, PAGE_ROWS = 4, 1_024
+#: Key rows of a batch whose acceptance one task may settle in turn; more of them are settled in distributed rounds.
+SETTLE_AT_ONCE = 500_000
 
 
 def words(text: Column) -> Column:
@@ -86,13 +97,15 @@ def prefix_size(size: int) -> int:
     return max(0, size - 1 - kept + 1)
 
 
-#: place: size << 32 | place of the gram << 1 | accepted before. s0 to s3: a 256-bit sketch of the text's words.
-POSTING = "gram long, id long, place long, s0 long, s1 long, s2 long, s3 long"
+#: place: size << 32 | place of the gram << 2 | copy in a further block << 1 | accepted before. doc: hash of the one document
+#: that has the text, 0 if several have. s0 to s3: a 256-bit sketch of the text's words.
+POSTING = "gram long, id long, doc long, place long, s0 long, s1 long, s2 long, s3 long"
 SKETCH = ("s0", "s1", "s2", "s3")
+OLD, COPY = 1, 2
 
 
 def postings(bodies: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """A posting for each gram of the rare prefix of each body (columns id, codes)."""
+    """A posting for each gram of the rare prefix of each body (columns id, doc, codes)."""
     shared = bodies.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,11 +126,11 @@ def postings(bodies: DataFrame, sketch: np.ndarray) -> DataFrame:
             limit = np.array([prefix_size(int(n)) for n in sizes])
             order = order[rank < limit[own[order]]]
             of = own[order]
-            place = sizes[of].astype(np.int64) << 32 | at[order] << 1
-            ids = b.column("id").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(two[order].view(np.int64)), pa.array(ids[of]), pa.array(place), *[pa.array(mask[of, i].view(np.int64)) for i in range(4)]], names=["gram", "id", "place", *SKETCH])
+            place = sizes[of].astype(np.int64) << 32 | at[order] << 2
+            ids, doc = b.column("id").to_numpy(), b.column("doc").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(two[order].view(np.int64)), pa.array(ids[of]), pa.array(doc[of]), pa.array(place), *[pa.array(mask[of, i].view(np.int64)) for i in range(4)]], names=["gram", "id", "doc", "place", *SKETCH])
 
-    return bodies.select("id", "codes").mapInArrow(run, POSTING)
+    return bodies.select("id", "doc", "codes").mapInArrow(run, POSTING)
 
 
 def _rank(groups: np.ndarray) -> np.ndarray:
@@ -155,33 +168,34 @@ def read_sketch(cells: DataFrame) -> np.ndarray:
 SHORT_RUN = 2048
 
 
-def _near(left: np.ndarray, right: np.ndarray, place: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def _near(left: np.ndarray, right: np.ndarray, place: np.ndarray, doc: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Which pairs of postings (indices) pass the cheap bounds, cheapest first."""
     a, b = place[left], place[right]
     n, m = a >> 32, b >> 32
     k, gap = np.maximum(n, m) >> 2, np.abs(n - m)
-    shift = ((a & 0xFFFFFFFF) >> 1) - ((b & 0xFFFFFFFF) >> 1)
+    shift = ((a & 0xFFFFFFFF) >> 2) - ((b & 0xFFFFFFFF) >> 2)
     keep = np.flatnonzero(np.abs(shift) + np.abs(n - m - shift) <= k)  # this bounds the gap as well
+    own = doc[left[keep]]
+    keep = keep[(own != doc[right[keep]]) | (own == 0)]
     room = 2 * k[keep] - gap[keep]
     apart = np.bitwise_count(bits[left[keep]] ^ bits[right[keep]]).sum(axis=1, dtype=np.int64)
     return keep[apart <= room]
 
 
-def _pairs_of_runs(gram: np.ndarray, ids: np.ndarray, place: np.ndarray, bits: np.ndarray, within: bool) -> np.ndarray:
+def _pairs_of_runs(gram: np.ndarray, ids: np.ndarray, place: np.ndarray, doc: np.ndarray, bits: np.ndarray, within: bool) -> np.ndarray:
     """Id pairs (other, new) of postings with an equal gram, sorted by gram with those accepted before first; one of each
     pair is new, and both only if `within`."""
     rank = _rank(gram)
-    fresh = (place & 1) == 0
+    fresh = (place & OLD) == 0
     start = np.arange(len(gram)) - rank
     length = np.bincount(start, minlength=len(gram))[start]
     known, dense = np.unique(ids, return_inverse=True)
     out = [np.zeros(0, np.int64)]
 
     def take(left: np.ndarray, right: np.ndarray) -> None:
-        if not within:
-            ok = ~fresh[left]
-            left, right = left[ok], right[ok]
-        hit = _near(left, right, place, bits)
+        ok = ~fresh[left] | (within & ((place[right] & COPY) == 0))
+        left, right = left[ok], right[ok]
+        hit = _near(left, right, place, doc, bits)
         if len(hit):
             out.append(np.unique(dense[left[hit]] * len(known) + dense[right[hit]]))
 
@@ -197,40 +211,58 @@ def _pairs_of_runs(gram: np.ndarray, ids: np.ndarray, place: np.ndarray, bits: n
     return np.stack([known[pairs // max(1, len(known))], known[pairs % max(1, len(known))]], 1)
 
 
-def candidates(new: DataFrame, old: DataFrame | None, within: bool) -> DataFrame:
+def candidates(new: DataFrame, old: DataFrame | None, within: bool, hot: DataFrame | None = None, block: int = HOT_POSTINGS) -> DataFrame:
     """Distinct pairs (id_a, id_b) of a text of `old` (or, `within`, of `new`) and one of `new` that share a prefix gram and
     pass the cheap bounds.
 
     With k = a quarter of the longer text: the shared gram's places leave room for k edits before and after it, which
-    bounds the lengths too; word sets differ by at most 2 k less the difference in length. Postings are brought together
-    by gram and compared as arrays; a task holds the postings of one gram at a time.
+    bounds the lengths too; word sets differ by at most 2 k less the difference in length. Two texts that one and the
+    same document alone has are no pair, since revisions of a document don't repeat each other. Postings are brought
+    together by gram and compared as arrays; a task holds the postings of one gram at a time. The old postings of the
+    grams in `hot` (gram, n) are spread over blocks of about `block` each, and each block meets all new ones.
     """
-    both = new if old is None else new.unionByName(old.withColumn("place", F.col("place").bitwiseOR(F.lit(1))))
+    if old is None:
+        both = new
+    else:
+        old = old.withColumn("place", F.col("place").bitwiseOR(F.lit(OLD)))
+        if hot is not None:
+            blocks = small_side(hot.select("gram", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+            mixed = F.when(F.col("__block") == 0, F.col("gram")).otherwise(F.xxhash64("gram", "__block"))
+            copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
+            new = new.join(blocks, "gram", "left").withColumn("__block", copies).withColumn("place", F.col("place").bitwiseOR(F.when(F.col("__block") > 0, COPY).otherwise(0)))
+            old = old.join(blocks, "gram", "left").withColumn("__block", F.pmod(F.xxhash64("id"), F.coalesce(F.col("blocks"), F.lit(1))).cast("int"))
+            new, old = (df.withColumn("gram", mixed).drop("blocks", "__block") for df in (new, old))
+        both = new.unionByName(old)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        rows, enough = 0, 200_000
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal rows, enough
             t = pa.Table.from_batches(held).combine_chunks()
             gram = t.column("gram").to_numpy()
             stop = len(gram) if last else int(np.searchsorted(gram, gram[-1], "left"))  # the last gram may go on
             part = t.slice(0, stop)
             if stop:
                 bits = np.stack([part.column(c).to_numpy() for c in SKETCH], 1).view(np.uint64)
-                found = _pairs_of_runs(gram[:stop], part.column("id").to_numpy(), part.column("place").to_numpy(), bits, within)
+                found = _pairs_of_runs(gram[:stop], *[part.column(c).to_numpy() for c in ("id", "place", "doc")], bits, within)
                 if len(found):
                     yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["id_a", "id_b"])
             held[:] = t.slice(stop).to_batches()
+            rows = len(gram) - stop
+            enough = max(200_000, 2 * rows)
 
         for b in batches:
             if b.num_rows:
                 held.append(b)
-                if sum(x.num_rows for x in held) >= 200_000:
+                rows += b.num_rows
+                if rows >= enough:
                     yield from flush(False)
         if held:
             yield from flush(True)
 
-    together = both.repartition("gram").sortWithinPartitions("gram", F.col("place").bitwiseAND(F.lit(1)).desc())
+    together = both.repartition("gram").sortWithinPartitions("gram", F.col("place").bitwiseAND(F.lit(OLD)).desc())
     return together.mapInArrow(run, "id_a long, id_b long").distinct()
 
 
@@ -248,24 +280,6 @@ def _sole(column: str) -> Column:
     return F.when(F.min(column) == F.max(column), F.min(column))
 
 
-def verified(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """The pairs whose bodies really are within a quarter, as (body_a, body_b).
-
-    Two bodies that only one and the same document has (column `document`, null for a body of several) need no look:
-    revisions of a document don't repeat each other. The pairs are settled first, so the words of these never move.
-    """
-    owner = lambda df, x: df.select(F.col("id").alias(f"id_{x}"), F.col("document").alias(f"document_{x}"))
-    side = lambda df, x: df.select(F.col("id").alias(f"id_{x}"), F.col("body").alias(f"body_{x}"), F.col("words").alias(f"words_{x}"), F.col("size").alias(f"size_{x}"))
-    met = materialise(pairs, "met")
-    owned = owner(a, "a").join(small_side(met), "id_a").join(owner(b, "b"), "id_b").filter(~F.coalesce(F.col("document_a") == F.col("document_b"), F.lit(False)))
-    open_pairs = materialise(owned.select("id_a", "id_b"), "open")
-    both = side(a, "a").join(small_side(open_pairs), "id_a").join(side(b, "b"), "id_b")
-    x, y = F.split("words_a", " "), F.split("words_b", " ")
-    k = F.shiftright(F.greatest("size_a", "size_b"), 2)
-    likely = (F.size(F.array_except(x, y)) <= k) & (F.size(F.array_except(y, x)) <= k)  # each missing word is an edit
-    return both.filter(likely).filter(near_equal("words_a", "words_b")).select("body_a", "body_b")
-
-
 @dataclass(frozen=True)
 class Fields:
     uid: str = "evidence_uid"
@@ -275,22 +289,29 @@ class Fields:
     at: str = "first_seen_at"
 
 
+REVISION, BODY = 0, 1  # kinds of keys under which rows repeat each other
+KEYED = ("cid", "uid", "turn", "document", "kind", "key")
+STORED = {"postings": "gram", "bodies": "id", "keys": "key"}
+
+
 class AcceptedIndex:
     """What was accepted so far, and an inverted index of its bodies.
 
-    Folder: rows/ (accepted rows), bodies/ (their distinct word sequences), postings/ (the rare-gram prefix of each body,
-    partitioned by gram). Every batch appends its own folder and nothing is rewritten. The gram order is frozen when the
-    first batch comes.
+    Folder: postings/ (the rare-gram prefix of each accepted body, in buckets of grams), bodies/ (their words by id), keys/
+    (accepted rows by revision and by body). Each is sorted by what it is looked up by, in small pages. Every batch appends
+    its own part and nothing is rewritten; a batch reads what its own grams, keys and ids name (`_lookup`) and moves none
+    of the history. The gram order is frozen when the first batch comes.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fields: Fields = Fields(), pairs_at_once: int = PAIRS_AT_ONCE):
-        self.spark, self.path, self.fields, self.limit = spark, (path or scratch_path(spark, "accepted")).rstrip("/"), fields, pairs_at_once
+    def __init__(self, spark: SparkSession, path: str | None = None, fields: Fields = Fields(), pairs_at_once: int = PAIRS_AT_ONCE, hot_postings: int = HOT_POSTINGS, settle_at_once: int = SETTLE_AT_ONCE):
+        self.spark, self.path, self.fields = spark, (path or scratch_path(spark, "accepted")).rstrip("/"), fields
+        self.limit, self.hot, self.at_once = pairs_at_once, hot_postings, settle_at_once
         self.parts, self.sketch, self.schemas = 0, None, {}
         if self._exists("sketch"):  # an index of an earlier session goes on
             self.sketch = read_sketch(spark.read.parquet(f"{self.path}/sketch"))
-            while self._exists(f"postings/part={self.parts}/_SUCCESS"):
+            while self._exists(f"keys/part={self.parts}/_SUCCESS"):  # the last that a batch writes
                 self.parts += 1
-            self.schemas = {n: spark.read.parquet(f"{self.path}/{n}/part=0").schema for n in ("rows", "bodies", "postings")} if self.parts else {}
+            self.schemas = {n: spark.read.parquet(f"{self.path}/{n}/part=0").schema for n in STORED} if self.parts else {}
 
     def _exists(self, name: str) -> bool:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -300,9 +321,34 @@ class AcceptedIndex:
         return self.spark.read.schema(self.schemas[name]).parquet(*[f"{self.path}/{name}/part={i}" for i in range(self.parts)])
 
     def _append(self, name: str, df: DataFrame) -> DataFrame:
-        """Writes this batch's folder as a whole; what a batch that failed left there is replaced."""
+        """Writes this batch's part as a whole; what a batch that failed left there is replaced."""
         self.schemas[name] = df.schema
-        return write_once(df, f"{self.path}/{name}/part={self.parts}", "overwrite")
+        pages = {"parquet.page.row.count.limit": str(PAGE_ROWS)}
+        return write_once(df.sortWithinPartitions(STORED[name]), f"{self.path}/{name}/part={self.parts}", "overwrite", **pages)
+
+    @contextmanager
+    def _pushing(self) -> Iterator[None]:
+        """Lets Parquet skip pages by lists of up to FEW_VALUES values."""
+        key = "spark.sql.parquet.pushdown.inFilterThreshold"
+        before = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, str(FEW_VALUES))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(key, before) if before is not None else self.spark.conf.unset(key)
+
+    def _lookup(self, name: str, wanted: DataFrame, n: int) -> DataFrame:
+        """The stored rows named by `wanted`, one column of at most `n` rows.
+
+        A few values go into the scan, which skips the files, row groups and pages without them; more are broadcast and
+        the history is filtered where it lies; beyond that both sides are shuffled, and Spark filters the larger one by
+        a Bloom filter of the smaller first.
+        """
+        stored, column = self._stored(name), STORED[name]
+        if n <= FEW_VALUES:
+            values = [r[0] for r in wanted.distinct().collect()]  # at most FEW_VALUES
+            return stored.filter(F.col(column).isin(values)) if values else stored.filter(F.lit(False))
+        return stored.join(F.broadcast(wanted) if n <= BROADCAST_VALUES else wanted, column, "left_semi")
 
     def take(self, batch: DataFrame) -> DataFrame:
         """Takes a batch whose rows all come after those taken before; returns (uid_a, uid_b), smaller first: each row
@@ -319,11 +365,14 @@ class AcceptedIndex:
             F.col(f.uid).alias("uid"), digest(f.document).alias("document"), digest(f.revision).alias("revision"), F.struct(F.col(f.at).isNull().alias("late"), F.col(f.at).alias("at"), F.col(f.uid).alias("uid")).alias("turn"), F.array_join(words(F.coalesce(F.col(f.body), F.lit(""))), " ").alias("words")
         )
         rows = rows.withColumn("body", F.when(F.col("words") != "", F.unhex(F.md5("words"))))
-        whole = materialise(rows, "batch")
+        # Rows alike in revision, document and body are a class: only its first row can be accepted.
+        own = F.concat_ws("/", F.coalesce(F.hex("revision"), F.concat(F.lit("~"), F.col("uid"))), F.coalesce(F.hex("document"), F.lit("")), F.coalesce(F.hex("body"), F.lit("")))
+        whole = materialise(rows.withColumn("cid", F.unhex(F.md5(own))), "batch")
         out = []
-        while whole is not None:
-            part, whole = self._next(whole)
-            out.append(part)
+        with self._pushing():
+            while whole is not None:
+                part, whole = self._next(whole)
+                out.append(part)
         pairs = out[0]
         for p in out[1:]:
             pairs = pairs.unionByName(p)
@@ -332,107 +381,200 @@ class AcceptedIndex:
 
     def _next(self, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         """Takes `rows`, or an earlier part of them if too many would meet; its pairs, and the rows that are left."""
-        slim = materialise(rows.drop("words").dropDuplicates(["uid"]), "slim")
+        firsts = counted(rows.groupBy("cid").agg(F.min("turn").alias("turn"), *[F.first(c).alias(c) for c in ("revision", "document", "body")], F.count(F.lit(1)).alias("n")).withColumn("uid", F.col("turn.uid")), "firsts")
         number = F.monotonically_increasing_id() + F.lit(self.parts).cast("long") * (1 << 48)
-        bodies = materialise(rows.filter("body is not null").groupBy("body").agg(F.first("words").alias("words"), _sole("document").alias("document")).withColumn("id", number).withColumn("size", F.size(F.split("words", " "))), "bodies")
-        coded = bodies.select("id", codes(F.split("words", " ")).alias("codes"))
+        texts = rows.filter("body is not null").groupBy("body").agg(F.first("words").alias("words"), _sole("document").alias("document"))
+        bodies = materialise(texts.withColumn("id", number), "bodies")
+        coded = bodies.select("id", F.when(F.col("document").isNull(), F.lit(0)).otherwise(F.xxhash64("document")).alias("doc"), codes(F.split("words", " ")).alias("codes"))
         if self.sketch is None:
             frequency_sketch(coded).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/sketch")
             self.sketch = read_sketch(self.spark.read.parquet(f"{self.path}/sketch"))
         marks = materialise(postings(coded, self.sketch), "postings")
-        old_marks, old_bodies = (self._stored("postings"), self._stored("bodies")) if self.parts else (None, None)
-        own = ["id", "body", "words", "document", "size"]
+        n_marks, share, crowded = self._share(marks)
+        old = self._lookup("postings", marks.select("gram"), n_marks) if self.parts else None
+        hot = materialise(old.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > self.hot), "hot") if crowded else None
 
         # One pass over old and new where few new ones meet; else the old ones first, so that what repeats them is out.
-        firsts = materialise(self._first_rows(slim), "firsts")
-        share = self._share(marks, firsts)
+        late_marks = None
         if share == 1:
-            known = bodies if old_bodies is None else bodies.select(*own).unionByName(old_bodies.select(*own))
-            near = verified(candidates(marks, old_marks, True), known, bodies)
-            near = materialise(near.unionByName(near.select(F.col("body_b").alias("body_a"), F.col("body_a").alias("body_b"))), "near")
-            old = materialise(self._repeats(slim, self._stored("rows"), near), "old") if self.parts else None
-            settled_bodies = None
+            near = self._near(candidates(marks, old, True, hot, self.hot), bodies, self.parts > 0)
         else:
-            near = old = None
+            near, live = None, firsts
             if self.parts:
-                found = verified(candidates(marks, old_marks, False), old_bodies, bodies)
-                old = materialise(self._repeats(slim, self._stored("rows"), found.select(F.col("body_b").alias("body_a"), F.col("body_a").alias("body_b"))), "old")
-                firsts = materialise(self._first_rows(slim.join(old.select("uid").distinct(), "uid", "left_anti")), "firsts")
-            living = materialise(firsts.filter("body is not null").select("body").distinct().join(bodies.select("body", "id"), "body"), "living")
-            live = materialise(marks.join(small_side(living.select("id")), "id", "left_semi"), "live")
-            share = self._share(live, firsts)
-            if share < 1:
-                cut = rows.select(F.percentile_approx(F.unix_micros("turn.at"), F.lit(share), F.lit(10_000))).first()[0]
-                early = F.coalesce(F.unix_micros("turn.at") <= cut, F.lit(False))
-                head, tail = materialise(rows.filter(early), "head"), materialise(rows.filter(~early), "tail")
-                if not tail.isEmpty() and not head.isEmpty():
-                    pairs, more = self._next(head)
-                    return pairs, tail if more is None else materialise(more.unionByName(tail), "rest")
-            near = verified(candidates(live, None, True), bodies, bodies)
-            near = materialise(near.unionByName(near.select(F.col("body_b").alias("body_a"), F.col("body_a").alias("body_b"))), "near")
-            settled_bodies = marks.join(small_side(living.select("id")), "id", "left_anti")
-
-        unsettled = firsts if old is None else firsts.join(old.select("uid").distinct(), "uid", "left_anti")
-        accepted = self._append("rows", self._settle(unsettled, near))
-        added = bodies.join(small_side(accepted.filter("body is not null").select("body")), "body", "left_semi").select(*own)
-        added = self._append("bodies", added)
-        added_marks = self._append("postings", marks.join(small_side(added.select("id")), "id", "left_semi"))
-        if settled_bodies is not None:  # what repeats older rows may repeat new ones as well
-            more = verified(candidates(settled_bodies, added_marks, False), added, bodies)
-            near = near.unionByName(more.select(F.col("body_b").alias("body_a"), F.col("body_a").alias("body_b")))
-        new = materialise(self._repeats(slim, accepted, near), "new")
+                near = self._near(candidates(marks, old, False, hot, self.hot), bodies, True)
+                live = firsts.join(self._known(firsts, self._reach(firsts, near)).select("cid").distinct(), "cid", "left_anti")
+            living = materialise(live.filter("body is not null").select("body").distinct().join(bodies.select("body", "id"), "body"), "living")
+            live_marks = materialise(marks.join(small_side(living.select("id")), "id", "left_semi"), "live")
+            _, share, _ = self._share(live_marks)
+            head, tail = self._cut(rows, share) if share < 1 else (None, None)
+            if head is not None:
+                pairs, more = self._next(head)
+                return pairs, tail if more is None else materialise(more.unionByName(tail), "rest")
+            own = self._near(candidates(live_marks, None, True), bodies, False)
+            near = own if near is None else materialise(near.unionByName(own), "near")
+            late_marks = marks.join(small_side(living.select("id")), "id", "left_anti")
+
+        reach = self._reach(firsts, near)
+        known = materialise(self._known(firsts, reach), "known") if self.parts else None
+        met = self._company(firsts, near)
+        out = self._refused(met, reach, known)
+        accepted = firsts.join(small_side(out), "cid", "left_anti")
+
+        added = bodies.join(small_side(accepted.filter("body is not null").select("body")), "body", "left_semi")
+        added = self._append("bodies", added.select("id", "body", "words", "document"))
+        fresh = marks.join(small_side(added.select("id")), "id", "left_semi")
+        added_marks = self._append("postings", fresh.repartition(F.shiftrightunsigned("gram", 64 - BUCKET_BITS)))
+        stored = self._append("keys", self._keys(accepted).select(*KEYED))
+        if late_marks is None:
+            winners = met.join(small_side(out), "cid", "left_anti")
+        else:  # what repeats older rows may repeat new ones as well
+            more = self._near(candidates(late_marks, added_marks, False), bodies, False)
+            near, winners = materialise(near.unionByName(more), "near"), stored
+            reach, met = self._reach(firsts, near), self._company(firsts, near)
+        partners = self._related(met.unionByName(reach), winners)
+        partners = materialise(partners if known is None else partners.unionByName(known), "partners")
+        pairs = rows.select("uid", "turn", "cid").join(small_side(partners), "cid").filter("turn_b < turn")
         self.parts += 1
-        return (new if old is None else old.unionByName(new)).select("uid", "uid_b"), None
+        return pairs.select("uid", "uid_b"), None
 
     @staticmethod
-    def _first_rows(rows: DataFrame) -> DataFrame:
-        """The first row of each revision, document and body: no later one of them can be accepted."""
-        firsts = rows.groupBy("revision", "document", "body", F.when(F.col("revision").isNull(), F.col("uid"))).agg(F.min("turn").alias("turn"))
-        return firsts.select(F.col("turn.uid").alias("uid"), "revision", "document", "body", "turn")
+    def _keys(rows: DataFrame) -> DataFrame:
+        """Each row under its revision and under its body, null ones left out."""
+        both = F.inline(F.array(F.struct(F.lit(REVISION).alias("kind"), F.col("revision").alias("key")), F.struct(F.lit(BODY).alias("kind"), F.col("body").alias("key"))))
+        return rows.select("cid", "uid", "turn", "document", "n", both).filter("key is not null")
 
     @staticmethod
-    def _repeats(rows: DataFrame, accepted: DataFrame, near: DataFrame) -> DataFrame:
-        """uid, uid_b: each row with the accepted rows before it that it repeats. `near`: body_a of rows, body_b of accepted
-        rows; equal bodies need not be in it."""
-        old = accepted.select(F.col("uid").alias("uid_b"), F.col("document").alias("document_b"), F.col("revision").alias("revision_b"), F.col("body").alias("body_b"), F.col("turn").alias("turn_b"))
-        before = F.col("turn_b") < F.col("turn")
-        other = (F.col("document") != F.col("document_b")) & before
-        by_revision = rows.join(old, (F.col("revision") == F.col("revision_b")) & before).select("uid", "uid_b")
-        by_copy = rows.join(old, (F.col("body") == F.col("body_b")) & other).select("uid", "uid_b")
-        partners = rows.join(near.withColumnRenamed("body_b", "body_n"), F.col("body") == F.col("body_a"))
-        by_body = partners.join(old, (F.col("body_n") == F.col("body_b")) & other).select("uid", "uid_b")
-        return by_revision.unionByName(by_copy).unionByName(by_body).distinct()
-
-    def _share(self, marks: DataFrame, firsts: DataFrame) -> float:
-        """1, or the share of the batch whose pairs stay below the limit: postings of one gram, rows of one body or
-        revision meet each other, and those meetings grow with the square."""
-        def meetings(counted: list[tuple[DataFrame, Column]]) -> float:
-            met = None
-            for df, key in counted:
-                one = df.groupBy(key.alias("key")).count().agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("n"))
-                met = one if met is None else met.unionByName(one)
-            return met.agg(F.sum("n")).first()[0] or 0
-
-        rows = [(firsts, F.col("body")), (firsts, F.col("revision"))]
-        if meetings([(marks, F.pmod("gram", F.lit(1 << 16))), *rows]) <= self.limit:  # grams put together meet more, never less
-            return 1.0
-        n = meetings([(marks, F.col("gram")), *rows])
-        return 1.0 if n <= self.limit else math.sqrt(self.limit / n)
-
-    def _settle(self, firsts: DataFrame, near: DataFrame) -> DataFrame:
-        """The first rows that are accepted: in turn, each that repeats no accepted row before it.
-
-        Rows with no earlier partner are accepted; whoever has an accepted earlier partner is not; a rejected row no
-        longer stands in anyone's way. That is repeated until no partner is open, each round cutting its lineage.
+    def _reach(firsts: DataFrame, near: DataFrame) -> DataFrame:
+        """Each row under the bodies that its own is near to."""
+        far = firsts.join(small_side(near), F.col("body") == F.col("body_a"))
+        return counted(far.select("cid", "uid", "turn", "document", F.lit(BODY).alias("kind"), F.col("body_b").alias("key")), "reach")
+
+    def _company(self, firsts: DataFrame, near: DataFrame) -> DataFrame:
+        """The keys that several rows of the batch have or are near to, with their rows: acceptance is open for these alone."""
+        keys = self._keys(firsts)
+        crowd = keys.groupBy("kind", "key").agg(F.sum("n").alias("n")).filter("n > 1").select("kind", "key")
+        touched = near.select(F.lit(BODY).alias("kind"), F.explode(F.array("body_a", "body_b")).alias("key"))
+        crowd = materialise(crowd.unionByName(touched).distinct(), "crowd")
+        return counted(keys.join(small_side(crowd), ["kind", "key"], "left_semi").select(*KEYED), "met")
+
+    @staticmethod
+    def _related(rows: DataFrame, accepted: DataFrame) -> DataFrame:
+        """cid, uid_b, turn_b: each class with the accepted rows of its keys that it repeats; equal turns are its own."""
+        other = accepted.select("kind", "key", F.col("uid").alias("uid_b"), F.col("turn").alias("turn_b"), F.col("document").alias("document_b"))
+        return rows.join(other, ["kind", "key"]).filter((F.col("kind") == REVISION) | (F.col("document") != F.col("document_b"))).select("cid", "uid_b", "turn_b").distinct()
+
+    def _known(self, firsts: DataFrame, reach: DataFrame) -> DataFrame:
+        """The classes that repeat rows accepted in earlier batches, with those."""
+        asked = self._keys(firsts).select(*KEYED).unionByName(reach)
+        n = 2 * firsts.rows_written + reach.rows_written
+        return self._related(small_side(asked, rows=n), self._lookup("keys", asked.select("key"), n) if n <= FEW_VALUES else self._stored("keys"))
+
+    def _near(self, pairs: DataFrame, bodies: DataFrame, old: bool) -> DataFrame:
+        """(body_a, body_b), both ways, of the pairs whose texts really are within a quarter; words are fetched for them alone."""
+        met = counted(pairs, "pairs")
+        known = bodies.select("id", "body", "words")
+        if old:
+            known = known.unionByName(self._lookup("bodies", met.select(F.col("id_a").alias("id")), met.rows_written).select("id", "body", "words"))
+        side = lambda df, x: df.select(F.col("id").alias(f"id_{x}"), F.col("body").alias(f"body_{x}"), F.col("words").alias(f"words_{x}"))
+        few = small_side(met)
+        left = side(known, "a").join(few, "id_a")
+        right = side(bodies, "b").join(F.broadcast(met.select("id_b")) if few is not met else met.select("id_b"), "id_b", "left_semi")
+        x, y = F.split("words_a", " "), F.split("words_b", " ")
+        k = F.shiftright(F.greatest(F.size(x), F.size(y)), 2)
+        likely = (F.size(F.array_except(x, y)) <= k) & (F.size(F.array_except(y, x)) <= k)  # each missing word is an edit
+        sure = left.join(right, "id_b").filter(likely).filter(near_equal("words_a", "words_b"))
+        both = F.inline(F.array(F.struct("body_a", "body_b"), F.struct(F.col("body_b").alias("body_a"), F.col("body_a").alias("body_b"))))
+        return materialise(sure.select(both), "near")
+
+    def _share(self, marks: DataFrame) -> tuple[int, float, bool]:
+        """Postings of the batch; 1, or the share of the batch whose pairs stay below the limit, as postings of one gram
+        meet each other and that grows with the square; whether stored postings of one gram may exceed one task.
+
+        Grams are put together in cells, which meet more, never less; the cells of each part are stored beside it.
         """
-        links = materialise(self._repeats(firsts, firsts, near), "links")
-        refused = None
-        open_links = links
-        while not open_links.isEmpty():
-            waiting = open_links.select("uid").distinct()
-            sure = open_links.select(F.col("uid_b").alias("v")).distinct().join(waiting.select(F.col("uid").alias("v")), "v", "left_anti")
-            out = materialise(open_links.join(sure, F.col("uid_b") == F.col("v"), "left_semi").select("uid").distinct(), "refused")
+        marks.groupBy(F.pmod("gram", F.lit(1 << 16)).alias("cell")).agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/cells/part={self.parts}")
+        all_cells = self.spark.read.schema("cell long, n long, part int").option("basePath", f"{self.path}/cells").parquet(*[f"{self.path}/cells/part={i}" for i in range(self.parts + 1)])
+        new = F.col("part") == self.parts
+        cells = all_cells.groupBy("cell").agg(F.sum(F.when(new, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(new, 0).otherwise(F.col("n"))).alias("b"))
+        a = F.col("a").cast("double")
+        n, meetings, most = cells.agg(F.sum("a"), F.sum(a * (a - 1) / 2), F.max("b")).first()
+        if not n or meetings <= self.limit:
+            return n or 0, 1.0, (most or 0) > self.hot
+        one = marks.groupBy("gram").count().agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2)).first()[0]
+        return n, 1.0 if one <= self.limit else math.sqrt(self.limit / one), (most or 0) > self.hot
+
+    @staticmethod
+    def _cut(rows: DataFrame, share: float) -> tuple[DataFrame | None, DataFrame | None]:
+        """The first `share` of the rows by turn and the rest; none if there is one row."""
+        numbered = materialise(rows.sort("turn").withColumn("number", F.monotonically_increasing_id()), "numbered")
+        cut = numbered.select(F.percentile_approx("number", F.lit(share), F.lit(10_000))).first()[0]
+        tail = materialise(numbered.filter(F.col("number") > cut).drop("number"), "tail")
+        if tail.isEmpty():
+            return None, None
+        return materialise(numbered.filter(F.col("number") <= cut).drop("number"), "head"), tail
+
+    def _refused(self, met: DataFrame, reach: DataFrame, known: DataFrame | None) -> DataFrame:
+        """The classes that are not accepted: those that repeat older rows, and in turn each that repeats a row of the batch
+        accepted before it. `met`: rows by their own keys; `reach`: by the keys they are near to."""
+        old = None if known is None else materialise(known.select("cid").distinct(), "old")
+        if old is not None:
+            met, reach = (counted(df.join(small_side(old), "cid", "left_anti"), "open") for df in (met, reach))
+        one_task = met.rows_written + reach.rows_written <= self.at_once
+        new = self._in_turn(met, reach) if one_task else self._in_rounds(met, reach)
+        return materialise(new if old is None else new.unionByName(old), "refused")
+
+    @staticmethod
+    def _in_turn(met: DataFrame, reach: DataFrame) -> DataFrame:
+        """The rule itself, over a bounded number of rows in one task."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            accepted: dict[tuple[int, bytes], set[bytes]] = {}
+            own, now, bad, out = [], None, False, []
+
+            def close() -> None:
+                if bad:
+                    out.append(now)
+                else:
+                    for key, document in own:
+                        accepted.setdefault(key, set()).add(document)
+
+            for b in batches:
+                for cid, document, kind, key, mine in zip(*[b.column(c).to_pylist() for c in ("cid", "document", "kind", "key", "mine")]):
+                    if cid != now:
+                        if now is not None:
+                            close()
+                        own, now, bad = [], cid, False
+                    there = accepted.get((kind, key))
+                    if there and not bad:
+                        bad = kind == REVISION or document is not None and bool(there - {document, None})
+                    if mine:
+                        own.append(((kind, key), document))
+            if now is not None:
+                close()
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["cid"])
+
+        rows = met.withColumn("mine", F.lit(True)).unionByName(reach.withColumn("mine", F.lit(False)))
+        return rows.select("cid", "turn", "document", "kind", "key", "mine").coalesce(1).sortWithinPartitions("turn", "cid").drop("turn").mapInArrow(run, "cid binary")
+
+    @staticmethod
+    def _in_rounds(met: DataFrame, reach: DataFrame) -> DataFrame:
+        """The same in rounds over all tasks. In each round those rows are accepted that none still open and related comes
+        before, and what repeats them is refused. Of each key only the first rows of its first two documents are needed
+        to tell who is before whom, so no group meets itself; each round cuts its lineage."""
+        own, probes, refused = met, met.unionByName(reach), None
+        same = F.col("document") == F.col("document_1")
+        while not own.isEmpty():
+            per = own.filter((F.col("kind") == REVISION) | F.col("document").isNotNull()).groupBy("kind", "key", "document").agg(F.min("turn").alias("turn"))
+            two = per.withColumn("k", F.row_number().over(Window.partitionBy("kind", "key").orderBy("turn"))).filter("k <= 2")
+            lead = two.groupBy("kind", "key").agg(F.max(F.when(F.col("k") == 1, F.col("turn"))).alias("turn_1"), F.max(F.when(F.col("k") == 1, F.col("document"))).alias("document_1"), F.max(F.when(F.col("k") == 2, F.col("turn"))).alias("turn_2"))
+            first = F.col("turn_1") < F.col("turn")
+            waits = F.when(F.col("kind") == REVISION, first).otherwise((~same & first) | (same & (F.col("turn_2") < F.col("turn"))))
+            waiting = probes.join(lead, ["kind", "key"]).filter(waits).select("cid").distinct()
+            sure = materialise(own.join(waiting, "cid", "left_anti"), "sure")
+            by = sure.groupBy("kind", "key").agg(F.min("document").alias("low"), F.max("document").alias("high"), F.min("cid").alias("who"))
+            repeats = F.when(F.col("kind") == REVISION, F.col("who") != F.col("cid")).otherwise((F.col("low") != F.col("document")) | (F.col("high") != F.col("document")))
+            out = materialise(probes.join(by, ["kind", "key"]).filter(repeats).select("cid").distinct(), "out")
             refused = out if refused is None else refused.unionByName(out)
-            rest = open_links.join(small_side(out), "uid", "left_anti")
-            open_links = materialise(rest.join(small_side(out.withColumnRenamed("uid", "v")), F.col("uid_b") == F.col("v"), "left_anti"), "open")
-        return firsts if refused is None else firsts.join(refused, "uid", "left_anti")
+            gone = out.unionByName(sure.select("cid")).distinct()
+            own, probes = (materialise(df.join(gone, "cid", "left_anti"), "open") for df in (own, probes))
+        return met.select("cid").limit(0) if refused is None else refused.distinct()

@@ -11,28 +11,37 @@ from quaymark.llm.packing import pack
 from quaymark.llm.tokens import encode_corpus
 from quaymark.sources.tables import table
 
-#: Days are handed to the index in this many calls of about equal rows; where they are cut makes no difference.
-CALLS = 2
+#: Rows a call takes at least: each UTC day is a batch, and days smaller than this are taken together with the next ones,
+#: as a call has a fixed cost. Where the days are cut makes no difference to the result.
+LEAST_ROWS = 25_000
 
 
-def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "evidence").select("evidence_uid", "document_uid", "revision_uid", "body", "first_seen_at")
-    day = F.to_date("first_seen_at")
-    days = rows.groupBy(day.alias("day")).count().orderBy(F.col("day").asc_nulls_last()).collect()  # one row a day
-    total, run, calls = sum(r["count"] for r in days), 0, {}
+def day_batches(rows: DataFrame, least: int) -> list[list[object]]:
+    """The UTC days of first_seen_at in order, null last, in batches of at least `least` rows but the last."""
+    days = rows.groupBy(F.to_date("first_seen_at").alias("day")).count().orderBy(F.col("day").asc_nulls_last()).collect()  # one row a day
+    batches, held, n = [], [], 0
     for r in days:
-        calls[r["day"]] = min(CALLS - 1, run * CALLS // max(1, total))
-        run += r["count"]
-    index, out = AcceptedIndex(spark), None
-    for call in range(CALLS):
-        own = [d for d, c in calls.items() if c == call]
-        if own or call == 0:
-            known = day.isin([d for d in own if d is not None]) if any(d is not None for d in own) else F.lit(False)
-            found = index.take(rows.filter(known | day.isNull() if None in own else known))
-            out = found if out is None else out.unionByName(found)
+        held, n = [*held, r["day"]], n + r["count"]
+        if n >= least:
+            batches.append(held)
+            held, n = [], 0
+    return [*batches, held] if held or not batches else batches
+
+
+def repeats_by_day(spark: SparkSession, rows: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
+    """Every row with the accepted rows it repeats, batch by batch against the index of what was accepted before."""
+    index, out, day = AcceptedIndex(spark), None, F.to_date("first_seen_at")
+    for days in day_batches(rows, least):
+        known = day.isin([d for d in days if d is not None]) if any(d is not None for d in days) else F.lit(False)
+        found = index.take(rows.filter(known | day.isNull() if None in days else known))
+        out = found if out is None else out.unionByName(found)
     return out.select(F.col("uid_a").alias("evidence_uid_a"), F.col("uid_b").alias("evidence_uid_b"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats_by_day(spark, table(spark, folder, "evidence").select("evidence_uid", "document_uid", "revision_uid", "body", "first_seen_at"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents").select("doc_id", "text"))
 
