@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,11 +91,30 @@ def _grams(words_: np.ndarray) -> np.ndarray:
     return two ^ (two >> np.uint64(32))
 
 
-def prefix_size(size: int) -> int:
-    """Grams of a text of `size` words that must be indexed so that any text within a quarter of the longer one's words
-    shares at least one: an edit spoils at most two grams, so max - 1 - 2 * floor(max / 4) of them are kept."""
-    kept = min(longest - 1 - 2 * (longest // 4) for longest in range(size, max(size, size * 4 // 3) + 1))
-    return max(0, size - 1 - kept + 1)
+@lru_cache(1 << 16)
+def spoilable(size: int, pairs: int) -> int:
+    """How many grams of a text of `size` words the edits allowed can spoil at most, if `pairs` of them lie next to each
+    other. A quarter of the longer text's words may change; a word replaced or deleted spoils two neighbouring grams, a
+    word inserted one, and a partner of L words takes L - size insertions at least. The most is at the L where insertions
+    leave just as many other edits as there are pairs, or next to it."""
+    longest, best = max(size, size * 4 // 3), (size - pairs) * 4 // 3
+    span = range(max(size, min(best, longest) - 8), min(longest, max(best, size) + 8) + 1)
+    return max(n // 4 + min(n // 4 - (n - size), pairs) for n in span)
+
+
+def prefix_length(places: list[int], size: int) -> int:
+    """The grams of a text of `size` words, rare ones first at `places`, that must be indexed so that any text within a
+    quarter shares at least one: the first that edits can't spoil altogether. Grams apart from each other take an edit each."""
+    runs: dict[int, int] = {}
+    pairs, least = 0, size // 3
+    for m, p in enumerate(places, 1):
+        left, right = runs.get(p - 1, 0), runs.get(p + 1, 0)
+        both = left + right + 1
+        runs[p - left] = runs[p + right] = both
+        pairs += both // 2 - left // 2 - right // 2
+        if m > least and m > spoilable(size, pairs):
+            return m
+    return len(places)
 
 
 #: place: size << 32 | place of the gram << 2 | copy in a further block << 1 | accepted before. doc: hash of the one document
@@ -122,9 +142,12 @@ def postings(bodies: DataFrame, sketch: np.ndarray) -> DataFrame:
             at = (np.arange(len(two)) - start[own])[inside]
             two, own = two[inside], own[inside]
             order = np.lexsort((at, two, shared.value[two >> np.uint64(46)], own))  # by text, rare first
-            rank = _rank(own[order])
-            limit = np.array([prefix_size(int(n)) for n in sizes])
-            order = order[rank < limit[own[order]]]
+            ends = np.searchsorted(own[order], np.arange(len(sizes) + 1))
+            rare, of_text = at[order].tolist(), ends.tolist()
+            last = [i + prefix_length(rare[i:j], int(n)) for i, j, n in zip(of_text, of_text[1:], sizes)]
+            turn = np.cumsum(np.concatenate([[False], (two[order][1:] != two[order][:-1]) | (own[order][1:] != own[order][:-1])])) if len(order) else np.zeros(0, int)
+            final = np.array([turn[j - 1] if j > i else -1 for i, j in zip(of_text, last)])  # a gram stands in a prefix with all its places
+            order = order[turn <= final[own[order]]]
             of = own[order]
             place = sizes[of].astype(np.int64) << 32 | at[order] << 2
             ids, doc = b.column("id").to_numpy(), b.column("doc").to_numpy()

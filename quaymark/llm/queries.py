@@ -13,7 +13,7 @@ from quaymark.sources.tables import table
 
 #: Rows a call takes at least: each UTC day is a batch, and days smaller than this are taken together with the next ones,
 #: as a call has a fixed cost. Where the days are cut makes no difference to the result.
-LEAST_ROWS = 25_000
+LEAST_ROWS = 40_000
 
 
 def day_batches(rows: DataFrame, least: int) -> list[list[object]]:

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quaymark.llm.history import AcceptedIndex, edits
+from quaymark.llm.history import AcceptedIndex, edits, prefix_length, spoilable
 from quaymark.llm.lookalike import lookalike_pairs, skeleton, with_skeleton
 from quaymark.llm.packing import lay_out, pack, plan
 from quaymark.llm.tokens import Encoder, encode_corpus, read_ranks
@@ -61,10 +61,10 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("cuts,limit", [((), 10**9), ((60, 130), 10**9), ((90,), 300)])
-def test_history_equals_taking_rows_one_by_one(spark, cuts, limit):
+@pytest.mark.parametrize("cuts,options", [((60, 130), {}), ((90,), {"pairs_at_once": 300}), ((70, 100), {"hot_postings": 3, "settle_at_once": 0})])
+def test_history_equals_taking_rows_one_by_one(spark, cuts, options):
     rows = sorted(corpus(3, 200), key=lambda r: (r[4] is None, r[4] or T0, r[0]))
-    index, got, at = AcceptedIndex(spark, pairs_at_once=limit), set(), 0
+    index, got, at = AcceptedIndex(spark, **options), set(), 0
     for stop in (*cuts, len(rows)):
         batch = spark.createDataFrame([*rows[at:stop], rows[at]], SCHEMA)
         got |= {tuple(r) for r in index.take(batch).collect()}
@@ -72,6 +72,42 @@ def test_history_equals_taking_rows_one_by_one(spark, cuts, limit):
     assert got == brute(rows)
 
 
+def test_a_cluster_of_copies_and_equal_times_is_taken_in_parts(spark):
+    base = [f"w{i}" for i in range(20)]
+    rows = [(f"u{i:03}", f"d{i % 40}", f"r{i}", " ".join(base[: 19 - i % 3] + [f"x{i % 7}"]), T0) for i in range(120)]
+    index = AcceptedIndex(spark, pairs_at_once=200)
+    assert {tuple(r) for r in index.take(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows)
+    assert index.parts > 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 200))
+def test_what_edits_can_spoil(size, pairs):
+    assert spoilable(size, pairs) == max(n // 4 + min(n // 4 - (n - size), pairs) for n in range(size, max(size, size * 4 // 3) + 1))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.data())
+def test_near_texts_share_a_prefix_gram(data):
+    word = st.sampled_from("abcdefghijklmnop")
+    a = data.draw(st.lists(word, min_size=3, max_size=40))
+    b = list(a)
+    for _ in range(data.draw(st.integers(0, len(a) // 3))):
+        at, kind = data.draw(st.integers(0, max(0, len(b) - 1))), data.draw(st.integers(0, 2))
+        b[at : at + (kind > 0)] = [data.draw(word)] if kind < 2 else []
+    if a == b or not b or 4 * plain_edits(a, b) > max(len(a), len(b)):
+        return
+    seed = data.draw(st.integers(0, 99))
+
+    def prefix(x):
+        grams = sorted((hash((seed, x[i], x[i + 1])), i) for i in range(len(x) - 1))
+        m = prefix_length([i for _, i in grams], len(x))
+        return {(g, i) for g, i in grams if m and g <= grams[m - 1][0]}
+
+    k = max(len(a), len(b)) // 4
+    assert any(g == h and abs(i - j) + abs(len(a) - len(b) - (i - j)) <= k for g, i in prefix(a) for h, j in prefix(b))
+
+
 def test_history_goes_on_in_a_new_session_object_and_takes_nothing(spark):
     first = AcceptedIndex(spark)
     assert first.take(spark.createDataFrame([], SCHEMA)).count() == 0
@@ -81,6 +117,28 @@ def test_history_goes_on_in_a_new_session_object_and_takes_nothing(spark):
     assert [tuple(r) for r in again.take(spark.createDataFrame(rows[1:], SCHEMA)).collect()] == [("a", "b")]
 
 
+def test_a_small_batch_reads_as_much_of_a_large_history_as_of_a_small_one(spark):
+    def read(n):
+        rnd = random.Random(n)
+        texts = [" ".join(f"w{rnd.randrange(4000)}" for _ in range(12)) for _ in range(n)]
+        rows = [(f"u{i}", f"d{i}", f"r{i}", t, T0 + timedelta(minutes=i)) for i, t in enumerate(texts)]
+        index = AcceptedIndex(spark)
+        index.take(spark.createDataFrame(rows, SCHEMA)).count()
+        late = [(f"v{i}", f"e{i}", f"s{i}", texts[i * n // 3].replace("w1", "z"), T0 + timedelta(days=9)) for i in range(2)]
+        found = index.take(spark.createDataFrame(late, SCHEMA)).count()
+        grams = spark.createDataFrame([(r[0],) for r in spark.read.parquet(f"{index.path}/postings/part=1").select("gram").take(20)], "gram long")
+        index.parts = 1
+        with index._pushing():
+            looked = index._lookup("postings", grams, 20)
+            looked.collect()
+        plan = looked._jdf.queryExecution().executedPlan()
+        plan = (plan.executedPlan() if "Adaptive" in plan.nodeName() else plan).collectLeaves().head()
+        return found, plan.metrics().apply("numOutputRows").value(), spark.read.parquet(f"{index.path}/postings/part=0").count()
+
+    small, large = read(2_000), read(16_000)
+    assert large[2] > 7 * small[2] and large[1] < 2 * small[1] + 1 and large[1] < large[2] / 4
+
+
 @pytest.fixture(scope="module")
 def encoder():
     import public_tokenizers as P
