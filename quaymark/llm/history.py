@@ -33,8 +33,8 @@ SETTLE_AT_ONCE = 500_000
 
 
 def words(text: Column) -> Column:
-    """Runs of letters and digits, regardless of case."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
+    """Runs of letters and digits, regardless of case, with a space between them."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
 def edits(a: list[str], b: list[str]) -> int:
@@ -191,16 +191,15 @@ def read_sketch(cells: DataFrame) -> np.ndarray:
 SHORT_RUN = 2048
 
 
-def _near(left: np.ndarray, right: np.ndarray, place: np.ndarray, doc: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def _near(left: np.ndarray, right: np.ndarray, size: np.ndarray, at: np.ndarray, doc: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Which pairs of postings (indices) pass the cheap bounds, cheapest first."""
-    a, b = place[left], place[right]
-    n, m = a >> 32, b >> 32
-    k, gap = np.maximum(n, m) >> 2, np.abs(n - m)
-    shift = ((a & 0xFFFFFFFF) >> 2) - ((b & 0xFFFFFFFF) >> 2)
-    keep = np.flatnonzero(np.abs(shift) + np.abs(n - m - shift) <= k)  # this bounds the gap as well
+    n, m = size[left], size[right]
+    k, gap = np.maximum(n, m) >> 2, n - m
+    shift = at[left] - at[right]
+    keep = np.flatnonzero(np.abs(shift) + np.abs(gap - shift) <= k)  # this bounds the gap as well
     own = doc[left[keep]]
     keep = keep[(own != doc[right[keep]]) | (own == 0)]
-    room = 2 * k[keep] - gap[keep]
+    room = 2 * k[keep] - np.abs(gap[keep])
     apart = np.bitwise_count(bits[left[keep]] ^ bits[right[keep]]).sum(axis=1, dtype=np.int64)
     return keep[apart <= room]
 
@@ -213,12 +212,13 @@ def _pairs_of_runs(gram: np.ndarray, ids: np.ndarray, place: np.ndarray, doc: np
     start = np.arange(len(gram)) - rank
     length = np.bincount(start, minlength=len(gram))[start]
     known, dense = np.unique(ids, return_inverse=True)
+    size, at = (place >> 32).astype(np.int32), ((place & 0xFFFFFFFF) >> 2).astype(np.int32)
     out = [np.zeros(0, np.int64)]
 
     def take(left: np.ndarray, right: np.ndarray) -> None:
         ok = ~fresh[left] | (within & ((place[right] & COPY) == 0))
         left, right = left[ok], right[ok]
-        hit = _near(left, right, place, doc, bits)
+        hit = _near(left, right, size, at, doc, bits)
         if len(hit):
             out.append(np.unique(dense[left[hit]] * len(known) + dense[right[hit]]))
 
@@ -290,7 +290,10 @@ def candidates(new: DataFrame, old: DataFrame | None, within: bool, hot: DataFra
 
 
 def _within_quarter(a: list[str], b: list[str]) -> bool:
-    return 4 * edits(a, b) <= max(len(a), len(b))
+    k, x, y = max(len(a), len(b)) // 4, set(a), set(b)
+    if len(x - y) > k or len(y - x) > k:  # each word that the other lacks is an edit
+        return False
+    return edits(a, b) <= k
 
 
 @F.arrow_udf(T.BooleanType())
@@ -346,7 +349,7 @@ class AcceptedIndex:
     def _append(self, name: str, df: DataFrame) -> DataFrame:
         """Writes this batch's part as a whole; what a batch that failed left there is replaced."""
         self.schemas[name] = df.schema
-        pages = {"parquet.page.row.count.limit": str(PAGE_ROWS)}
+        pages = {"parquet.page.row.count.limit": str(PAGE_ROWS), "parquet.enable.dictionary": "false"}
         return write_once(df.sortWithinPartitions(STORED[name]), f"{self.path}/{name}/part={self.parts}", "overwrite", **pages)
 
     @contextmanager
@@ -385,7 +388,7 @@ class AcceptedIndex:
         f = self.fields
         digest = lambda c: F.unhex(F.md5(F.col(c).cast("string")))
         rows = batch.filter(F.col(f.uid).isNotNull()).select(
-            F.col(f.uid).alias("uid"), digest(f.document).alias("document"), digest(f.revision).alias("revision"), F.struct(F.col(f.at).isNull().alias("late"), F.col(f.at).alias("at"), F.col(f.uid).alias("uid")).alias("turn"), F.array_join(words(F.coalesce(F.col(f.body), F.lit(""))), " ").alias("words")
+            F.col(f.uid).alias("uid"), digest(f.document).alias("document"), digest(f.revision).alias("revision"), F.struct(F.col(f.at).isNull().alias("late"), F.col(f.at).alias("at"), F.col(f.uid).alias("uid")).alias("turn"), words(F.coalesce(F.col(f.body), F.lit(""))).alias("words")
         )
         rows = rows.withColumn("body", F.when(F.col("words") != "", F.unhex(F.md5("words"))))
         # Rows alike in revision, document and body are a class: only its first row can be accepted.
@@ -425,7 +428,7 @@ class AcceptedIndex:
             near, live = None, firsts
             if self.parts:
                 near = self._near(candidates(marks, old, False, hot, self.hot), bodies, True)
-                live = firsts.join(self._known(firsts, self._reach(firsts, near)).select("cid").distinct(), "cid", "left_anti")
+                live = firsts.join(self._known(firsts, self._reach(self._company(firsts, near), near)).select("cid").distinct(), "cid", "left_anti")
             living = materialise(live.filter("body is not null").select("body").distinct().join(bodies.select("body", "id"), "body"), "living")
             live_marks = materialise(marks.join(small_side(living.select("id")), "id", "left_semi"), "live")
             _, share, _ = self._share(live_marks)
@@ -437,9 +440,9 @@ class AcceptedIndex:
             near = own if near is None else materialise(near.unionByName(own), "near")
             late_marks = marks.join(small_side(living.select("id")), "id", "left_anti")
 
-        reach = self._reach(firsts, near)
-        known = materialise(self._known(firsts, reach), "known") if self.parts else None
         met = self._company(firsts, near)
+        reach = self._reach(met, near)
+        known = materialise(self._known(firsts, reach), "known") if self.parts else None
         out = self._refused(met, reach, known)
         accepted = firsts.join(small_side(out), "cid", "left_anti")
 
@@ -453,7 +456,8 @@ class AcceptedIndex:
         else:  # what repeats older rows may repeat new ones as well
             more = self._near(candidates(late_marks, added_marks, False), bodies, False)
             near, winners = materialise(near.unionByName(more), "near"), stored
-            reach, met = self._reach(firsts, near), self._company(firsts, near)
+            met = self._company(firsts, near)
+            reach = self._reach(met, near)
         partners = self._related(met.unionByName(reach), winners)
         partners = materialise(partners if known is None else partners.unionByName(known), "partners")
         pairs = rows.select("uid", "turn", "cid").join(small_side(partners), "cid").filter("turn_b < turn")
@@ -467,10 +471,10 @@ class AcceptedIndex:
         return rows.select("cid", "uid", "turn", "document", "n", both).filter("key is not null")
 
     @staticmethod
-    def _reach(firsts: DataFrame, near: DataFrame) -> DataFrame:
-        """Each row under the bodies that its own is near to."""
-        far = firsts.join(small_side(near), F.col("body") == F.col("body_a"))
-        return counted(far.select("cid", "uid", "turn", "document", F.lit(BODY).alias("kind"), F.col("body_b").alias("key")), "reach")
+    def _reach(met: DataFrame, near: DataFrame) -> DataFrame:
+        """The rows of `met` under the bodies that their own are near to."""
+        own = met.filter(F.col("kind") == BODY).withColumnRenamed("key", "body_a")
+        return counted(own.join(small_side(near), "body_a").select("cid", "uid", "turn", "document", "kind", F.col("body_b").alias("key")), "reach")
 
     def _company(self, firsts: DataFrame, near: DataFrame) -> DataFrame:
         """The keys that several rows of the batch have or are near to, with their rows: acceptance is open for these alone."""
@@ -502,10 +506,7 @@ class AcceptedIndex:
         few = small_side(met)
         left = side(known, "a").join(few, "id_a")
         right = side(bodies, "b").join(F.broadcast(met.select("id_b")) if few is not met else met.select("id_b"), "id_b", "left_semi")
-        x, y = F.split("words_a", " "), F.split("words_b", " ")
-        k = F.shiftright(F.greatest(F.size(x), F.size(y)), 2)
-        likely = (F.size(F.array_except(x, y)) <= k) & (F.size(F.array_except(y, x)) <= k)  # each missing word is an edit
-        sure = left.join(right, "id_b").filter(likely).filter(near_equal("words_a", "words_b"))
+        sure = left.join(right, "id_b").filter(near_equal("words_a", "words_b"))
         both = F.inline(F.array(F.struct("body_a", "body_b"), F.struct(F.col("body_b").alias("body_a"), F.col("body_a").alias("body_b"))))
         return materialise(sure.select(both), "near")
 

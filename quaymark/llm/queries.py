@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +32,11 @@ def day_batches(rows: DataFrame, least: int) -> list[list[object]]:
 
 def repeats_by_day(spark: SparkSession, rows: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
     """Every row with the accepted rows it repeats, batch by batch against the index of what was accepted before."""
-    index, out, day = AcceptedIndex(spark), None, F.to_date("first_seen_at")
+    index, out, at = AcceptedIndex(spark), None, F.col("first_seen_at")
     for days in day_batches(rows, least):
-        known = day.isin([d for d in days if d is not None]) if any(d is not None for d in days) else F.lit(False)
-        found = index.take(rows.filter(known | day.isNull() if None in days else known))
+        known = [d for d in days if d is not None]
+        own = (at >= F.lit(known[0]).cast("timestamp")) & (at < F.lit(known[-1] + timedelta(days=1)).cast("timestamp")) if known else F.lit(False)
+        found = index.take(rows.filter(own | at.isNull() if None in days else own))
         out = found if out is None else out.unionByName(found)
     return out.select(F.col("uid_a").alias("evidence_uid_a"), F.col("uid_b").alias("evidence_uid_b"))
 
