@@ -80,9 +80,12 @@ def write_once(df: DataFrame, path: str, mode: str = "errorifexists", **options:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes once to the shared folder and reads back: lineage is cut, a lost executor loses nothing, sizes are known."""
-    return write_once(df, scratch_path(df.sparkSession, name))
+    path = scratch_path(df.sparkSession, name)
+    out = write_once(df, path, **options)
+    out.scratch = path
+    return out
 
 
 def counted(df: DataFrame, name: str) -> DataFrame:
@@ -93,6 +96,13 @@ def counted(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Removes tables made by `materialise` that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            remove_path(df.sparkSession, df.__dict__["scratch"])
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; for a materialised table that is the size of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
