@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quaymark.session import counted, materialise, scratch_path, small_side, write_once
+from quaymark.session import counted, discard, materialise, scratch_path, small_side, write_once
 
 #: Cells of the frozen frequency sketch that orders grams from rare to frequent: 1 MB, whatever the corpus.
 SKETCH_CELLS = 1 << 18
@@ -118,9 +118,9 @@ def prefix_length(places: list[int], size: int) -> int:
 
 
 #: place: size << 32 | place of the gram << 2 | copy in a further block << 1 | accepted before. doc: hash of the one document
-#: that has the text, 0 if several have. s0 to s3: a 256-bit sketch of the text's words.
-POSTING = "gram long, id long, doc long, place long, s0 long, s1 long, s2 long, s3 long"
-SKETCH = ("s0", "s1", "s2", "s3")
+#: that has the text, 0 if several have. s0, s1: a 128-bit sketch of the text's words.
+POSTING = "gram long, id long, doc long, place long, s0 long, s1 long"
+SKETCH = ("s0", "s1")
 OLD, COPY = 1, 2
 
 
@@ -135,8 +135,8 @@ def postings(bodies: DataFrame, sketch: np.ndarray) -> DataFrame:
                 continue
             start = np.cumsum(sizes) - sizes
             text = np.repeat(np.arange(len(sizes)), sizes)
-            mask = np.zeros((len(sizes), 4), np.uint64)
-            np.bitwise_or.at(mask, (text, (flat >> np.uint64(8)) & np.uint64(3)), np.uint64(1) << (flat & np.uint64(63)))
+            mask = np.zeros((len(sizes), 2), np.uint64)
+            np.bitwise_or.at(mask, (text, (flat >> np.uint64(8)) & np.uint64(1)), np.uint64(1) << (flat & np.uint64(63)))
             two, own = _grams(flat), text[:-1]
             inside = own == text[1:]
             at = (np.arange(len(two)) - start[own])[inside]
@@ -151,7 +151,7 @@ def postings(bodies: DataFrame, sketch: np.ndarray) -> DataFrame:
             of = own[order]
             place = sizes[of].astype(np.int64) << 32 | at[order] << 2
             ids, doc = b.column("id").to_numpy(), b.column("doc").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(two[order].view(np.int64)), pa.array(ids[of]), pa.array(doc[of]), pa.array(place), *[pa.array(mask[of, i].view(np.int64)) for i in range(4)]], names=["gram", "id", "doc", "place", *SKETCH])
+            yield pa.RecordBatch.from_arrays([pa.array(two[order].view(np.int64)), pa.array(ids[of]), pa.array(doc[of]), pa.array(place), *[pa.array(mask[of, i].view(np.int64)) for i in range(2)]], names=["gram", "id", "doc", "place", *SKETCH])
 
     return bodies.select("id", "doc", "codes").mapInArrow(run, POSTING)
 
@@ -349,7 +349,7 @@ class AcceptedIndex:
     def _append(self, name: str, df: DataFrame) -> DataFrame:
         """Writes this batch's part as a whole; what a batch that failed left there is replaced."""
         self.schemas[name] = df.schema
-        pages = {"parquet.page.row.count.limit": str(PAGE_ROWS), "parquet.enable.dictionary": "false"}
+        pages = {"parquet.page.row.count.limit": str(PAGE_ROWS), "parquet.enable.dictionary": "false", "compression": "zstd" if name == "bodies" else "lz4_raw"}
         return write_once(df.sortWithinPartitions(STORED[name]), f"{self.path}/{name}/part={self.parts}", "overwrite", **pages)
 
     @contextmanager
@@ -393,7 +393,7 @@ class AcceptedIndex:
         rows = rows.withColumn("body", F.when(F.col("words") != "", F.unhex(F.md5("words"))))
         # Rows alike in revision, document and body are a class: only its first row can be accepted.
         own = F.concat_ws("/", F.coalesce(F.hex("revision"), F.concat(F.lit("~"), F.col("uid"))), F.coalesce(F.hex("document"), F.lit("")), F.coalesce(F.hex("body"), F.lit("")))
-        whole = materialise(rows.withColumn("cid", F.unhex(F.md5(own))), "batch")
+        whole = materialise(rows.withColumn("cid", F.unhex(F.md5(own))), "batch", compression="zstd")
         out = []
         with self._pushing():
             while whole is not None:
@@ -410,7 +410,7 @@ class AcceptedIndex:
         firsts = counted(rows.groupBy("cid").agg(F.min("turn").alias("turn"), *[F.first(c).alias(c) for c in ("revision", "document", "body")], F.count(F.lit(1)).alias("n")).withColumn("uid", F.col("turn.uid")), "firsts")
         number = F.monotonically_increasing_id() + F.lit(self.parts).cast("long") * (1 << 48)
         texts = rows.filter("body is not null").groupBy("body").agg(F.first("words").alias("words"), _sole("document").alias("document"))
-        bodies = materialise(texts.withColumn("id", number), "bodies")
+        bodies = materialise(texts.withColumn("id", number), "bodies", compression="zstd")
         coded = bodies.select("id", F.when(F.col("document").isNull(), F.lit(0)).otherwise(F.xxhash64("document")).alias("doc"), codes(F.split("words", " ")).alias("codes"))
         if self.sketch is None:
             frequency_sketch(coded).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/sketch")
@@ -423,6 +423,8 @@ class AcceptedIndex:
         # One pass over old and new where few new ones meet; else the old ones first, so that what repeats them is out.
         late_marks = None
         if share == 1:
+            rows, whole = materialise(rows.select("uid", "turn", "cid"), "rows"), rows
+            discard(whole)  # the words are in bodies
             near = self._near(candidates(marks, old, True, hot, self.hot), bodies, self.parts > 0)
         else:
             near, live = None, firsts
@@ -434,8 +436,9 @@ class AcceptedIndex:
             _, share, _ = self._share(live_marks)
             head, tail = self._cut(rows, share) if share < 1 else (None, None)
             if head is not None:
+                discard(rows, firsts, bodies, marks, hot, near, living, live_marks)
                 pairs, more = self._next(head)
-                return pairs, tail if more is None else materialise(more.unionByName(tail), "rest")
+                return pairs, tail if more is None else materialise(more.unionByName(tail), "rest", compression="zstd")
             own = self._near(candidates(live_marks, None, True), bodies, False)
             near = own if near is None else materialise(near.unionByName(own), "near")
             late_marks = marks.join(small_side(living.select("id")), "id", "left_anti")
@@ -461,8 +464,10 @@ class AcceptedIndex:
         partners = self._related(met.unionByName(reach), winners)
         partners = materialise(partners if known is None else partners.unionByName(known), "partners")
         pairs = rows.select("uid", "turn", "cid").join(small_side(partners), "cid").filter("turn_b < turn")
+        pairs = materialise(pairs.select("uid", "uid_b"), "pairs")
+        discard(rows, firsts, bodies, marks, hot, near, met, reach, known, out, partners)
         self.parts += 1
-        return pairs.select("uid", "uid_b"), None
+        return pairs, None
 
     @staticmethod
     def _keys(rows: DataFrame) -> DataFrame:
