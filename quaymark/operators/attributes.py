@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quaymark.session import small_side
+from quaymark.session import materialise, small_side, write_once
 
 #: Rows of one entity beyond which its time line is cut into slices, and the number of slices.
 SLICE_ROWS, SLICES = 2_000_000, 64
@@ -37,6 +37,33 @@ def histories(df: DataFrame, entity: str, known_at: str, attributes: Mapping[str
     return out
 
 
+class AttributeHistories:
+    """The stored change histories of an entity's attributes, each by itself.
+
+    Folder: <attribute>/part=i, appended by every update and never rewritten. Updates may come in any order and repeat;
+    attributes may be updated at different times. A part that a failed update left is replaced.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, attributes: Mapping[str, bool]):
+        self.spark, self.path, self.attributes, self.parts = spark, path.rstrip("/"), dict(attributes), {a: 0 for a in attributes}
+
+    def update(self, df: DataFrame, entity: str, known_at: str, attributes: Sequence[str] | None = None) -> None:
+        """Appends what `df` says of `attributes` (all by default); each is read as a narrow column of its own."""
+        for name in self.attributes if attributes is None else attributes:
+            write_once(history(df, entity, known_at, name, self.attributes[name]), f"{self.path}/{name}/part={self.parts[name]}", "overwrite")
+            self.parts[name] += 1
+
+    def past(self) -> DataFrame:
+        """entity, attribute, known_at, value of all attributes that were ever updated, parts put together."""
+        out = None
+        for name, n in self.parts.items():
+            if n:
+                rows = self.spark.read.parquet(*[f"{self.path}/{name}/part={i}" for i in range(n)]).drop("part")
+                one = rows if n == 1 else history(rows.withColumnRenamed("value", name), "entity", "known_at", name, self.attributes[name])
+                out = one.select("entity", "attribute", "known_at", "value") if out is None else out.unionByName(one.select("entity", "attribute", "known_at", "value"))
+        return out
+
+
 def known_attributes(events: DataFrame, past: DataFrame, entity: str, at: str, attributes: Sequence[str], slice_rows: int = SLICE_ROWS, slices: int = SLICES) -> DataFrame:
     """Each event with the value of every attribute that was known last at or before its time, and since when.
 
@@ -44,31 +71,35 @@ def known_attributes(events: DataFrame, past: DataFrame, entity: str, at: str, a
     null attributes. Of values known from the same time the largest holds. An event column of an attribute's name is
     replaced. Repeated events stay repeated.
 
-    Events and histories are put on one time line per entity, where each attribute's last known value is matched
-    on its own and all are pivoted back in the same pass: one shuffle, no version is as wide as the entity. An entity
-    with more than `slice_rows` rows is cut into `slices` stretches of time, each a group of its own that starts with
-    what earlier stretches knew, so no entity is one task's work.
+    Only the distinct (entity, time) of the events are matched, on a time line per entity and attribute: each attribute's
+    last known value is found by itself, then the attributes are pivoted back to one row per (entity, time) and joined to
+    the events. No version is as wide as the entity and no event's payload is sorted. An entity with more than
+    `slice_rows` rows is cut into `slices` stretches of time, each a group of its own that starts with what earlier
+    stretches knew, so no entity is one task's work.
     """
-    taken = {"__at", "__kind", "__attribute", "__value", "__entity", "__slice"}
+    taken = {"__at", "__entity", *[f"__{i}" for i in range(len(attributes))]}
     keep = [c for c in events.columns if c not in {x for a in attributes for x in (a, f"{a}_known_at")}]
     assert not taken & set(keep), "column names with two leading underscores are reserved"
-    payload = F.struct(*[F.col(c) for c in keep])
-    left = events.select(F.col(entity).alias("__entity"), F.col(at).alias("__at"), F.lit(1).alias("__kind"), payload.alias("__event"))
-    placeable = F.col("__entity").isNotNull() & F.col("__at").isNotNull()
+    asked = events.select(F.col(entity).alias("__entity"), F.col(at).alias("__at")).filter(F.col("__entity").isNotNull() & F.col("__at").isNotNull())
+    asked = materialise(asked.distinct(), "asked")
+    names = F.explode(F.array(*[F.lit(a) for a in attributes]))
+    left = asked.select("*", F.lit(1).alias("__kind"), names.alias("__attribute"))
     right = past.filter(F.col("attribute").isin(list(attributes))).select(
         F.col("entity").alias("__entity"), F.col("known_at").alias("__at"), F.lit(0).alias("__kind"), F.col("attribute").alias("__attribute"), F.struct(F.col("value").alias("v"), F.col("known_at").alias("t")).alias("__value")
     )
-    line = left.filter(placeable).unionByName(right, allowMissingColumns=True)
-    sizes = line.groupBy("__entity").count().filter(F.col("count") > slice_rows)
-    group = ["__entity"]
-    if not sizes.isEmpty():
-        line, group = _sliced(line, sizes.select("__entity"), attributes, slices), ["__entity", "__slice"]
+    sizes = asked.select("__entity").unionByName(right.select("__entity")).groupBy("__entity").count()
+    hot = materialise(sizes.filter(F.col("count") > slice_rows).select("__entity"), "hot")
+    line, group = left.unionByName(right, allowMissingColumns=True), ["__entity", "__attribute"]
+    if not hot.isEmpty():
+        line, group = _sliced(line, hot, attributes, slices), [*group, "__slice"]
+    else:
+        line = line.repartition("__entity")  # serves the match and the pivot alike
     upto = Window.partitionBy(*group).orderBy("__at", "__kind", F.col("__value.v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    matched = [F.last(F.when(F.col("__attribute") == a, F.col("__value")), ignorenulls=True).over(upto).alias(f"__{i}") for i, a in enumerate(attributes)]
-    found = line.select("__kind", "__event", *matched).filter("__kind = 1")
-    out = found.select("__event.*", *[x for i, a in enumerate(attributes) for x in (F.col(f"__{i}.v").alias(a), F.col(f"__{i}.t").alias(f"{a}_known_at"))])
-    rest = events.filter(F.col(entity).isNull() | F.col(at).isNull()).select(*keep)
-    return out.unionByName(rest, allowMissingColumns=True)
+    found = line.withColumn("__known", F.last("__value", ignorenulls=True).over(upto)).filter("__kind = 1")
+    wide = found.groupBy("__entity", "__at").agg(*[F.first(F.when(F.col("__attribute") == a, F.col("__known")), ignorenulls=True).alias(f"__{i}") for i, a in enumerate(attributes)])
+    own = events.select(*keep)
+    out = own.join(wide, (own[entity] == wide["__entity"]) & (own[at] == wide["__at"]), "left")
+    return out.select(*keep, *[x for i, a in enumerate(attributes) for x in (F.col(f"__{i}.v").alias(a), F.col(f"__{i}.t").alias(f"{a}_known_at"))])
 
 
 def _sliced(line: DataFrame, hot: DataFrame, attributes: Sequence[str], slices: int) -> DataFrame:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.operators.attributes import histories, known_attributes
-from quaymark.operators.dedup import deduplicate, surplus
+from quaymark.operators.attributes import AttributeHistories, known_attributes
+from quaymark.operators.dedup import deduplicate, deduplicate_arrivals, surplus
 from quaymark.operators.features import feature_table
 from quaymark.operators.skew import compress, hot_keys, profile, weighted_percentiles
 from quaymark.operators.timestamps import TimestampDictionary
-from quaymark.session import scratch_path, small_side
+from quaymark.session import materialise, scratch_path, small_side, write_once
 from quaymark.sources.tables import table
-from quaymark.streaming.panes import panes, windows
+from quaymark.streaming.panes import PaneStore, panes, windows
 
 COPY_ORDER = ("ingested_at", "delivery_id")
 #: Attributes of a document that change on their own; True where a value is known from its first sight only.
@@ -29,14 +31,19 @@ def _in_micros(df: DataFrame) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    past = histories(table(spark, folder, "evidence"), "document_uid", "first_seen_at", {"revision_uid": True})
-    known = known_attributes(_matches(spark, folder), past, "document_uid", "as_of", ["revision_uid"])
+    stored = AttributeHistories(spark, scratch_path(spark, "histories"), {"revision_uid": True})
+    stored.update(table(spark, folder, "evidence"), "document_uid", "first_seen_at")
+    known = known_attributes(_matches(spark, folder), stored.past(), "document_uid", "as_of", ["revision_uid"])
     return known.filter("revision_uid is not null").select("match_uid", "revision_uid")
 
 
 def p1_attributes(spark: SparkSession, folder: str) -> DataFrame:
-    past = histories(table(spark, folder, "evidence"), "document_uid", "first_seen_at", DOCUMENT_ATTRIBUTES)
-    return _in_micros(known_attributes(_matches(spark, folder), past, "document_uid", "as_of", list(DOCUMENT_ATTRIBUTES)))
+    """The histories come in two updates, backfilled rows second, though they may be known from earlier."""
+    stored = AttributeHistories(spark, scratch_path(spark, "histories"), DOCUMENT_ATTRIBUTES)
+    evidence, late = table(spark, folder, "evidence"), F.coalesce(F.col("backfill"), F.lit(False))
+    for rows in (evidence.filter(~late), evidence.filter(late)):
+        stored.update(rows, "document_uid", "first_seen_at")
+    return _in_micros(known_attributes(_matches(spark, folder), stored.past(), "document_uid", "as_of", list(DOCUMENT_ATTRIBUTES)))
 
 
 def _fills(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -51,6 +58,25 @@ def p2_kept(spark: SparkSession, folder: str) -> DataFrame:
     return _in_micros(deduplicate(_fills(spark, folder, "market_uid", "actor_uid", "price", "size"), ["fill_uid"], COPY_ORDER))
 
 
+def _weeks(rows: DataFrame) -> list[DataFrame]:
+    """`rows` in batches by week of arrival, in order; rows without a time of arrival come in the last one."""
+    week = F.date_trunc("week", "ingested_at")
+    starts = [r[0] for r in rows.select(week.alias("w")).filter("w is not null").distinct().orderBy("w").collect()]  # one row a week
+    own = [rows.filter((F.col("ingested_at") >= a) & (F.col("ingested_at") < a + timedelta(days=7))) for a in starts]
+    none = rows.filter(F.col("ingested_at").isNull())
+    return [*own[:-1], own[-1].unionByName(none)] if own else [none]
+
+
+def p2_arrivals(spark: SparkSession, folder: str) -> DataFrame:
+    """Deliveries come week by week; a store takes one copy of each message, whenever copies come."""
+    rows, path, stored = _fills(spark, folder), scratch_path(spark, "store"), None
+    for i, batch in enumerate(_weeks(rows)):
+        fresh = deduplicate(batch, ["fill_uid"], COPY_ORDER) if stored is None else deduplicate_arrivals(batch, stored, ["fill_uid"], COPY_ORDER)
+        added = write_once(fresh, f"{path}/part={i}")
+        stored = added if stored is None else stored.unionByName(added)
+    return stored.select("delivery_id", "fill_uid")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = compress(table(spark, folder, "fills"), ["actor_uid"], ["market_uid"])
     kinds = [hot_keys(pairs, c, 40).select(F.lit(c.removesuffix("_uid")).alias("kind"), F.col(c).alias("key_uid")) for c in ("actor_uid", "market_uid")]
@@ -100,9 +126,26 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return readings.resolve(tables[0].unionByName(tables[1])).select("record_uid", "field_name", "instant_us")
 
 
-def _hours(spark: SparkSession, folder: str) -> DataFrame:
+def _stream_fills(spark: SparkSession, folder: str) -> DataFrame:
     copies = deduplicate(_fills(spark, folder, "market_uid", "event_time", "price", "size"), ["fill_uid"], COPY_ORDER)
-    return panes(copies.withColumn("notional", F.col("price") * F.col("size")), ["market_uid"], "event_time", "ingested_at", ["size", "notional"])
+    return copies.withColumn("notional", F.col("price") * F.col("size"))
+
+
+def _hours(spark: SparkSession, folder: str) -> DataFrame:
+    return panes(_stream_fills(spark, folder), ["market_uid"], "event_time", "ingested_at", ["size", "notional"])
+
+
+def p6_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The hours as last emitted when fills come week by week; old weeks are folded and closed hours retired on the way."""
+    store, out = PaneStore(spark, scratch_path(spark, "panes"), ["market_uid"], ["size", "notional"]), None
+    for i, batch in enumerate(_weeks(materialise(_stream_fills(spark, folder), "stream"))):
+        emitted = materialise(store.merge(batch, i, "event_time", "ingested_at").withColumn("batch", F.lit(i)), "emitted")
+        out = emitted if out is None else out.unionByName(emitted)
+        if i % 3 == 2:
+            came = batch.agg(F.min(F.unix_seconds("ingested_at"))).first()[0]
+            store.compact(i, came)
+    last = out.groupBy("market_uid", "period_start").agg(F.max_by(F.struct(*[c for c in out.columns if c not in ("market_uid", "period_start", "n_refused", "batch")]), "batch").alias("w"))
+    return last.select("market_uid", "period_start", "w.*")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,7 +160,7 @@ def p6_sliding(spark: SparkSession, folder: str) -> DataFrame:
     return windows(_hours(spark, folder), ["market_uid"], ["size", "notional"], width=6, step=2)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_attributes, p2_found, p2_kept, p3_found, p3_profiles, p3_percentiles, p4_features, p5_found, p6_found, p6_hours, p6_sliding)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_attributes, p2_found, p2_kept, p2_arrivals, p3_found, p3_profiles, p3_percentiles, p4_features, p5_found, p6_found, p6_hours, p6_sliding, p6_stream)}
 
 _COPIES = "(SELECT *, row_number() OVER (PARTITION BY fill_uid ORDER BY ingested_at, delivery_id) AS rn FROM fills)"
 _HISTORY = "SELECT document_uid, revision_uid, min(first_seen_at) AS known FROM evidence GROUP BY ALL"
@@ -143,11 +186,13 @@ SQL = {
     "p1_attributes": f"WITH h AS ({_HISTORY}), m AS ({_MATCHES}), r AS (SELECT match_uid, revision_uid, known AS revision_uid_known_at FROM (SELECT *, row_number() OVER (PARTITION BY match_uid ORDER BY known DESC, revision_uid DESC) AS k FROM m JOIN h ON h.document_uid = m.document_uid AND h.known <= m.as_of) WHERE k = 1) SELECT * REPLACE (epoch_us(as_of) AS as_of, epoch_us(revision_uid_known_at) AS revision_uid_known_at, epoch_us(title_known_at) AS title_known_at, epoch_us(url_known_at) AS url_known_at, epoch_us(publication_timestamp_status_known_at) AS publication_timestamp_status_known_at) FROM m LEFT JOIN r USING (match_uid) LEFT JOIN {_last_known('title')} USING (match_uid) LEFT JOIN {_last_known('url')} USING (match_uid) LEFT JOIN {_last_known('publication_timestamp_status')} USING (match_uid)",
     "p2_found": f"SELECT delivery_id FROM {_COPIES} WHERE rn > 1",
     "p2_kept": f"SELECT delivery_id, fill_uid, epoch_us(ingested_at) AS ingested_at, market_uid, actor_uid, price, size FROM {_COPIES} WHERE rn = 1",
+    "p2_arrivals": f"SELECT delivery_id, fill_uid FROM {_COPIES} WHERE rn = 1",
     "p3_found": "WITH k AS (SELECT 'actor' AS kind, actor_uid AS key_uid FROM fills UNION ALL SELECT 'market', market_uid FROM fills) SELECT kind, key_uid FROM k WHERE key_uid IS NOT NULL GROUP BY ALL HAVING count(*) * 40 >= (SELECT count(*) FROM fills)",
     "p3_profiles": "WITH k AS (SELECT 'actor' AS kind, actor_uid AS key_uid, market_uid AS v FROM fills UNION ALL SELECT 'market', market_uid, actor_uid FROM fills), c AS (SELECT kind, key_uid, v, count(*) AS n FROM k WHERE key_uid IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY kind, key_uid ORDER BY v IS NULL, n DESC, v) AS o FROM c) SELECT kind, key_uid, CAST(sum(n) AS BIGINT) AS n_rows, count(v) AS n_values, max(v) FILTER (o = 1) AS mode_uid, max(n) FILTER (o = 1 AND v IS NOT NULL) AS mode_rows FROM r GROUP BY kind, key_uid",
     "p3_percentiles": "WITH p AS (SELECT unnest([0.5, 0.9, 0.99]) AS fraction), r AS (SELECT market_uid, size, row_number() OVER (PARTITION BY market_uid ORDER BY size) AS k, count(*) OVER (PARTITION BY market_uid) AS n FROM fills WHERE market_uid IS NOT NULL AND size IS NOT NULL) SELECT market_uid, CAST(fraction AS DOUBLE) AS fraction, size AS size_at FROM r, p WHERE k = greatest(1, CAST(ceil(CAST(fraction AS DOUBLE) * n) AS BIGINT))",
     "p6_found": f"WITH {_HOURS} SELECT market_uid, pane AS period_start FROM p WHERE phase = 1 GROUP BY ALL",
     "p6_hours": f"WITH {_HOURS} {_windows('(SELECT *, pane AS period_start FROM p)')}",
+    "p6_stream": f"WITH {_HOURS}, w AS ({_windows('(SELECT *, pane AS period_start FROM p)')}) SELECT * EXCLUDE (n_refused) FROM w WHERE n > 0",
     "p6_sliding": f"WITH {_HOURS} {_windows('(SELECT *, pane - 3600 * i AS period_start FROM p, (SELECT unnest(range(6)) AS i) WHERE (pane // 3600 - i) % 2 = 0)')}",
 }
 
