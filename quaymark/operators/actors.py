@@ -54,14 +54,6 @@ def event_features(fills: DataFrame, burst: int = 3600, long_shot: float = 0.2)
     )
 
 
-def upper_tail(df: DataFrame, feature: str, by: Sequence[str] = ()) -> Column:
-    """Leave-one-out upper tail (1 + others at least as large) / (1 + others): one sort per feature, ties counted whole."""
-    order = Window.partitionBy(*by).orderBy(F.col(feature).desc())
-    at_least = F.count(feature).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    n = F.count(feature).over(Window.partitionBy(*by))
-    return F.when(F.col(feature).isNotNull(), at_least / n)
-
-
 def two_sided_tails(df: DataFrame, group: str, uid: str, value: str) -> DataFrame:
     """Leave-one-out two-sided tail around the leave-one-out median, per group. Rows of equal value have equal results, so
     rows are first counted per value; positions come from the cumulative counts, and a group holds its distinct values."""
@@ -93,16 +85,6 @@ def composite(surprises: Column, top: int = 5, least: int = 6, clip: float = 6.0
     return F.when(F.size(known) >= least, F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(best))
 
 
-def mid_rank(score: str, by: Sequence[str] = ()) -> dict[str, Column]:
-    """percentile (less + equal others / 2 + 1/2) / n, competition rank, dense rank and display order, descending."""
-    down, every = Window.partitionBy(*by).orderBy(F.col(score).desc()), Window.partitionBy(*by)
-    rank = F.rank().over(down)
-    same = F.count(F.lit(1)).over(Window.partitionBy(*by, score))
-    n = F.count(F.lit(1)).over(every)
-    less = n - rank + 1 - same
-    return {"percentile": (less + (same - 1) / 2 + 0.5) / n, "rank": rank, "tie_group": F.dense_rank().over(down), "ties": same}
-
-
 def nearest(df: DataFrame, uid: str, features: Sequence[str], k: int, group: str, furthest: float) -> DataFrame:
     """The `k` nearest peers of every row within its group by Euclid over `features` scaled by their deviation; ties by uid.
     reason is null with support, else nuisance_peer_support_insufficient (fewer than `k` peers; one row even without any)

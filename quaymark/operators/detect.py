@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quaymark.operators.ranks import sliced
 from quaymark.functions.scalars import bucket_end, logit, two_sided_tail
 
 SERIES = ("market_uid", "outcome_uid")
@@ -130,11 +131,23 @@ def benjamini_hochberg(df: DataFrame, group: str, p: str, tie: list[str]) -> Dat
     return ranked.withColumn("q", F.least(F.lit(1.0), q))
 
 
-def sessions(df: DataFrame, keys: list[str], at: str, gap: int) -> DataFrame:
-    """Adds session: a new one begins where more than `gap` seconds passed since the row before."""
-    order = Window.partitionBy(*keys).orderBy(at)
+def sessions(df: DataFrame, keys: list[str], at: str, gap: int, slice_rows: int = 2_000_000) -> DataFrame:
+    """Adds session: a new one begins where more than `gap` seconds passed since the row before. A key of more than
+    `slice_rows` rows is cut into stretches, which are counted apart and added up."""
+    cut = sliced(df, keys, F.col(at), [at], 1, slice_rows)
+    order = Window.partitionBy(*keys, "__slice").orderBy(at, F.col("__head").desc())
     fresh = F.coalesce(F.col(at) - F.lag(at).over(order) > gap, F.lit(True)).cast("int")
-    return df.withColumn("__new", fresh).withColumn("session", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    marked = cut.withColumn("__new", fresh).filter(~F.col("__head")).drop("__head")
+    own = marked.withColumn("session", F.sum("__new").over(Window.partitionBy(*keys, "__slice").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)))
+    per = marked.groupBy(*keys, "__slice").agg(F.sum("__new").alias("__n"))
+    before = per.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    hot = cut.select("__slice").filter("__slice > 0").isEmpty()
+    if hot:  # nothing was cut
+        return own.drop("__new", "__slice")
+    same = F.col("a.__slice") == F.col("b.__slice")
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return own.alias("a").join(before.alias("b"), same).select("a.*", "b.__before").withColumn("session", F.col("session") + F.col("__before")).drop("__new", "__slice", "__before")
 
 
 def incidents(signals: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quaymark.operators.graph import components
+from quaymark.operators.ranks import order_values, running_counts
 
 
 def _known() -> Column:
@@ -18,23 +19,25 @@ def _known() -> Column:
 def core_metrics(rows: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     """Per slice: rows, positives, negatives, labelled share, precision and recall at `k` (of labelled rows among the first k
     by score, uid), mean delay of detections in seconds."""
+    scored, hit, known = rows.filter("score is not null"), F.col("label") == "positive", _known()
     order = Window.partitionBy(*by).orderBy(F.col("score").desc(), "row_uid")
-    ranked = rows.filter("score is not null").withColumn("place", F.row_number().over(order))
-    top = F.col("place") <= k
-    hit, known = F.col("label") == "positive", _known()
-    return ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(hit).alias("positives"), F.count_if(F.col("label") == "negative").alias("negatives"), (F.count_if(known) / F.count(F.lit(1))).alias("labeled_fraction"),
-        F.try_divide(F.count_if(top & hit), F.count_if(top & known)).alias("precision_at_k"), F.try_divide(F.count_if(top & hit), F.count_if(hit)).alias("recall_at_k"), F.avg("delay").alias("mean_delay"),
+    best = scored.select(*by, "score", "row_uid", "label").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)  # cut before the shuffle
+    top = best.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.count_if(hit).alias("top_hits"), F.count_if(known).alias("top_known"))
+    every = scored.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_if(hit).alias("positives"), F.count_if(F.col("label") == "negative").alias("negatives"), F.count_if(known).alias("known"), F.avg("delay").alias("mean_delay"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return every.join(top, same, "left").select(
+        *by, "rows", "positives", "negatives", (F.col("known") / F.col("rows")).alias("labeled_fraction"), F.try_divide("top_hits", "top_known").alias("precision_at_k"), F.try_divide("top_hits", "positives").alias("recall_at_k"), "mean_delay"
     )
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
     """Mean of precision at each positive over labelled rows. Equal scores are one step, so order among ties is moot; the
-    running sums run over distinct scores, not rows."""
+    running sums run over ranges of distinct scores."""
     steps = rows.filter(_known() & F.col("score").isNotNull()).groupBy("score").agg(F.count_if(F.col("label") == "positive").alias("p"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = steps.withColumn("tp", F.sum("p").over(down)).withColumn("all", F.sum("n").over(down))
-    return run.agg(F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("all")), F.sum("p")).alias("average_precision"))
+    run = running_counts(steps, "score", ["p", "n"], descending=True)
+    return run.agg(F.try_divide(F.sum(F.col("p") * F.col("upto_p") / F.col("upto_n")), F.sum("p")).alias("average_precision"))
 
 
 def calibration(rows: DataFrame, bins: int) -> DataFrame:
@@ -67,8 +70,8 @@ def bootstrap(rows: DataFrame, cluster: str, draws: int, seed: int = 7) -> DataF
 def disjoint_split(rows: DataFrame, at: str, group: str, share: float) -> DataFrame:
     """Adds part: train up to the time by which `share` of the rows have happened, test after it; test rows of a group that
     train has seen are dropped as leaks."""
-    cut = rows.agg(F.percentile(F.unix_micros(at), F.lit(share))).scalar()
-    parted = rows.withColumn("part", F.when(F.unix_micros(at) <= cut, "train").otherwise("test"))
+    (cut,) = order_values(rows.select(F.unix_micros(at).alias("at")), "at", [share])
+    parted = rows.withColumn("part", F.when(F.unix_micros(at) <= F.lit(cut), "train").otherwise("test"))
     seen = parted.filter("part = 'train'").select(F.col(group).alias("__g")).distinct()
     leak = parted.filter("part = 'test'").join(seen, F.col(group) == F.col("__g"), "left_anti")
     return parted.filter("part = 'train'").unionByName(leak)
@@ -84,8 +87,8 @@ def component_split(rows: DataFrame, uid: str, links: Sequence[str], at: str, sh
     member = components(edges).filter(F.col("id").startswith("row:")).select(F.substring(F.col("id"), 5, 1 << 20).alias("__uid"), "component")
     joined = rows.join(member, rows[uid].cast("string") == member["__uid"])
     last = joined.groupBy("component").agg(F.max(at).alias("last"))
-    cuts = rows.agg(F.percentile(F.unix_micros(at), F.array(*[F.lit(s) for s in shares]))).scalar()
-    part = F.when(F.unix_micros("last") <= cuts[0], "train").when(F.unix_micros("last") <= cuts[1], "validation").otherwise("test")
+    cuts = order_values(rows.select(F.unix_micros(at).alias("at")), "at", shares)
+    part = F.when(F.unix_micros("last") <= F.lit(cuts[0]), "train").when(F.unix_micros("last") <= F.lit(cuts[1]), "validation").otherwise("test")
     return joined.join(last, "component").select(uid, "component", part.alias("part"))
 
 

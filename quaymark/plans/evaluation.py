@@ -62,8 +62,7 @@ def agg19(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("agg20_slices", with_(_ROWS) + "SELECT platform, label, count(*) AS n FROM er GROUP BY GROUPING SETS ((platform), (label))")
 def agg20(spark: SparkSession, folder: str) -> DataFrame:
-    eval_rows(spark, folder).createOrReplaceTempView("quaymark_eval_rows")
-    return spark.sql("SELECT platform, label, count(*) AS n FROM quaymark_eval_rows GROUP BY GROUPING SETS ((platform), (label))")
+    return eval_rows(spark, folder).groupingSets([["platform"], ["label"]], "platform", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("agg20b_slice_metrics", with_(_ROWS) + _core_sql("platform"))

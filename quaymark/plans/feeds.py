@@ -11,10 +11,11 @@ from quaymark.functions.scalars import abi_word, topic_address
 from quaymark.operators.ledger import chain, current_labels, registry_violations, verify
 from quaymark.plans.market import r6
 from quaymark.plans.registry import Registry
+from quaymark.plans.relations_sql import with_
 from quaymark.sources.inventory import missing_references, python_facts, tree
 from quaymark.sources.tables import table
 from quaymark.sources.wire import final_candles, frames, rest_trades, same_pairs
-from quaymark.streaming.sequences import run_once, sequence_states, split_late, stream_table, without_redeliveries
+from quaymark.streaming.sequences import run_once, run_updates, sequence_states, split_late, stream_table, without_redeliveries
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -158,9 +159,17 @@ def snk07(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # --- streams ---------------------------------------------------------------------------------------------------------
-@query("st02_sequence_gaps", "WITH e AS (SELECT event_type AS stream, event_id AS seq, CASE WHEN event_id % 11 = 0 THEN 'snapshot' ELSE 'delta' END AS kind FROM events), s AS (SELECT *, CASE WHEN seq - lag(seq) OVER w > 1 THEN 'gap' ELSE 'contiguous' END AS status FROM e WINDOW w AS (PARTITION BY stream ORDER BY seq)), l AS (SELECT *, max(CASE WHEN status = 'gap' THEN seq END) OVER w AS g, max(CASE WHEN kind = 'snapshot' THEN seq END) OVER w AS f FROM s WINDOW w AS (PARTITION BY stream ORDER BY seq)) SELECT stream, status, coalesce(g > coalesce(f, -1), false) AS withheld, count(*) AS n FROM l GROUP BY ALL")
+_ARRIVED = """e AS (SELECT event_type AS stream, event_id AS seq, CASE WHEN event_id % 11 = 0 THEN 'snapshot' ELSE 'delta' END AS kind, unnest([event_id * 10 + CASE WHEN event_id % 17 = 0 THEN 35 ELSE 0 END] || CASE WHEN event_id % 13 = 0 THEN [event_id * 10 + 55] ELSE [] END) AS arrived FROM events),
+ s AS (SELECT *, row_number() OVER w AS k, CASE WHEN seq <= max(seq) OVER b THEN 'replay' WHEN seq > max(seq) OVER b + 1 THEN 'gap' ELSE 'contiguous' END AS status FROM e WINDOW w AS (PARTITION BY stream ORDER BY arrived, seq), b AS (PARTITION BY stream ORDER BY arrived, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ l AS (SELECT *, max(CASE WHEN status = 'gap' THEN k END) OVER w AS g, max(CASE WHEN kind = 'snapshot' AND status <> 'replay' THEN k END) OVER w AS f FROM s WINDOW w AS (PARTITION BY stream ORDER BY k))"""
+
+
+@query("st02_sequence_gaps", with_(_ARRIVED) + "SELECT stream, status, status = 'replay' OR coalesce(g > coalesce(f, -1), false) AS withheld, count(*) AS n FROM l GROUP BY ALL")
 def st02(spark: SparkSession, folder: str) -> DataFrame:
-    stream = stream_table(spark, folder, "events").select(F.col("event_type").alias("stream"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 11 == 0, "snapshot").otherwise("delta").alias("kind"))
+    """Frames in order of arrival: every 17th comes out of order, every 13th again."""
+    seq = F.col("event_id")
+    times = F.filter(F.array(seq * 10 + F.when(seq % 17 == 0, 35).otherwise(0), F.when(seq % 13 == 0, seq * 10 + 55)), lambda t: t.isNotNull())
+    stream = stream_table(spark, folder, "events").select(F.col("event_type").alias("stream"), seq.alias("seq"), F.when(seq % 11 == 0, "snapshot").otherwise("delta").alias("kind"), F.explode(times).alias("arrived"))
     return run_once(sequence_states(stream), "sequences").groupBy("stream", "status", "withheld").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -182,9 +191,7 @@ def st11(spark: SparkSession, folder: str) -> DataFrame:
     """Five-minute counts, complete over what is there."""
     stream = stream_table(spark, folder, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
     counts = stream.groupBy("event_type", F.window("ts", "5 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("event_type", F.unix_micros("w.start").alias("window_start"), "n")
-    name = "quaymark_tumbling"
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return run_updates(counts, "tumbling", ["event_type", "window_start"])
 
 
 # --- source trees ----------------------------------------------------------------------------------------------------

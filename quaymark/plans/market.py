@@ -149,7 +149,7 @@ def flt16(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "markets").filter(F.lower("question").contains("bank") | F.lower("category").contains("bank")).select("market_uid", "question")
 
 
-@query("flt17_domain_rules", with_(BOOKS) + "SELECT snapshot_uid, p < 0 OR p > 1 AS price_out_of_range, 0.01 > 0 AND true AS levels_ordered, instr(market_uid, 'ev:') <> 1 AS prefix_wrong FROM books")
+@query("flt17_domain_rules", with_(BOOKS) + "SELECT snapshot_uid, (bids[1].price + asks[1].price) / 2 < 0 OR (bids[1].price + asks[1].price) / 2 > 1 AS price_out_of_range, bids[1].price > bids[2].price AND asks[1].price < asks[2].price AND bids[1].price < asks[1].price AS levels_ordered, instr(market_uid, 'ev:') <> 1 AS prefix_wrong FROM books")
 def flt17(spark: SparkSession, folder: str) -> DataFrame:
     middle = (F.get("bids", F.lit(0))["price"] + F.get("asks", F.lit(0))["price"]) / 2
     return books(spark, folder).select("snapshot_uid", ((middle < 0) | (middle > 1)).alias("price_out_of_range"), level_order_ok(F.col("bids"), F.col("asks")).alias("levels_ordered"), (~F.col("market_uid").startswith("ev:")).alias("prefix_wrong"))
@@ -176,7 +176,7 @@ def flt20(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # --- joins -----------------------------------------------------------------------------------------------------------
-@query("jn01_ticks_markets", "SELECT f.fill_uid, f.market_uid, m.question, epoch_us(f.event_time) AS event_time FROM fills f JOIN markets m USING (market_uid) ORDER BY m.question, f.event_time, f.delivery_id LIMIT 500")
+@query("jn01_ticks_markets", "SELECT f.fill_uid, f.market_uid, m.question, epoch_us(f.event_time) AS event_time FROM fills f JOIN markets m USING (market_uid)")
 def jn01(spark: SparkSession, folder: str) -> DataFrame:
     ticks = table(spark, folder, "fills").select("fill_uid", "market_uid", "event_time")
     named = ticks.join(small_side(table(spark, folder, "markets").select("market_uid", "question")), "market_uid")
@@ -196,7 +196,7 @@ def jn03(spark: SparkSession, folder: str) -> DataFrame:
     return signals.join(meta, "market_uid", "left").select("match_uid", F.coalesce("question", F.lit("unknown market")).alias("question"), F.coalesce("category", F.lit("none")).alias("category"), F.coalesce("liquidity", F.lit(0.0)).alias("liquidity"))
 
 
-@query("jn04_book_as_of", with_(EFILLS, BOOKS) + ", j AS (SELECT f.fill_uid, f.event_time, b.snapshot_uid, b.event_time AS t FROM (SELECT * FROM efills WHERE market_uid = 'ev:view') f LEFT JOIN (SELECT market_uid, event_time, max(snapshot_uid) AS snapshot_uid FROM books GROUP BY ALL) b ON b.market_uid = f.market_uid AND b.event_time = (SELECT max(event_time) FROM books x WHERE x.market_uid = f.market_uid AND x.event_time <= f.event_time - INTERVAL 1 SECOND)) SELECT fill_uid, CASE WHEN event_time - INTERVAL 1 SECOND - t <= INTERVAL 10 MINUTE THEN snapshot_uid END AS snapshot_uid FROM j")
+@query("jn04_book_as_of", with_(EFILLS, BOOKS, "b AS (SELECT market_uid, event_time, max(snapshot_uid) AS snapshot_uid FROM books GROUP BY ALL)") + "SELECT f.fill_uid, CASE WHEN f.event_time - INTERVAL 1 SECOND - b.event_time <= INTERVAL 10 MINUTE THEN b.snapshot_uid END AS snapshot_uid FROM efills f ASOF LEFT JOIN b ON f.market_uid = b.market_uid AND f.event_time - INTERVAL 1 SECOND >= b.event_time")
 def jn04(spark: SparkSession, folder: str) -> DataFrame:
     """The last book at or before a second ahead of the fill, unless older than ten minutes."""
     trades = event_fills(spark, folder).select("fill_uid", "market_uid", F.timestamp_micros(F.unix_micros("event_time") - 1_000_000).alias("before"))
@@ -312,7 +312,7 @@ def agg04(spark: SparkSession, folder: str) -> DataFrame:
     return bucket_prices(observations(spark, folder)).select("market_uid", "bucket", r6("price"), "source_time")
 
 
-@query("agg05_book_features", with_(BOOKS) + "SELECT snapshot_uid, 0.02 AS spread, CAST((event_id % 10 + 1) + (event_id % 20 + 2) AS DOUBLE) AS bid_depth, CAST((event_id % 10 + 1) + (event_id % 20 + 2) AS DOUBLE) AS ask_depth FROM books")
+@query("agg05_book_features", with_(BOOKS) + "SELECT snapshot_uid, round(asks[1].price - bids[1].price, 6) AS spread, list_sum(list_transform(bids[1:5], lambda x: x.size)) AS bid_depth, list_sum(list_transform(asks[1:5], lambda x: x.size)) AS ask_depth FROM books")
 def agg05(spark: SparkSession, folder: str) -> DataFrame:
     spread = F.get("asks", F.lit(0))["price"] - F.get("bids", F.lit(0))["price"]
     return books(spark, folder).select("snapshot_uid", r6(spread, "spread"), depth(F.col("bids")).alias("bid_depth"), depth(F.col("asks")).alias("ask_depth"))
@@ -386,7 +386,7 @@ def win04(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("observation_uid", r6("shock"), r6("past_mean"), r6("past_std"), r6("score"), "anomaly")
 
 
-@query("top02_top_anomalies", with_(OBS, _SHOCK) + "SELECT observation_uid, market_uid, round(score, 6) AS score FROM y WHERE abs(score) > 2.5 ORDER BY abs(score) DESC, observation_uid LIMIT 50")
+@query("top02_top_anomalies", with_(OBS, _SHOCK) + "SELECT observation_uid, market_uid, round(score, 6) AS score FROM y WHERE abs(score) > 2.5 ORDER BY abs(score) DESC, observation_uid")
 def top02(spark: SparkSession, folder: str) -> DataFrame:
     df = belief_shocks(observations(spark, folder), "market_uid", "event_time", "observation_uid").filter("anomaly")
     return df.orderBy(F.abs("score").desc(), "observation_uid").select("observation_uid", "market_uid", r6("score"))
@@ -428,7 +428,7 @@ def _scored(spark: SparkSession, folder: str) -> DataFrame:
     return trailing_scores(grid.select(*SERIES, "bucket", F.abs("move_5").alias("value")), "value", SURVEYED)
 
 
-@query("win05_baseline_gate", with_(OBS, _PRICE, _GRID) + "SELECT market_uid, bucket, CASE WHEN n_buckets < 30 OR elapsed < 7200 THEN 'none' ELSE 'ready' END AS gate, n_buckets, n_values FROM (SELECT market_uid, bucket, count(*) OVER w AS n_buckets, count(move_5) OVER w AS n_values, bucket - min(bucket) OVER w AS elapsed FROM m2 WINDOW w AS (PARTITION BY market_uid ORDER BY bucket RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING))")
+@query("win05_baseline_gate", with_(OBS, _PRICE, _GRID) + "SELECT market_uid, bucket, CASE WHEN n_buckets < 288 OR elapsed < 86400 THEN 'none' ELSE 'ready' END AS gate, n_buckets, n_values FROM (SELECT market_uid, bucket, count(*) OVER w AS n_buckets, count(move_5) OVER w AS n_values, bucket - min(bucket) OVER w AS elapsed FROM m2 WINDOW w AS (PARTITION BY market_uid ORDER BY bucket RANGE BETWEEN 604800 PRECEDING AND 1 PRECEDING))")
 def win05(spark: SparkSession, folder: str) -> DataFrame:
     grid = moves(dense_grid(bucket_prices(observations(spark, folder))))
     past = Window.partitionBy(*SERIES).orderBy("bucket").rangeBetween(-SURVEYED.baseline, -1)

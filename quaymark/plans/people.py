@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quaymark.functions.scalars import surprise
-from quaymark.operators.actors import actor_features, composite, enroll, event_features, mid_rank, nearest, positions, two_sided_tails, upper_tail
+from quaymark.operators.actors import actor_features, composite, enroll, event_features, nearest, positions, two_sided_tails
 from quaymark.operators.asof import admit, instant, ordered_reason, reasons
+from quaymark.operators.ranks import placed, running_counts, upper_tails
 from quaymark.plans.market import FLT09, admission_reason, r6
 from quaymark.plans.registry import Registry
 from quaymark.plans.relations_sql import FILLS, with_
@@ -52,7 +53,7 @@ def agg11(spark: SparkSession, folder: str) -> DataFrame:
     """1 + number of larger ones: from counts per value, so that no task sorts all actors."""
     per = actor_features(fills(spark, folder)).select("actor_uid", "fills")
     values = per.groupBy("fills").agg(F.count(F.lit(1)).alias("ties"))
-    ranked = values.withColumn("rank", F.sum("ties").over(Window.orderBy(F.col("fills").desc())) - F.col("ties") + 1)
+    ranked = running_counts(values, "fills", ["ties"], descending=True).withColumn("rank", F.col("upto_ties") - F.col("ties") + 1)
     return per.join(ranked, "fills").select("actor_uid", "rank", "ties")
 
 
@@ -73,14 +74,14 @@ def win13(spark: SparkSession, folder: str) -> DataFrame:
     per = actor_features(fills(spark, folder)).select("actor_uid", "fills")
     values = per.groupBy("fills").agg(F.count(F.lit(1)).alias("c"))
     n = values.agg(F.sum("c")).scalar()
-    tails = values.withColumn("tail", F.sum("c").over(Window.orderBy(F.col("fills").desc())) / n)
+    tails = running_counts(values, "fills", ["c"], descending=True).withColumn("tail", F.col("upto_c") / n)
     return per.join(tails, "fills").select("actor_uid", r6("tail"), r6(surprise(F.col("tail")), "surprise"))
 
 
 _TWO = "t AS (SELECT market_uid, fill_uid, CAST(price AS DOUBLE) AS v FROM f), l AS (SELECT a.market_uid, a.fill_uid, a.v, median(b.v) AS m FROM t a JOIN t b ON a.market_uid = b.market_uid AND a.fill_uid <> b.fill_uid GROUP BY ALL)"
 
 
-@query("win14_two_sided_tail", with_(FILLS, _TWO.replace("FROM f)", "FROM f WHERE actor_uid IS NULL)")) + "SELECT l.fill_uid, round(l.m, 6) AS loo_median, round((1 + count(*) FILTER (abs(b.v - l.m) >= abs(l.v - l.m) - 1e-12)) / (1 + count(*)), 6) AS tail FROM l JOIN t b ON l.market_uid = b.market_uid AND l.fill_uid <> b.fill_uid GROUP BY l.fill_uid, l.m")
+@query("win14_two_sided_tail", with_(FILLS, _TWO) + "SELECT l.fill_uid, round(l.m, 6) AS loo_median, round((1 + count(*) FILTER (abs(b.v - l.m) >= abs(l.v - l.m) - 1e-12)) / (1 + count(*)), 6) AS tail FROM l JOIN t b ON l.market_uid = b.market_uid AND l.fill_uid <> b.fill_uid GROUP BY l.fill_uid, l.m")
 def win14(spark: SparkSession, folder: str) -> DataFrame:
     rows = fills(spark, folder).select("market_uid", "fill_uid", F.col("price").cast("double").alias("v"))
     return two_sided_tails(rows, "market_uid", "fill_uid", "v").filter("tail is not null").select("fill_uid", r6("loo_median"), r6("tail"))
@@ -93,8 +94,8 @@ _SURF = ("fills", "notional", "largest", "long_shot_share", "burst", "slots", "m
 def _surprises(spark: SparkSession, folder: str) -> DataFrame:
     df = event_features(fills(spark, folder))
     df = df.select("actor_uid", "fills", *[F.round(c, 9).alias(c) for c in ("notional", "largest", "long_shot_share")], "burst", "slots", "markets")
-    for c in _SURF:
-        df = df.withColumn(f"s_{c}", surprise(upper_tail(df, c)))
+    df = upper_tails(df, "actor_uid", _SURF)
+    df = df.withColumns({f"s_{c}": surprise(F.col(f"tail_{c}")) for c in _SURF})
     return df.withColumn("composite", composite(F.array(*[F.col(f"s_{c}") for c in _SURF])))
 
 
@@ -109,8 +110,7 @@ def win15(spark: SparkSession, folder: str) -> DataFrame:
 @query("cmp05_cohort_ranking", with_(FILLS, _COMP) + "SELECT actor_uid, rank, tie_group, round(p, 6) AS percentile, CASE WHEN p >= 0.99 THEN 'extreme' WHEN p >= 0.95 THEN 'elevated' ELSE 'typical' END AS band FROM (SELECT *, ((SELECT count(*) FROM cp) - rank + 1 - ties + (ties - 1) / 2 + 0.5) / (SELECT count(*) FROM cp) AS p FROM (SELECT actor_uid, rank() OVER (ORDER BY c DESC) AS rank, dense_rank() OVER (ORDER BY c DESC) AS tie_group, count(*) OVER (PARTITION BY c) AS ties FROM (SELECT actor_uid, round(composite, 6) AS c FROM cp)))")
 def cmp05(spark: SparkSession, folder: str) -> DataFrame:
     df = _surprises(spark, folder).select("actor_uid", r6("composite"))
-    for name, column in mid_rank("composite").items():
-        df = df.withColumn(name, column)
+    df = placed(df, "composite")
     band = F.when(F.col("percentile") >= 0.99, "extreme").when(F.col("percentile") >= 0.95, "elevated").otherwise("typical")
     return df.select("actor_uid", F.col("rank").cast("long").alias("rank"), F.col("tie_group").cast("long").alias("tie_group"), r6("percentile"), band.alias("band"))
 
@@ -123,7 +123,7 @@ def win18(spark: SparkSession, folder: str) -> DataFrame:
     return per.orderBy(*order).limit(25).select("actor_uid", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
 
 
-@query("jn13_nearest_peers", with_(FILLS, _AF, "n AS (SELECT actor_uid, CASE WHEN markets > 3 THEN 'wide' ELSE 'narrow' END AS style, CAST(fills AS DOUBLE) AS x, CAST(markets AS DOUBLE) AS y FROM af), sd AS (SELECT stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM n), ca AS (SELECT * FROM n ORDER BY actor_uid LIMIT 5), d AS (SELECT ca.actor_uid, n.actor_uid AS peer, sqrt(pow((ca.x - n.x) / sx, 2) + pow((ca.y - n.y) / sy, 2)) AS distance FROM ca JOIN n ON ca.style = n.style AND ca.actor_uid <> n.actor_uid, sd)") + "SELECT actor_uid, round(distance, 6) AS distance, place FROM (SELECT *, row_number() OVER (PARTITION BY actor_uid ORDER BY distance, peer) AS place FROM d) WHERE place <= 5")
+@query("jn13_nearest_peers", with_(FILLS, _AF, "n AS (SELECT actor_uid, CASE WHEN markets > 3 THEN 'wide' ELSE 'narrow' END AS style, CAST(fills AS DOUBLE) AS x, CAST(markets AS DOUBLE) AS y FROM af), sd AS (SELECT stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM n), d AS (SELECT a.actor_uid, n.actor_uid AS peer, sqrt(pow((a.x - n.x) / sx, 2) + pow((a.y - n.y) / sy, 2)) AS distance FROM n a LEFT JOIN n ON a.style = n.style AND a.actor_uid <> n.actor_uid, sd), p AS (SELECT *, row_number() OVER (PARTITION BY actor_uid ORDER BY distance, peer) AS place FROM d), q AS (SELECT actor_uid, CASE WHEN count(peer) < 20 THEN 'nuisance_peer_support_insufficient' WHEN max(distance) > 4 THEN 'nuisance_support_ood' END AS reason FROM p WHERE place <= 20 GROUP BY actor_uid)") + "SELECT actor_uid, round(distance, 6) AS distance, CASE WHEN peer IS NOT NULL THEN place END AS place, reason FROM p JOIN q USING (actor_uid) WHERE place <= 20")
 def jn13(spark: SparkSession, folder: str) -> DataFrame:
     rows = actor_features(fills(spark, folder)).select("actor_uid", F.when(F.col("markets") > 3, "wide").otherwise("narrow").alias("style"), F.col("fills").cast("double").alias("x"), F.col("markets").cast("double").alias("y"))
     return nearest(rows, "actor_uid", ["x", "y"], 20, "style", 4.0).select("actor_uid", r6("distance"), F.col("place").cast("long").alias("place"), "reason")

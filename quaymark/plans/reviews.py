@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quaymark.functions.scalars import dot, half_life_weight, lead_hours, logit, norm, sigmoid, surprise
-from quaymark.operators.actors import actor_features, mid_rank
+from quaymark.operators.actors import actor_features
+from quaymark.operators.ranks import placed
 from quaymark.operators.asof import admit, instant, ordered_reason, reasons
 from quaymark.plans.evaluation import _EDGES, _ROWS, edges, eval_rows
 from quaymark.plans.market import CUTOFF, FILL_CUTOFF, r6
@@ -92,15 +93,14 @@ def agg30(spark: SparkSession, folder: str) -> DataFrame:
 @query("win16_mid_rank", with_(_ROWS) + "SELECT row_uid, round((n - r + 1 - t + (t - 1) / 2 + 0.5) / n, 6) AS percentile, r AS rank, t AS ties FROM (SELECT row_uid, count(*) OVER (PARTITION BY platform) AS n, rank() OVER (PARTITION BY platform ORDER BY s DESC) AS r, count(*) OVER (PARTITION BY platform, s) AS t FROM (SELECT row_uid, platform, round(score, 2) AS s FROM er WHERE score IS NOT NULL))")
 def win16(spark: SparkSession, folder: str) -> DataFrame:
     rows = eval_rows(spark, folder).filter("score is not null").select("row_uid", "platform", F.round("score", 2).alias("s"))
-    m = mid_rank("s", ["platform"])
-    return rows.select("row_uid", r6(m["percentile"], "percentile"), m["rank"].cast("long").alias("rank"), m["ties"].alias("ties"))
+    return placed(rows, "s", ["platform"]).select("row_uid", r6("percentile"), "rank", "ties")
 
 
 @query("win17_ranks", with_(_ROWS) + "SELECT row_uid, rank() OVER w AS rank, dense_rank() OVER w AS tie_group, row_number() OVER (PARTITION BY platform ORDER BY round(score, 2) DESC, row_uid) AS display_order FROM er WHERE score IS NOT NULL WINDOW w AS (PARTITION BY platform ORDER BY round(score, 2) DESC)")
 def win17(spark: SparkSession, folder: str) -> DataFrame:
     rows = eval_rows(spark, folder).filter("score is not null").select("row_uid", "platform", F.round("score", 2).alias("s"))
-    w = Window.partitionBy("platform").orderBy(F.col("s").desc())
-    return rows.select("row_uid", F.rank().over(w).cast("long").alias("rank"), F.dense_rank().over(w).cast("long").alias("tie_group"), F.row_number().over(Window.partitionBy("platform").orderBy(F.col("s").desc(), "row_uid")).cast("long").alias("display_order"))
+    within = F.row_number().over(Window.partitionBy("platform", "s").orderBy("row_uid"))
+    return placed(rows, "s", ["platform"]).select("row_uid", "rank", "tie_group", (F.col("rank") - 1 + within).cast("long").alias("display_order"))
 
 
 @query("sc01_log_odds", with_(OBS) + "SELECT observation_uid, CASE WHEN price IS NOT NULL THEN round(ln(greatest(least(price, 1 - 1e-6), 1e-6) / (1 - greatest(least(price, 1 - 1e-6), 1e-6))), 6) END AS log_odds FROM obs")
@@ -134,7 +134,7 @@ def sc16(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select("vec_id", r6(F.sqrt(dot(v, v)), "length"), r6(F.get(v, F.lit(0)).cast("double") / norm(v), "first"))
 
 
-@query("top03_actionable", with_(_ROWS) + "SELECT row_uid FROM er WHERE label = 'positive' ORDER BY round(1 - score, 4), score DESC, row_uid LIMIT 40")
+@query("top03_actionable", with_(_ROWS) + "SELECT row_uid FROM er WHERE label = 'positive' ORDER BY round(1 - score, 4), score DESC, row_uid")
 def top03(spark: SparkSession, folder: str) -> DataFrame:
     rows = eval_rows(spark, folder).filter("label = 'positive'")
     return rows.orderBy(F.round(1 - F.col("score"), 4), F.col("score").desc(), "row_uid").select("row_uid")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,18 +21,20 @@ PIECE = 100_000
 
 
 def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A key's frames come in chunks in no order, so all are gathered first: per frame, a number and the code of its kind."""
+    """A key's frames come in chunks in no order, so all are gathered first: per frame, its arrival, a number and the code of
+    its kind."""
     last, gap = state.get if state.exists else (None, False)
-    names, seqs, codes = {}, [], []
+    names, seqs, codes, came = {}, [], [], []
     for pdf in frames:
         seqs.append(pdf["seq"].to_numpy("int64", na_value=-1) if pdf["seq"].dtype != "float64" else pdf["seq"].fillna(-1).to_numpy("int64"))
+        came.append(pdf["arrived"].to_numpy("int64") if "arrived" in pdf else np.zeros(len(pdf), "int64"))
         code, kinds = pd.factorize(pdf["kind"], use_na_sentinel=False)
         codes.append(np.array([names.setdefault(None if pd.isna(k) else k, len(names)) for k in kinds], "int32")[code])
     seq, code = np.concatenate(seqs), np.concatenate(codes)
     kinds = np.array(list(names), object)
     rank = np.empty(len(kinds), "int32")
     rank[sorted(range(len(kinds)), key=lambda i: (kinds[i] is None, kinds[i] or ""))] = np.arange(len(kinds))
-    order = np.lexsort((rank[code], seq))
+    order = np.lexsort((rank[code], seq, np.concatenate(came)))
     for start in range(0, len(seq), PIECE):
         at = order[start : start + PIECE]
         s, k = seq[at], kinds[code[at]]
@@ -55,8 +57,9 @@ def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
 
 def sequence_states(frames: DataFrame) -> DataFrame:
     """Per stream and frame (stream, seq, kind): contiguous, gap, replay or invalid; after a gap frames are withheld until a
-    full snapshot comes. State is two values per stream; frames of one stream and batch are taken in order of seq,
-    whatever files and chunks they come in; a task holds twenty-odd bytes for each frame of the stream in the batch."""
+    full snapshot comes, which closes the gap. State is two values per stream. Frames of one stream and batch are taken in
+    order of `arrived` (a long, never null) if there is such a column, then seq, whatever files and chunks they come in; a
+    task holds twenty-odd bytes for each frame of the stream in the batch."""
     return frames.groupBy("stream").applyInPandasWithState(_step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -68,6 +71,19 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_updates(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """Runs an aggregating stream over what is there; each batch writes the groups it changed, of which the last count."""
+    spark, out = stream.sparkSession, scratch_path(stream.sparkSession, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a batch that runs again replaces itself
+
+    stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(out)
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__r")).select(*keys, "__r.*").select(*stream.columns)
+
+
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table as a stream of its files, a single file or a folder of them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")

@@ -168,3 +168,38 @@ def test_scenarios_inherit_tags(spark):
     text = "@all\nFeature: x\n\n  @one\n  Scenario: first\n  Scenario Outline: second\n"
     got = scenarios(spark.createDataFrame(pd.DataFrame({"path": ["f"], "content": [text.encode()]}), "path string, content binary")).orderBy("line").collect()
     assert [(r["title"], r["tags"], r["line"]) for r in got] == [("first", ["@all", "@one"], 5), ("second", ["@all"], 6)]
+
+
+def test_ranks_over_ranges_equal_plain_ones(spark):
+    from quaymark.operators.ranks import order_values, placed, running_counts, upper_tails
+
+    dice = random.Random(9)
+    rows = [(i, dice.choice("ab"), None if i % 17 == 0 else round(dice.random() ** 3, 2)) for i in range(700)]
+    df = spark.createDataFrame(rows, "i int, g string, v double")
+    for g in "ab":
+        own = sorted((v for _, h, v in rows if h == g and v is not None), reverse=True)
+        for r in placed(df, "v", ["g"]).filter((F.col("g") == g) & F.col("v").isNotNull()).collect():
+            assert r["rank"] == 1 + sum(x > r["v"] for x in own) and r["ties"] == own.count(r["v"]) and r["tie_group"] == len({x for x in own if x >= r["v"]})
+            assert r["percentile"] == pytest.approx((sum(x < r["v"] for x in own) + (own.count(r["v"]) - 1) / 2 + 0.5) / len(own))
+    values = sorted(v for *_, v in rows if v is not None)
+    run = {r["v"]: r["upto_n"] for r in running_counts(df.filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n")), "v", ["n"]).collect()}
+    assert all(run[v] == sum(x <= v for x in values) for v in set(values))
+    place = 0.37 * (len(values) - 1)
+    want = values[int(place)] + (values[int(place) + 1] - values[int(place)]) * (place - int(place))
+    assert order_values(df, "v", [0.0, 0.37, 1.0]) == pytest.approx([values[0], want, values[-1]])
+    tails = {r["i"]: r["tail_v"] for r in upper_tails(df.select("i", "v"), "i", ["v"]).collect()}
+    assert all(tails[i] == (None if v is None else sum(x >= v for x in values) / len(values)) for i, _, v in rows)
+    assert order_values(df.limit(0), "v", [0.5]) == [None] and placed(df.limit(0), "v").count() == 0
+
+
+def test_slices_of_a_hot_key_change_nothing(spark):
+    from quaymark.operators.detect import sessions
+    from quaymark.operators.shocks import belief_shocks
+
+    dice = random.Random(4)
+    rows = [(dice.choice("hhhhx"), t, f"t{t}", dice.random()) for t in sorted(dice.sample(range(100_000), 500))]
+    df = spark.createDataFrame(rows, "m string, s long, uid string, price double").withColumn("at", F.timestamp_seconds("s"))
+    plain, cut = (sorted(map(tuple, belief_shocks(df, "m", "at", "uid", slice_rows=n).select("uid", "shock", "past_mean", "past_std", "score", "anomaly").collect())) for n in (10**6, 60))
+    assert len(plain) == 500 and all(a[0] == b[0] and a[5] == b[5] and a[1:5] == pytest.approx(b[1:5]) for a, b in zip(plain, cut))
+    one, two = (sorted(map(tuple, sessions(df.select("m", "s"), ["m"], "s", 300, slice_rows=n).collect())) for n in (10**6, 60))
+    assert one == two

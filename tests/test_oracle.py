@@ -11,6 +11,6 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - {"p4_features"}))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
     assert difference(spark, con, entry.queries()[name], entry.oracle_sql()[name], FOLDER) == ""
