@@ -6,14 +6,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quaymark.operators.ranks import sliced
 from quaymark.functions.scalars import bucket_end, logit, two_sided_tail
+from quaymark.operators.asof import reasons
+from quaymark.operators.ranks import sliced
+from quaymark.session import small_side
 
 SERIES = ("market_uid", "outcome_uid")
+#: Fixed value: the median absolute deviation of a standard normal.
+MAD_TO_SIGMA = 0.6744897501960817
 
 
 @dataclass(frozen=True)
@@ -21,12 +25,16 @@ class Rules:
     width: int = 300
     carry: int = 600
     baseline: int = 7 * 86_400
-    least_buckets: int = 30
-    least_elapsed: int = 7_200
-    least_values: int = 30
-    least_tail: int = 30
+    least_buckets: int = 288
+    least_elapsed: int = 86_400
+    least_values: int = 288
+    least_tail: int = 100
     alpha: float = 0.05
     cooldown: int = 1800
+    scheduled: int = 3600
+    near_close: int = 3600
+    thin: float = 100.0
+    sibling_ratio: float = 0.25
 
 
 def bucket_prices(obs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -69,18 +77,31 @@ def moves(grid: DataFrame) -> DataFrame:
     return df.withColumn("move_5", F.col("logit") - F.lag("logit", 1).over(order)).withColumn("move_30", F.col("logit") - F.lag("logit", 6).over(order))
 
 
-def sibling_residual(df: DataFrame, events: DataFrame) -> DataFrame:
-    """residual = move less the mean move of other markets of the same event in the bucket; null without siblings. Sums
-    over (event, bucket) less the own market's share replace any pairing of siblings."""
-    joined = df.join(events, "market_uid", "left")
+def sibling_residual(df: DataFrame, events: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """residual = move less the median move of other markets of the same event in the bucket; null without siblings.
+
+    The moves of an event's bucket are gathered once, not paired; an event has at most some hundreds of markets."""
+    joined = df.join(events.select("market_uid", "event_uid"), "market_uid", "left")
     group = Window.partitionBy("event_uid", "bucket")
-    own = Window.partitionBy("event_uid", "bucket", "market_uid")
-    n = F.count("move_5").over(group) - F.count("move_5").over(own)
-    s = F.sum("move_5").over(group) - F.coalesce(F.sum("move_5").over(own), F.lit(0.0))
-    known = F.col("event_uid").isNotNull() & (n > 0)
-    out = joined.withColumn("siblings", F.when(F.col("event_uid").isNotNull(), n).otherwise(0)).withColumn("residual", F.when(known, F.col("move_5") - s / F.when(n > 0, n)))
-    repriced = (F.signum("residual") == F.signum("move_5")) & (F.abs("residual") <= 0.25 * F.abs("move_5")) | (F.col("residual") == 0)
-    return out.withColumn("sibling_repricing", F.coalesce(repriced & (F.col("move_5") != 0), F.lit(False)))
+    moved = joined.withColumn("__all", F.collect_list(F.when(F.col("move_5").isNotNull(), F.struct("market_uid", F.col("move_5").alias("m")))).over(group))
+    others = F.array_sort(F.transform(F.filter("__all", lambda x: x["market_uid"] != F.col("market_uid")), lambda x: x["m"]))
+    n = F.size("__others")
+    middle = (F.get("__others", F.floor((n - 1) / 2).cast("int")) + F.get("__others", F.floor(n / 2).cast("int"))) / 2
+    known = F.col("event_uid").isNotNull() & F.col("move_5").isNotNull() & (n > 0)
+    out = moved.withColumn("__others", others).withColumn("__middle", F.when(known, middle))
+    out = out.withColumn("siblings", F.when(F.col("event_uid").isNotNull(), n).otherwise(0).cast("long")).withColumn("residual", F.col("move_5") - F.col("__middle"))
+    repriced = (F.col("move_5") * F.col("__middle") > 0) & (F.abs("residual") <= rules.sibling_ratio * F.greatest(F.abs("move_5"), F.lit(1e-12)))
+    return out.withColumn("sibling_repricing", F.coalesce(repriced, F.lit(False))).drop("__all", "__others", "__middle")
+
+
+def control_tags(at: Column, controlled: Column, live: Column, scheduled: Column, closes: Column, liquidity: Column, rules: Rules = Rules()) -> Column:
+    """What may explain a move at `at` (seconds): sorted tags; one tag alone if the market has no control row."""
+    left = F.unix_micros(closes) / 1e6 - at
+    tags = {
+        "live_event": live, "scheduled_announcement_window": F.abs(F.unix_micros(scheduled) / 1e6 - at) <= rules.scheduled, "time_to_close_lt_1h": left.between(0, rules.near_close),
+        "liquidity_unknown": liquidity.isNull(), "thin_liquidity": liquidity < rules.thin,
+    }
+    return F.when(controlled, reasons(tags)).otherwise(F.array(F.lit("control_metadata_unavailable")))
 
 
 def trailing_scores(df: DataFrame, value: str = "value", rules: Rules = Rules()) -> DataFrame:
@@ -110,7 +131,7 @@ def trailing_scores(df: DataFrame, value: str = "value", rules: Rules = Rules())
             away = np.abs(past - middle)
             mad = float(np.median(away))
             if mad > 0:
-                rows.append((n, len(past), middle, mad, "normal", abs(0.67449 * (v[i] - middle) / mad), None))
+                rows.append((n, len(past), middle, mad, "normal", abs(MAD_TO_SIGMA * (v[i] - middle) / mad), None))
             elif len(past) >= rules.least_tail:
                 p = (1 + int((away >= abs(v[i] - middle)).sum())) / (1 + len(past))
                 rows.append((n, len(past), middle, mad, "tail", -np.log10(p), p))
@@ -157,14 +178,19 @@ def incidents(signals: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return marked.groupBy(*SERIES, "session").agg(F.min("bucket").alias("started"), F.max("bucket").alias("ended"), F.count(F.lit(1)).alias("signals"), F.max("score").alias("peak_score"), (-F.max(peak)["b"]).alias("peak_bucket"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"))
 
 
-def detect(obs: DataFrame, fills: DataFrame, events: DataFrame, rules: Rules = Rules()) -> DataFrame:
+CONTROLS = {"live_event": "boolean", "scheduled_announcement_at": "timestamp", "closes_at": "timestamp", "liquidity": "double"}
+
+
+def detect(obs: DataFrame, fills: DataFrame, controls: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """From observations and fills to incidents: prices, dense grid, moves, sibling residuals, trailing baselines,
-    false-discovery control at each instant, sessions."""
-    grid = moves(dense_grid(bucket_prices(obs, rules), rules))
-    sided = sibling_residual(grid, events)
-    volume = bucket_fills(fills, rules).select(*SERIES, "bucket", "volume", "concentration")
+    false-discovery control at each instant, sessions. `controls`: market_uid, event_uid and any of CONTROLS, a row a market;
+    columns it lacks count as null."""
+    known = controls.select("market_uid", F.lit(True).alias("controlled"), *[F.col(c) if c in controls.columns else F.lit(None).cast(t).alias(c) for c, t in CONTROLS.items()])
+    sided = sibling_residual(moves(dense_grid(bucket_prices(obs, rules), rules)), controls, rules)
+    volume = bucket_fills(fills, rules).select(*SERIES, "bucket", "volume")
     rows = sided.join(volume, [*SERIES, "bucket"], "left").withColumn("value", F.abs(F.coalesce("residual", "move_5")))
     scored = trailing_scores(rows.select(*SERIES, "bucket", "value", "sibling_repricing", "volume"), "value", rules)
-    judged = benjamini_hochberg(scored, "bucket", "p", list(SERIES)).filter(F.col("q") <= rules.alpha)
-    tagged = judged.withColumn("tags", F.array_compact(F.array(F.when(F.col("sibling_repricing"), "sibling_repricing"), F.when(F.col("volume").isNull(), "no_fills"))))
-    return incidents(tagged, rules)
+    judged = benjamini_hochberg(scored, "bucket", "p", list(SERIES)).filter(F.col("q") <= rules.alpha).join(small_side(known), "market_uid", "left")
+    tags = control_tags(F.col("bucket"), F.coalesce("controlled", F.lit(False)), *[F.col(c) for c in CONTROLS], rules)
+    more = F.array_compact(F.array(F.when(F.col("sibling_repricing"), "sibling_repricing"), F.when(F.col("volume").isNull(), "no_fills")))
+    return incidents(judged.withColumn("tags", F.array_sort(F.concat(tags, more))), rules)

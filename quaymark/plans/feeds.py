@@ -96,9 +96,11 @@ def adp14(spark: SparkSession, folder: str) -> DataFrame:
     return per.select("market_uid", F.size("a").cast("long").alias("outcomes"), same_pairs(F.col("a"), other).alias("same"))
 
 
-@query("adp10_tick_uid", "SELECT event_id, sha256('ev|' || event_type || '|' || CAST(CAST(floor(epoch(ts)) AS BIGINT) AS VARCHAR) || '|' || CAST(event_id AS VARCHAR)) AS tick_uid FROM events")
+@query("adp10_tick_uid", "SELECT delivery_id, sha256(concat_ws('|', platform, market_uid, CAST(CAST(floor(epoch(event_time)) AS BIGINT) AS VARCHAR), CAST(CAST(price AS DECIMAL(20,10)) AS VARCHAR), fill_uid)) AS tick_uid FROM fills")
 def adp10(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").select("event_id", F.sha2(F.concat_ws("|", F.lit("ev"), "event_type", F.unix_seconds("ts").cast("string"), F.col("event_id").cast("string")), 256).alias("tick_uid"))
+    """platform, market, second, price to ten places and source key; parts that are null are left out."""
+    parts = ["platform", "market_uid", F.unix_seconds("event_time").cast("string"), F.col("price").cast("decimal(20,10)").cast("string"), "fill_uid"]
+    return table(spark, folder, "fills").select("delivery_id", F.sha2(F.concat_ws("|", *parts), 256).alias("tick_uid"))
 
 
 @query("adp11_legacy_observation", "SELECT delivery_id, CASE WHEN maker IS NULL AND taker IS NULL THEN 'not_available' ELSE 'visible' END AS visibility FROM fills")

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quaymark.functions.scalars import bucket_end, depth, feature_bucket_end, level_order_ok
+from quaymark.functions.scalars import ERF_NEAR, ERFC_FAR, ERFC_MIDDLE, bucket_end, depth, feature_bucket_end, level_order_ok
 from quaymark.operators.asof import admit, asof_join, available_at, classify_append, extreme_row, in_window, instant, keyset_page, ordered_reason, reasons
 from quaymark.operators.coverage import contiguous, covered_ratio, gaps
-from quaymark.operators.detect import SERIES, Rules, benjamini_hochberg, bucket_fills, bucket_prices, dense_grid, detect, moves, sessions, sibling_residual, trailing_scores
+from quaymark.operators.detect import MAD_TO_SIGMA, SERIES, Rules, benjamini_hochberg, bucket_fills, bucket_prices, control_tags, dense_grid, detect, moves, sessions, sibling_residual, trailing_scores
 from quaymark.operators.shocks import belief_shocks
 from quaymark.plans.registry import Registry
 from quaymark.plans.relations_sql import BOOKS, EFILLS, FILLS, OBS, with_
@@ -406,8 +406,8 @@ def win10(spark: SparkSession, folder: str) -> DataFrame:
     return df.filter("move_5 is not null or move_30 is not null").select("market_uid", "bucket", r6("move_5"), r6("move_30"))
 
 
-#: The reference's rules: a trailing week, of which 288 buckets, a day and 288 values must be there, 100 for the empirical tail.
-SURVEYED = Rules(baseline=7 * 86_400, least_buckets=288, least_elapsed=86_400, least_values=288, least_tail=100)
+#: A trailing week, of which 288 buckets, a day and 288 values must be there, 100 for the empirical tail.
+SURVEYED = Rules()
 
 
 def _event_of(df: DataFrame) -> DataFrame:
@@ -415,7 +415,7 @@ def _event_of(df: DataFrame) -> DataFrame:
     return df.select("market_uid").distinct().withColumn("event_uid", F.when(F.col("market_uid").isin("ev:click", "ev:view", "ev:search"), "event:browse").otherwise("event:buy"))
 
 
-@query("jn06b_sibling_residual", with_(OBS, _PRICE, _GRID, "e AS (SELECT *, CASE WHEN market_uid IN ('ev:click', 'ev:view', 'ev:search') THEN 'event:browse' ELSE 'event:buy' END AS event_uid FROM m2 WHERE move_5 IS NOT NULL)") + "SELECT a.market_uid, a.bucket, count(b.move_5) AS siblings, round(any_value(a.move_5) - avg(b.move_5), 6) AS residual FROM e a JOIN e b ON a.event_uid = b.event_uid AND a.bucket = b.bucket AND a.market_uid <> b.market_uid GROUP BY a.market_uid, a.bucket")
+@query("jn06b_sibling_residual", with_(OBS, _PRICE, _GRID, "e AS (SELECT *, CASE WHEN market_uid IN ('ev:click', 'ev:view', 'ev:search') THEN 'event:browse' ELSE 'event:buy' END AS event_uid FROM m2 WHERE move_5 IS NOT NULL)") + "SELECT a.market_uid, a.bucket, count(b.move_5) AS siblings, round(any_value(a.move_5) - median(b.move_5), 6) AS residual FROM e a JOIN e b ON a.event_uid = b.event_uid AND a.bucket = b.bucket AND a.market_uid <> b.market_uid GROUP BY a.market_uid, a.bucket")
 def jn06b(spark: SparkSession, folder: str) -> DataFrame:
     obs = observations(spark, folder)
     df = sibling_residual(moves(dense_grid(bucket_prices(obs))), _event_of(obs))
@@ -436,9 +436,31 @@ def win05(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("market_uid", "bucket", F.when((F.col("n_buckets") < SURVEYED.least_buckets) | (F.col("elapsed") < SURVEYED.least_elapsed), "none").otherwise("ready").alias("gate"), "n_buckets", "n_values")
 
 
-@query("win06_robust_scores")
+def _ratio_sql(x: str, top, bottom) -> str:
+    a, b = f"CAST({top[-1]!r} AS DOUBLE) * {x}", x
+    for p, q in zip(top[:-2], bottom[:-1]):
+        a, b = f"({a} + CAST({p!r} AS DOUBLE)) * {x}", f"({b} + CAST({q!r} AS DOUBLE)) * {x}"
+    return f"(({a} + CAST({top[-2]!r} AS DOUBLE)) / ({b} + CAST({bottom[-1]!r} AS DOUBLE)))"
+
+
+def _trailing_sql(source: str) -> str:
+    """CTEs from a relation (market_uid, bucket, v) to sc: method, n_values, median, mad, score and p by the default rules."""
+    tail = f"CASE WHEN x <= 0.46875 THEN 1 - x * {_ratio_sql('(x * x)', *ERF_NEAR)} WHEN x <= 4 THEN exp(-x * x) * {_ratio_sql('x', *ERFC_MIDDLE)} ELSE exp(-x * x) / x * (1 / sqrt(pi()) - (1 / (x * x)) * {_ratio_sql('(1 / (x * x))', *ERFC_FAR)}) END"
+    return f"""b0 AS (SELECT market_uid, bucket, v, count(*) OVER w AS n_buckets, bucket - min(bucket) OVER w AS elapsed, list(v) FILTER (v IS NOT NULL) OVER w AS past FROM {source} WINDOW w AS (PARTITION BY market_uid ORDER BY bucket RANGE BETWEEN 604800 PRECEDING AND 1 PRECEDING)),
+ b1 AS (SELECT *, len(past) AS n_values, list_median(past) AS m FROM b0 WHERE v IS NOT NULL AND n_buckets >= 288 AND elapsed >= 86400 AND len(past) >= 288),
+ b2 AS (SELECT *, list_transform(past, lambda y: abs(y - m)) AS away FROM b1), b3 AS (SELECT *, list_median(away) AS mad FROM b2),
+ b4 AS (SELECT *, CASE WHEN mad > 0 THEN abs({MAD_TO_SIGMA!r} * (v - m) / mad) END AS z, (1 + len(list_filter(away, lambda y: y >= abs(v - m)))) / (1 + n_values) AS tail FROM b3), b5 AS (SELECT *, greatest(z, 0) / sqrt(2) AS x FROM b4),
+ sc AS (SELECT market_uid, bucket, v, CASE WHEN mad > 0 THEN 'normal' ELSE 'tail' END AS method, n_values, m AS median, mad, CASE WHEN mad > 0 THEN z ELSE -log10(tail) END AS score, CASE WHEN mad > 0 THEN {tail} ELSE tail END AS p FROM b5)"""
+
+
+def r9(c: str):
+    """Nine significant digits of a probability, however small."""
+    return F.when(F.col(c) > 0, F.round(F.log10(F.col(c)), 6)).alias(f"log10_{c}")
+
+
+@query("win06_robust_scores", with_(OBS, _PRICE, _GRID, "vs AS (SELECT market_uid, bucket, abs(move_5) AS v FROM m2)", _trailing_sql("vs")) + "SELECT market_uid, bucket, method, n_values, round(median, 6) AS median, round(mad, 6) AS mad, round(score, 6) AS score, CASE WHEN p > 0 THEN round(log10(p), 6) END AS log10_p FROM sc")
 def win06(spark: SparkSession, folder: str) -> DataFrame:
-    return _scored(spark, folder).filter("method <> 'none'").select("market_uid", "bucket", "method", "n_values", r6("median"), r6("mad"), r6("score"), "p")
+    return _scored(spark, folder).filter("method <> 'none'").select("market_uid", "bucket", "method", "n_values", r6("median"), r6("mad"), r6("score"), r9("p"))
 
 
 @query("win08_benjamini_hochberg", "WITH m AS (SELECT DISTINCT match_uid, market_uid, 1 - round(lexical_score, 4) AS p FROM match_results WHERE lexical_score IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY market_uid ORDER BY p, match_uid) AS k, count(*) OVER (PARTITION BY market_uid) AS m FROM m) SELECT match_uid, k AS bh_rank, round(least(1, min(p * m / k) OVER (PARTITION BY market_uid ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM r")
@@ -460,10 +482,25 @@ def win19(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "fills").groupBy("market_uid", "outcome_uid", "price", "size", "side", "actor_uid", "transaction_uid", "event_time").agg(F.min("fill_uid").alias("fill_uid"), F.count(F.lit(1)).alias("n")).select("fill_uid", "n")
 
 
-@query("cmp01_causal_detection")
+_BROWSE = "CASE WHEN market_uid IN ('ev:click', 'ev:view', 'ev:search') THEN 'event:browse' ELSE 'event:buy' END"
+_DETECT = with_(
+    OBS, EFILLS, _PRICE, _GRID, f"e AS (SELECT *, {_BROWSE} AS event_uid FROM m2)",
+    "si AS (SELECT a.market_uid, a.bucket, any_value(a.move_5) AS own, median(b.move_5) AS other FROM e a JOIN e b ON a.event_uid = b.event_uid AND a.bucket = b.bucket AND a.market_uid <> b.market_uid WHERE a.move_5 IS NOT NULL AND b.move_5 IS NOT NULL GROUP BY a.market_uid, a.bucket)",
+    "vs AS (SELECT e.market_uid, e.bucket, abs(coalesce(own - other, move_5)) AS v, coalesce(own * other > 0 AND abs(own - other) <= 0.25 * greatest(abs(own), 1e-12), false) AS repriced FROM e LEFT JOIN si USING (market_uid, bucket))",
+    _trailing_sql("vs"),
+    "fv AS (SELECT DISTINCT market_uid, (CAST(floor(epoch(event_time) / 300) AS BIGINT) + 1) * 300 AS bucket FROM efills)",
+    "k AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY p, market_uid) AS k, count(*) OVER (PARTITION BY bucket) AS m FROM sc)",
+    "q AS (SELECT k.*, least(1, min(p * m / k) OVER (PARTITION BY k.bucket ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM k)",
+    "t AS (SELECT q.market_uid, q.bucket, score, vs.repriced, fv.bucket IS NULL AS silent FROM q JOIN vs USING (market_uid, bucket) LEFT JOIN fv USING (market_uid, bucket) WHERE q <= 0.05)",
+    "u AS (SELECT *, sum(fresh) OVER (PARTITION BY market_uid ORDER BY bucket) AS session FROM (SELECT *, CASE WHEN bucket - lag(bucket) OVER (PARTITION BY market_uid ORDER BY bucket) <= 1800 THEN 0 ELSE 1 END AS fresh FROM t))",
+)
+
+
+@query("cmp01_causal_detection", _DETECT + "SELECT market_uid, CAST(session AS BIGINT) AS session, min(bucket) AS started, max(bucket) AS ended, count(*) AS signals, round(max(score), 6) AS peak_score, arg_max(bucket, (score, -bucket)) AS peak_bucket, list_sort(list_filter(['liquidity_unknown', CASE WHEN bool_or(repriced) THEN 'sibling_repricing' END, CASE WHEN bool_or(silent) THEN 'no_fills' END], lambda x: x IS NOT NULL)) AS tags FROM u GROUP BY market_uid, session")
 def cmp01(spark: SparkSession, folder: str) -> DataFrame:
     obs = observations(spark, folder)
-    return detect(obs, event_fills(spark, folder), _event_of(obs), SURVEYED)
+    found = detect(obs, event_fills(spark, folder), _event_of(obs), SURVEYED)
+    return found.select("market_uid", "session", "started", "ended", "signals", r6("peak_score"), "peak_bucket", "tags")
 
 
 # --- top-k and pages -------------------------------------------------------------------------------------------------
@@ -554,7 +591,14 @@ def sc05(spark: SparkSession, folder: str) -> DataFrame:
     return observations(spark, folder).select("observation_uid", bucket_end(F.col("event_time")).alias("bucket_end"), feature_bucket_end(F.col("event_time")).alias("feature_bucket_end"))
 
 
-@query("sc22_control_tags", "SELECT market_uid, list_sort(list_filter([CASE WHEN live_event THEN 'live' END, CASE WHEN abs(epoch(scheduled_announcement_at) - 1710000000) <= 3600 * 24 THEN 'scheduled' END, CASE WHEN epoch(closes_at) - 1710000000 BETWEEN 0 AND 86400 THEN 'near_close' END, CASE WHEN liquidity IS NULL THEN 'liquidity_unknown' END, CASE WHEN liquidity < 100 THEN 'thin' END], lambda x: x IS NOT NULL)) AS tags FROM markets")
+@query("sc22_control_tags", "WITH u AS (SELECT market_uid FROM markets UNION SELECT market_uid FROM fills UNION SELECT market_uid FROM match_results) SELECT u.market_uid, CASE WHEN m.market_uid IS NULL THEN ['control_metadata_unavailable'] ELSE list_sort(list_filter([CASE WHEN live_event THEN 'live_event' END, CASE WHEN abs(epoch(scheduled_announcement_at) - 1710000000) <= 3600 THEN 'scheduled_announcement_window' END, CASE WHEN epoch(closes_at) - 1710000000 BETWEEN 0 AND 3600 THEN 'time_to_close_lt_1h' END, CASE WHEN liquidity IS NULL THEN 'liquidity_unknown' END, CASE WHEN liquidity < 100 THEN 'thin_liquidity' END], lambda x: x IS NOT NULL)) END AS tags FROM u LEFT JOIN markets m ON m.market_uid = u.market_uid WHERE u.market_uid IS NOT NULL")
 def sc22(spark: SparkSession, folder: str) -> DataFrame:
-    away = F.unix_micros("closes_at") / 1e6 - 1710000000
-    return table(spark, folder, "markets").select("market_uid", reasons({"live": F.col("live_event"), "scheduled": F.abs(F.unix_micros("scheduled_announcement_at") / 1e6 - 1710000000) <= 86_400, "near_close": away.between(0, 86_400), "liquidity_unknown": F.col("liquidity").isNull(), "thin": F.col("liquidity") < 100}).alias("tags"))
+    """Markets of every table, with or without control metadata."""
+    every = None
+    for name in ("markets", "fills", "match_results"):
+        one = table(spark, folder, name).filter("market_uid is not null").select("market_uid").distinct()
+        every = one if every is None else every.unionByName(one)
+    controls = table(spark, folder, "markets").select("market_uid", "live_event", "scheduled_announcement_at", "closes_at", "liquidity", F.lit(True).alias("controlled"))
+    rows = every.distinct().join(small_side(controls), "market_uid", "left")
+    tags = control_tags(F.lit(1710000000), F.coalesce("controlled", F.lit(False)), F.col("live_event"), F.col("scheduled_announcement_at"), F.col("closes_at"), F.col("liquidity"))
+    return rows.select("market_uid", tags.alias("tags"))

@@ -1,9 +1,11 @@
 """Goldens, invariants and edge cases of the surveillance operators."""
 
 import math
+import random
 from datetime import datetime, timedelta
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quaymark.functions.scalars import bitcoin_address_ok, bucket_end, canonical_url, feature_bucket_end, logit, two_sided_tail
@@ -34,7 +36,7 @@ def test_benjamini_hochberg_golden(spark):
 
 def test_empirical_tail_golden(spark):
     rows = [("m", "o", 300 * i, 0.0 if i < 120 else 5.0) for i in range(121)]
-    df = trailing_scores(spark.createDataFrame(rows, "market_uid string, outcome_uid string, bucket long, value double"))
+    df = trailing_scores(spark.createDataFrame(rows, "market_uid string, outcome_uid string, bucket long, value double"), rules=Rules(least_buckets=30, least_elapsed=7_200, least_values=30, least_tail=30))
     last = df.filter("bucket = 36000").first()
     assert last["method"] == "tail" and abs(last["p"] - 1 / 121) < 1e-12
 
@@ -107,7 +109,7 @@ def market(spark, extra=()):
 
 
 def test_detector_finds_one_incident_and_the_future_changes_nothing(spark):
-    rules = Rules(least_values=30, least_tail=30)
+    rules = Rules(least_buckets=30, least_elapsed=7_200, least_values=30, least_tail=30)
     seen = [r.asDict() for r in detect(*market(spark), rules).collect()]
     assert len(seen) == 1 and seen[0]["signals"] == 1
     future = [("late", "m", "m-yes", 0.1, "last_trade", T0 + timedelta(days=3))]
@@ -203,3 +205,9 @@ def test_slices_of_a_hot_key_change_nothing(spark):
     assert len(plain) == 500 and all(a[0] == b[0] and a[5] == b[5] and a[1:5] == pytest.approx(b[1:5]) for a, b in zip(plain, cut))
     one, two = (sorted(map(tuple, sessions(df.select("m", "s"), ["m"], "s", 300, slice_rows=n).collect())) for n in (10**6, 60))
     assert one == two
+
+
+def test_two_sided_tail_over_all_ranges(spark):
+    z = [i / 50 for i in range(0, 1500)] + [-1.5]
+    got = spark.createDataFrame([(x,) for x in z], "z double").select("z", two_sided_tail("z").alias("p")).collect()
+    assert all(r["p"] == pytest.approx(math.erfc(abs(r["z"]) / math.sqrt(2)), rel=1e-13, abs=1e-300) for r in got)
