@@ -166,13 +166,16 @@ _ARRIVED = """e AS (SELECT event_type AS stream, event_id AS seq, CASE WHEN even
  l AS (SELECT *, max(CASE WHEN status = 'gap' THEN k END) OVER w AS g, max(CASE WHEN kind = 'snapshot' AND status <> 'replay' THEN k END) OVER w AS f FROM s WINDOW w AS (PARTITION BY stream ORDER BY k))"""
 
 
-@query("st02_sequence_gaps", with_(_ARRIVED) + "SELECT stream, status, status = 'replay' OR coalesce(g > coalesce(f, -1), false) AS withheld, count(*) AS n FROM l GROUP BY ALL")
-def st02(spark: SparkSession, folder: str) -> DataFrame:
-    """Frames in order of arrival: every 17th comes out of order, every 13th again."""
+def arrived_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as frames in order of arrival: every 17th comes out of order, every 13th again."""
     seq = F.col("event_id")
     times = F.filter(F.array(seq * 10 + F.when(seq % 17 == 0, 35).otherwise(0), F.when(seq % 13 == 0, seq * 10 + 55)), lambda t: t.isNotNull())
-    stream = stream_table(spark, folder, "events").select(F.col("event_type").alias("stream"), seq.alias("seq"), F.when(seq % 11 == 0, "snapshot").otherwise("delta").alias("kind"), F.explode(times).alias("arrived"))
-    return run_once(sequence_states(stream), "sequences").groupBy("stream", "status", "withheld").agg(F.count(F.lit(1)).alias("n"))
+    return stream_table(spark, folder, "events").select(F.col("event_type").alias("stream"), seq.alias("seq"), F.when(seq % 11 == 0, "snapshot").otherwise("delta").alias("kind"), F.explode(times).alias("arrived"))
+
+
+@query("st02_sequence_gaps", with_(_ARRIVED) + "SELECT stream, status, status = 'replay' OR coalesce(g > coalesce(f, -1), false) AS withheld, count(*) AS n FROM l GROUP BY ALL")
+def st02(spark: SparkSession, folder: str) -> DataFrame:
+    return run_once(sequence_states(arrived_frames(spark, folder)), "sequences").groupBy("stream", "status", "withheld").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("st04_late_side_output", "SELECT CASE WHEN ts <= TIMESTAMP '2024-01-15' THEN 'usable' ELSE 'unavailable' END AS admission, count(*) AS n FROM events GROUP BY ALL")

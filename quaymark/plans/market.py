@@ -53,13 +53,6 @@ def src04(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "fills").select("market_uid", "actor_uid", us("event_time"), "transaction_uid").na.drop()
 
 
-@query("src05_canonical_load", with_(FILLS) + f"SELECT platform, count(*) AS n, epoch_us(max(event_time)) AS watermark FROM f WHERE event_time <= TIMESTAMP '{FILL_CUTOFF}' GROUP BY platform")
-def src05(spark: SparkSession, folder: str) -> DataFrame:
-    """Canonical rows up to a cut-off, one per uid, with each platform's high watermark."""
-    rows = fills(spark, folder).filter(F.col("event_time") <= instant(FILL_CUTOFF))
-    return rows.groupBy("platform").agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.max("event_time")).alias("watermark"))
-
-
 # --- admission -------------------------------------------------------------------------------------------------------
 @query("flt01_as_of", with_(OBS) + f"SELECT observation_uid, epoch_us(event_time) AS event_time, epoch_us(ingested_at) AS ingested_at FROM obs WHERE event_time <= TIMESTAMP '{CUTOFF}' AND ingested_at <= TIMESTAMP '{CUTOFF}'")
 def flt01(spark: SparkSession, folder: str) -> DataFrame:
@@ -564,11 +557,6 @@ def set04(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # --- stores ----------------------------------------------------------------------------------------------------------
-@query("snk01_raw_objects", "SELECT raw_artifact_uid, count(*) AS receipts, epoch_us(min(ingested_at)) AS first_receipt FROM fills GROUP BY raw_artifact_uid")
-def snk01(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "fills").groupBy("raw_artifact_uid").agg(F.count(F.lit(1)).alias("receipts"), F.unix_micros(F.min("ingested_at")).alias("first_receipt"))
-
-
 @query("snk02_classify_append", f"WITH h AS (SELECT delivery_id, fill_uid, ingested_at, md5(CAST({_MEANING} AS VARCHAR)) AS m FROM fills), s AS (SELECT *, first_value(m) OVER w AS first_m, row_number() OVER w AS k FROM h WINDOW w AS (PARTITION BY fill_uid ORDER BY ingested_at, delivery_id)) SELECT delivery_id, CASE WHEN k = 1 THEN 'inserted' WHEN m = first_m THEN 'duplicate' ELSE 'conflict' END AS status FROM s")
 def snk02(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "fills").select("delivery_id", "fill_uid", "ingested_at", "market_uid", "outcome_uid", "price", "size", "side", "actor_uid", "transaction_uid", "event_time")
