@@ -20,8 +20,8 @@ def sigmoid(x: Column) -> Column:
 
 
 def surprise(p: Column, floor: float = 1e-300) -> Column:
-    """-log10(p)."""
-    return -F.log10(F.greatest(p, F.lit(floor)))
+    """-log10(p); null where p is null."""
+    return F.when(p.isNotNull(), -F.log10(F.greatest(p, F.lit(floor))))  # greatest skips nulls
 
 
 def half_life_weight(age_seconds: Column, half_life: float) -> Column:

@@ -108,3 +108,30 @@ def sliced(df: DataFrame, keys: Sequence[str], at: Column, order: Sequence[str],
     heads = later.withColumn("__k", F.row_number().over(Window.partitionBy(*keys, "__to").orderBy(*[F.col(c).desc() for c in order]))).filter(F.col("__k") <= overlap)
     heads = heads.withColumn("__slice", F.col("__to")).withColumn("__head", F.lit(True))
     return cut.drop("__at", "__cuts").unionByName(heads.select(*cut.drop("__at", "__cuts").columns))
+
+
+def two_sided_tails(df: DataFrame, uid: str, value: str) -> DataFrame:
+    """`df` with tail_<value>: leave-one-out two-sided tail (1 + others at least as far from the others' median) / (1 + others);
+    1 at the median itself, null for null values.
+
+    A median without one row is one of at most three numbers, told by the row's side; the tails around each are upper tails
+    of the distance to it, so nothing but distinct values is sorted."""
+    df = materialise(df, "values")
+    n = df.filter(F.col(value).isNotNull()).count()
+    if n < 2:
+        return df.withColumn(f"tail_{value}", F.when(F.col(value).isNotNull(), F.lit(None).cast("double")))
+    v, h = F.col(value).cast("double"), n // 2
+    at = lambda *ranks: [float(x) for x in order_values(df.select(v.alias("v")), "v", [min(max(r, 0), n - 1) / (n - 1) for r in ranks])]
+    if n % 2:
+        a, b, c = at(h - 1, h, h + 1)
+        center = F.when(v < b, (b + c) / 2).when(v == b, (a + c) / 2).when(v > b, (a + b) / 2)
+        centers = sorted({(b + c) / 2, (a + c) / 2, (a + b) / 2})
+    else:
+        a, b = at(h - 1, h)
+        center = F.when(v <= a, F.lit(b)).when(v > a, F.lit(a))
+        centers = sorted({a, b})
+    away = df.select(uid, *[F.abs(v - F.lit(c)).alias(f"d{i}") for i, c in enumerate(centers)])
+    tails = upper_tails(away, uid, [f"d{i}" for i in range(len(centers))]).drop(*[f"d{i}" for i in range(len(centers))])
+    both = df.join(tails, uid, "left").withColumn("__center", center)
+    chosen = F.coalesce(*[F.when(F.col("__center") == F.lit(c), F.when(v == F.lit(c), 1.0).otherwise(F.col(f"tail_d{i}"))) for i, c in enumerate(centers)])
+    return both.withColumn(f"tail_{value}", chosen).select(*df.columns, f"tail_{value}")

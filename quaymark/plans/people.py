@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quaymark.functions.scalars import surprise
-from quaymark.operators.actors import actor_features, composite, enroll, event_features, nearest, positions, two_sided_tails
+from quaymark.operators.actors import RANKED, actor_features, cohort_ranking, cohort_scores, enroll, event_features, grouped_two_sided_tails, nearest, positions
 from quaymark.operators.asof import admit, instant, ordered_reason, reasons
-from quaymark.operators.ranks import placed, running_counts, upper_tails
+from quaymark.operators.ranks import running_counts
 from quaymark.plans.market import FLT09, admission_reason, r6
 from quaymark.plans.registry import Registry
 from quaymark.plans.relations_sql import FILLS, with_
@@ -37,15 +37,37 @@ def agg08(spark: SparkSession, folder: str) -> DataFrame:
     return actor_features(fills(spark, folder)).select("actor_uid", "fills", "markets", "outcomes", F.round("gross", 4).alias("gross"), r6("concentration"))
 
 
-_EF = f"""ro AS (SELECT actor_uid, market_uid, CAST(floor(epoch(event_time)) AS BIGINT) AS t, CAST(floor(epoch(event_time) / 3600) AS BIGINT) AS slot, {_M} AS m, CAST(price AS DOUBLE) AS p, lower(side) = 'buy' AS b FROM f WHERE actor_uid IS NOT NULL AND event_time IS NOT NULL),
- ef AS (SELECT actor_uid, count(*) AS fills, sum(m) AS notional, CAST(sum(m) AS DOUBLE) / count(*) AS mean_fill, max(m) AS largest, count(*) FILTER (p <= 0.2) / count(*) AS long_shot_share, count(*) FILTER (b) / count(*) AS buy_share, count(DISTINCT slot) AS slots, count(DISTINCT market_uid) AS markets, max(t) - min(t) AS span FROM ro GROUP BY actor_uid),
- mb AS (SELECT actor_uid, max(m) AS focus FROM (SELECT actor_uid, sum(m) AS m FROM ro GROUP BY actor_uid, market_uid) GROUP BY actor_uid), sb AS (SELECT actor_uid, max(n) AS burst FROM (SELECT actor_uid, count(*) AS n FROM ro GROUP BY actor_uid, slot) GROUP BY actor_uid)"""
+#: The market with the most fills is in focus, of its outcomes the one with the most.
+_FOCUS = "fm AS (SELECT market_uid AS fm FROM f WHERE actor_uid IS NOT NULL AND event_time IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), fo AS (SELECT outcome_uid AS fo FROM f, fm WHERE market_uid = fm AND actor_uid IS NOT NULL AND event_time IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
 
 
-@query("agg10_event_features", with_(FILLS, _EF) + "SELECT actor_uid, fills, round(notional, 4) AS notional, round(mean_fill, 6) AS mean_fill, round(largest, 4) AS largest, round(long_shot_share, 6) AS long_shot_share, round(buy_share, 6) AS buy_share, burst, round(burst / fills, 6) AS burst_share, slots, markets, CASE WHEN notional <> 0 THEN round(CAST(focus AS DOUBLE) / CAST(notional AS DOUBLE), 6) END AS focus_share, span FROM ef JOIN mb USING (actor_uid) JOIN sb USING (actor_uid)")
+def _features_sql(where: str = "true") -> str:
+    """CTEs to ef: the nineteen features of the actors of f that meet `where`."""
+    d = lambda c: f"CAST({c} AS DOUBLE)"
+    share = lambda c, whole: f"CASE WHEN {whole} <> 0 THEN {d(c)} / {d(whole)} END"
+    return f"""{_FOCUS}, ro AS (SELECT actor_uid, market_uid, outcome_uid, epoch_us(event_time) AS t, CAST(floor(epoch(event_time) / 3600) AS BIGINT) AS slot, {_M} AS m, price <= 0.1 AS shot, lower(side) = 'buy' AS b, market_uid = fm AS hm, outcome_uid = fo AS ho FROM f, fm, fo WHERE actor_uid IS NOT NULL AND event_time IS NOT NULL AND {where}),
+ e0 AS (SELECT actor_uid, count(*) AS n, sum(m) AS g, coalesce(sum(m) FILTER (b), 0) AS buy, coalesce(sum(m) FILTER (b AND shot), 0) AS shots, max(m) AS top, max(t) - min(t) AS span, coalesce(sum(m) FILTER (hm), 0) AS fm_, coalesce(sum(m) FILTER (hm AND b), 0) AS fb, coalesce(sum(m) FILTER (ho), 0) AS om, coalesce(sum(m) FILTER (ho AND b), 0) AS ob FROM ro GROUP BY actor_uid),
+ mb AS (SELECT actor_uid, max(m) AS dominant, count(*) AS markets FROM (SELECT actor_uid, market_uid, sum(m) AS m FROM ro GROUP BY ALL) GROUP BY actor_uid), ou AS (SELECT actor_uid, max(abs(m)) AS direction, count(*) AS outcomes FROM (SELECT actor_uid, outcome_uid, sum(CASE WHEN b THEN m ELSE -m END) AS m FROM ro GROUP BY ALL) GROUP BY actor_uid), sb AS (SELECT actor_uid, max(m) AS bm, max(n) AS bn FROM (SELECT actor_uid, slot, sum(m) AS m, count(*) AS n FROM ro GROUP BY ALL) GROUP BY actor_uid),
+ ef AS (SELECT actor_uid, n AS fill_count, {d('g')} AS gross_notional, {d('buy')} AS buy_notional, {d('(g - buy)')} AS sell_notional, markets AS market_count, outcomes AS outcome_count, {share('buy', 'g')} AS buy_notional_share, {share('direction', 'g')} AS directional_concentration, {share('dominant', 'g')} AS dominant_market_share, {share('top', 'g')} AS max_fill_share, span / 1000000 AS active_span_seconds,
+  {share('bm', 'g')} AS burst_notional_share, bn / n AS burst_fill_share, {share('shots', 'buy')} AS long_shot_buy_notional_share, {d('fb')} AS focus_buy_notional, {d('(2 * fb - fm_)')} AS focus_net_notional, {share('fm_', 'g')} AS focus_gross_notional_share, {d('ob')} AS focus_outcome_buy_notional, {d('(2 * ob - om)')} AS focus_outcome_net_notional FROM e0 JOIN mb USING (actor_uid) JOIN ou USING (actor_uid) JOIN sb USING (actor_uid))"""
+
+
+_ROUNDED = ["gross_notional", "buy_notional", "sell_notional", "buy_notional_share", "directional_concentration", "dominant_market_share", "max_fill_share", "active_span_seconds", "burst_notional_share", "burst_fill_share", "long_shot_buy_notional_share", "focus_buy_notional", "focus_net_notional", "focus_gross_notional_share", "focus_outcome_buy_notional", "focus_outcome_net_notional"]
+_COUNTS = ["fill_count", "market_count", "outcome_count"]
+
+
+def _features(rows: DataFrame, whole: DataFrame) -> DataFrame:
+    """Features with the focus on the busiest market and outcome of `whole`: two facts."""
+    live = whole.filter("actor_uid is not null and event_time is not null")
+    busiest = lambda df, c: (df.groupBy(c).count().orderBy(F.col("count").desc(), c).first() or [None])[0]
+    market = busiest(live, "market_uid")
+    return event_features(rows, market, busiest(live.filter(F.col("market_uid") == F.lit(market)), "outcome_uid"))
+
+
+@query("agg10_event_features", with_(FILLS, _features_sql()) + f"SELECT actor_uid, {', '.join(_COUNTS)}, {', '.join(f'round({c}, 6) AS {c}' for c in _ROUNDED)} FROM ef")
 def agg10(spark: SparkSession, folder: str) -> DataFrame:
-    df = event_features(fills(spark, folder))
-    return df.select("actor_uid", "fills", *[F.round(c, 4).alias(c) for c in ("notional", "largest")], r6("mean_fill"), *[r6(c) for c in ("long_shot_share", "buy_share")], "burst", r6("burst_share"), "slots", "markets", r6("focus_share"), "span")
+    rows = fills(spark, folder)
+    return _features(rows, rows).select("actor_uid", *_COUNTS, *[r6(c) for c in _ROUNDED])
 
 
 @query("agg11_descriptive_rank", with_(FILLS, _AF) + "SELECT actor_uid, rank() OVER (ORDER BY fills DESC) AS rank, count(*) OVER (PARTITION BY fills) AS ties FROM af")
@@ -84,35 +106,47 @@ _TWO = "t AS (SELECT market_uid, fill_uid, CAST(price AS DOUBLE) AS v FROM f), l
 @query("win14_two_sided_tail", with_(FILLS, _TWO) + "SELECT l.fill_uid, round(l.m, 6) AS loo_median, round((1 + count(*) FILTER (abs(b.v - l.m) >= abs(l.v - l.m) - 1e-12)) / (1 + count(*)), 6) AS tail FROM l JOIN t b ON l.market_uid = b.market_uid AND l.fill_uid <> b.fill_uid GROUP BY l.fill_uid, l.m")
 def win14(spark: SparkSession, folder: str) -> DataFrame:
     rows = fills(spark, folder).select("market_uid", "fill_uid", F.col("price").cast("double").alias("v"))
-    return two_sided_tails(rows, "market_uid", "fill_uid", "v").filter("tail is not null").select("fill_uid", r6("loo_median"), r6("tail"))
+    return grouped_two_sided_tails(rows, "market_uid", "fill_uid", "v").filter("tail is not null").select("fill_uid", r6("loo_median"), r6("tail"))
+
+
+#: What a cohort admits: fills of public wallets that happened and were known by the cut-off, in that order.
+_ADMIT = "actor_visibility = 'public_wallet' AND event_time <= TIMESTAMP '2024-03-20' AND ingested_at <= TIMESTAMP '2024-03-20' AND event_time <= ingested_at"
 
 
-_SUR = "su AS (SELECT actor_uid, " + ", ".join(f"-log10((count(*) OVER (ORDER BY {c} DESC RANGE UNBOUNDED PRECEDING)) / (SELECT count(*) FROM ef)) AS s_{c}" for c in ("fills", "notional", "largest", "long_shot_share", "burst", "slots", "markets")) + " FROM ef)"
-_SURF = ("fills", "notional", "largest", "long_shot_share", "burst", "slots", "markets")
+def _composite_sql() -> str:
+    """CTEs to cp: composite of each admitted actor."""
+    high = [c for c, tail in RANKED.items() if tail == "high"]
+    count = lambda c: f"(SELECT count({c}) FROM er)"
+    tails = ", ".join(f"CASE WHEN {c} IS NOT NULL AND {count(c)} > 200 THEN -log10((count({c}) OVER (ORDER BY {c} DESC NULLS LAST RANGE UNBOUNDED PRECEDING)) / {count(c)}) END AS s_{c}" for c in high)
+    every = ", ".join(f"s_{c}" for c in RANKED)
+    return f"""{_features_sql(_ADMIT)}, er AS (SELECT actor_uid, fill_count, {', '.join(f'round({c}, 9) AS {c}' for c in RANKED if c != 'fill_count')} FROM ef), hi AS (SELECT actor_uid, {tails} FROM er),
+ lo AS (SELECT a.actor_uid, any_value(a.active_span_seconds) AS v, median(b.active_span_seconds) AS m FROM er a JOIN er b ON a.actor_uid <> b.actor_uid GROUP BY a.actor_uid), ts AS (SELECT lo.actor_uid, CASE WHEN {count('active_span_seconds')} > 200 THEN -log10((1 + count(*) FILTER (abs(b.active_span_seconds - m) >= abs(v - m))) / (1 + count(*))) END AS s_active_span_seconds FROM lo JOIN er b ON lo.actor_uid <> b.actor_uid GROUP BY lo.actor_uid, v, m),
+ sp AS (SELECT actor_uid, list_filter([{every}], lambda x: x IS NOT NULL) AS l FROM hi LEFT JOIN ts USING (actor_uid)), cp AS (SELECT actor_uid, (SELECT count(*) - 1 FROM er) AS peers, len(l) AS supported, CASE WHEN len(l) >= 6 THEN round(list_avg(list_slice(list_reverse_sort(list_transform(l, lambda x: least(x, 3.0))), 1, 5)), 6) END AS composite FROM sp)"""
 
 
-def _surprises(spark: SparkSession, folder: str) -> DataFrame:
-    df = event_features(fills(spark, folder))
-    df = df.select("actor_uid", "fills", *[F.round(c, 9).alias(c) for c in ("notional", "largest", "long_shot_share")], "burst", "slots", "markets")
-    df = upper_tails(df, "actor_uid", _SURF)
-    df = df.withColumns({f"s_{c}": surprise(F.col(f"tail_{c}")) for c in _SURF})
-    return df.withColumn("composite", composite(F.array(*[F.col(f"s_{c}") for c in _SURF])))
+_COMP = _composite_sql()
 
 
-_COMP = _EF.replace("sum(m) AS notional", "round(sum(m), 9) AS notional").replace("max(m) AS largest", "round(max(m), 9) AS largest").replace("count(*) FILTER (p <= 0.2) / count(*) AS long_shot_share", "round(count(*) FILTER (p <= 0.2) / count(*), 9) AS long_shot_share").replace("ef AS (SELECT actor_uid", "e0 AS (SELECT actor_uid") + ", ef AS (SELECT * FROM e0 JOIN sb USING (actor_uid)), " + _SUR + ", cp AS (SELECT actor_uid, list_aggregate(list_slice(list_reverse_sort(list_transform([" + ", ".join(f"s_{c}" for c in _SURF) + "], lambda x: least(x, 6.0))), 1, 5), 'avg') AS composite FROM su)"
+def _composites(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of the actors admitted at the cut-off. Values count as equal to nine places, composites to six."""
+    rows, cut = fills(spark, folder), instant("2024-03-20")
+    admitted = rows.filter((F.col("actor_visibility") == "public_wallet") & (F.col("event_time") <= cut) & (F.col("ingested_at") <= cut) & (F.col("event_time") <= F.col("ingested_at")))
+    features = _features(admitted, rows).select("actor_uid", *[c if c == "fill_count" else F.round(c, 9).alias(c) for c in RANKED])
+    return cohort_scores(features).withColumn("composite", F.round("composite", 6))
 
 
-@query("win15_composite", with_(FILLS, _COMP) + "SELECT actor_uid, round(composite, 6) AS composite FROM cp")
+@query("win15_composite", with_(FILLS, _COMP) + "SELECT actor_uid, supported, composite FROM cp")
 def win15(spark: SparkSession, folder: str) -> DataFrame:
-    return _surprises(spark, folder).select("actor_uid", r6("composite"))
+    return _composites(spark, folder).select("actor_uid", "supported", "composite")
 
 
-@query("cmp05_cohort_ranking", with_(FILLS, _COMP) + "SELECT actor_uid, rank, tie_group, round(p, 6) AS percentile, CASE WHEN p >= 0.99 THEN 'extreme' WHEN p >= 0.95 THEN 'elevated' ELSE 'typical' END AS band FROM (SELECT *, ((SELECT count(*) FROM cp) - rank + 1 - ties + (ties - 1) / 2 + 0.5) / (SELECT count(*) FROM cp) AS p FROM (SELECT actor_uid, rank() OVER (ORDER BY c DESC) AS rank, dense_rank() OVER (ORDER BY c DESC) AS tie_group, count(*) OVER (PARTITION BY c) AS ties FROM (SELECT actor_uid, round(composite, 6) AS c FROM cp)))")
+@query("cmp05_cohort_ranking", with_(FILLS, _COMP) + """, n AS (SELECT count(composite) AS n FROM cp), k AS (SELECT actor_uid, composite, rank() OVER (ORDER BY composite DESC) AS rank, count(*) OVER (PARTITION BY composite) AS ties FROM cp WHERE composite IS NOT NULL), p AS (SELECT k.*, (n - rank + 1 - ties + (ties - 1) / 2 + 0.5) / n AS p FROM k, n),
+ c AS (SELECT DISTINCT actor_uid FROM f WHERE actor_uid IS NOT NULL), j AS (SELECT c.actor_uid, CASE WHEN peers IS NULL THEN 'candidate_activity_unavailable' WHEN peers < 200 THEN 'peer_count_below_minimum' WHEN cp.composite IS NULL THEN 'insufficient_supported_features' WHEN (SELECT n FROM n) - 1 < 200 THEN 'cohort_calibration_support_insufficient' END AS reason, p.composite, p, rank FROM c LEFT JOIN cp USING (actor_uid) LEFT JOIN p USING (actor_uid))
+ SELECT actor_uid, CASE WHEN reason IS NULL THEN 'available' ELSE 'abstain' END AS status, reason, CASE WHEN reason IS NULL THEN composite END AS composite, CASE WHEN reason IS NULL THEN round(p, 6) END AS percentile, CASE WHEN reason IS NULL THEN rank END AS rank, CASE WHEN reason IS NOT NULL THEN 'insufficient_data' WHEN p >= 0.99 THEN 'high' WHEN p >= 0.95 THEN 'elevated' ELSE 'routine' END AS classification FROM j""")
 def cmp05(spark: SparkSession, folder: str) -> DataFrame:
-    df = _surprises(spark, folder).select("actor_uid", r6("composite"))
-    df = placed(df, "composite")
-    band = F.when(F.col("percentile") >= 0.99, "extreme").when(F.col("percentile") >= 0.95, "elevated").otherwise("typical")
-    return df.select("actor_uid", F.col("rank").cast("long").alias("rank"), F.col("tie_group").cast("long").alias("tie_group"), r6("percentile"), band.alias("band"))
+    """Every actor ranked against the admitted cohort, or abstained from with a reason."""
+    candidates = table(spark, folder, "fills").filter("actor_uid is not null")
+    return cohort_ranking(candidates, _composites(spark, folder)).withColumn("percentile", F.round("percentile", 6))
 
 
 @query("win18_priority_queue", with_(FILLS, _AF) + "SELECT actor_uid, row_number() OVER (ORDER BY fills DESC, concentration IS NULL, concentration DESC, actor_uid) AS place FROM (SELECT actor_uid, fills, round(concentration, 6) AS concentration FROM af) QUALIFY place <= 25")

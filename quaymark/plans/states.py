@@ -16,7 +16,7 @@ from quaymark.operators.uncertainty import fit, ood_scores
 from quaymark.plans.evaluation import _ROWS, eval_rows
 from quaymark.plans.feeds import _ARRIVED, arrived_frames
 from quaymark.plans.market import _MEANING, r6
-from quaymark.plans.people import _COMP, _surprises
+from quaymark.plans.people import _COMP, _composites
 from quaymark.plans.registry import Registry
 from quaymark.plans.relations_sql import FILLS, with_
 from quaymark.plans.texts import _hits
@@ -110,7 +110,7 @@ _LONG = "lg AS (SELECT actor_uid, count(*) FILTER (event_time < TIMESTAMP '2024-
 def cmp06(spark: SparkSession, folder: str) -> DataFrame:
     """The review queue of all ranked actors: population rank, then those with longitudinal evidence by its value; ranks with
     ties, and a budget of 25 in order of uid within ties. Ranks come from the counts of distinct orders."""
-    ranked = placed(_surprises(spark, folder).filter("composite is not null").select("actor_uid", r6("composite")), "composite")
+    ranked = placed(_composites(spark, folder).filter("composite is not null").select("actor_uid", "composite"), "composite")
     old, known = F.col("event_time") < instant("2024-03-05"), F.col("ingested_at") < instant("2024-03-05")
     value = fills(spark, folder).filter("actor_uid is not null").groupBy("actor_uid").agg(F.count_if(old & known).alias("n"))
     rows = materialise(ranked.join(value, "actor_uid", "left").select("actor_uid", F.col("rank").alias("population_rank"), F.when(F.col("n") >= 3, F.col("n")).alias("value")), "queue")

@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from oracle import connect, difference
 from pyspark.sql import functions as F
 
-from quaymark.operators.actors import nearest, two_sided_tails
+from quaymark.operators.actors import grouped_two_sided_tails, nearest
 from quaymark.operators.asof import asof_join
 from quaymark.operators.detect import bucket_prices, dense_grid, moves
 from quaymark.plans.relations_sql import EFILLS, with_
@@ -58,7 +58,7 @@ def test_win14_covers_every_fill(spark, con, tiny):
 def test_two_sided_tails_by_brute_force(spark):
     dice = random.Random(5)
     rows = [(g, f"{g}{i}", dice.randint(0, sides) / 8) for g, n, sides in (("a", 41, 6), ("b", 40, 1), ("c", 37, 999), ("d", 2, 3), ("e", 1, 1)) for i in range(n)]
-    got = {r["u"]: (r["loo_median"], r["tail"]) for r in two_sided_tails(spark.createDataFrame(rows, "g string, u string, v double"), "g", "u", "v").collect()}
+    got = {r["u"]: (r["loo_median"], r["tail"]) for r in grouped_two_sided_tails(spark.createDataFrame(rows, "g string, u string, v double"), "g", "u", "v").collect()}
     want = {}
     for g, u, v in rows:
         others = [x for h, w, x in rows if h == g and w != u]
@@ -151,3 +151,16 @@ def test_st02_is_in_order_over_chunks_and_files(spark, tmp_path):
     for s in ("s0", "s1"):
         mine = got.filter(F.col("stream") == s).collect()
         assert len(mine) == 25_000 and {r["seq"]: (r["kind"], r["status"], r["withheld"]) for r in mine} == want
+
+
+def test_two_sided_tails_over_the_whole_table(spark):
+    from quaymark.operators.ranks import two_sided_tails as tails
+
+    dice = random.Random(8)
+    for n, sides in ((41, 6), (40, 6), (60, 999), (61, 999), (2, 3), (1, 3)):
+        rows = [(i, dice.randint(0, sides) / 4) for i in range(n)] + [(-1, None)]
+        got = {r["i"]: r["tail_v"] for r in tails(spark.createDataFrame(rows, "i int, v double"), "i", "v").collect()}
+        for i, v in rows:
+            others = [x for j, x in rows if j != i and x is not None]
+            want = None if v is None or not others else (1 + sum(abs(x - median(others)) >= abs(v - median(others)) for x in others)) / (1 + len(others))
+            assert got[i] == want
