@@ -78,3 +78,25 @@ def deduplicate_arrivals(new: DataFrame, stored: DataFrame, key: Sequence[str],
     """
     fresh = deduplicate(new, key, order)
     return fresh.join(stored.select(*key), list(key), "left_anti").select(*new.columns)
+
+
+def first_of_either(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows in `order` (unique together), of which one is kept unless a row kept before it shares any of `keys` with it.
+
+    Null keys are shared with none. In rounds: a row that comes first of all that are still open under each of its keys is
+    kept, what shares a key with a kept row is dropped, until none is open. A round groups by key with partial aggregates,
+    so a key of any size is no task's work, and each round cuts its lineage. Rows of equal `order` are one row.
+    """
+    turn, many = F.struct(*order), F.inline(F.array(*[F.struct(F.lit(k).alias("__kind"), F.col(k).cast("string").alias("__value")) for k in keys]))
+    open_rows = materialise(df.dropDuplicates(list(order)), "rows")
+    everything, kept = open_rows, None
+    while not open_rows.isEmpty():
+        under = open_rows.select(turn.alias("__turn"), many).filter("__value is not null")
+        lead = under.groupBy("__kind", "__value").agg(F.min("__turn").alias("__first"))
+        waiting = under.join(lead, ["__kind", "__value"]).filter("__first < __turn").select("__turn").distinct()
+        sure = materialise(open_rows.select(turn.alias("__turn")).join(waiting, "__turn", "left_anti"), "sure")
+        taken = under.join(sure, "__turn", "left_semi").select("__kind", "__value").distinct()
+        gone = under.join(taken, ["__kind", "__value"], "left_semi").select("__turn").unionByName(sure).distinct()
+        kept = sure if kept is None else kept.unionByName(sure)
+        open_rows = materialise(open_rows.withColumn("__turn", turn).join(gone, "__turn", "left_anti").drop("__turn"), "open")
+    return everything if kept is None else everything.withColumn("__turn", turn).join(kept, "__turn", "left_semi").drop("__turn")

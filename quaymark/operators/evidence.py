@@ -37,8 +37,8 @@ def evidence_state(n_matched: Column, n_read: Column) -> Column:
     return F.when(F.coalesce(n_read, F.lit(0)) == 0, "no_evidence").when(F.coalesce(n_matched, F.lit(0)) == 0, "context").otherwise("attributed")
 
 
-def cosine_search(queries: DataFrame, catalog: DataFrame, query_id: str, record_id: str, vector: str, k: int) -> DataFrame:
-    """The exact `k` nearest records of each query by cosine; the query itself is no record of its own.
+def cosine_search(queries: DataFrame, catalog: DataFrame, query_id: str, record_id: str, vector: str, k: int, metric: str = "cosine") -> DataFrame:
+    """The exact `k` nearest records of each query by cosine (or by Euclidean `distance`); the query itself is no record of its own.
 
     `catalog` must be filtered before it comes here: ranks are of eligible records only. Vectors are normalised once per
     row. Queries are put into blocks of QUERY_BLOCK; as many blocks as fit the broadcast limit meet the records at a time,
@@ -57,9 +57,11 @@ def cosine_search(queries: DataFrame, catalog: DataFrame, query_id: str, record_
         high = min(blocks, low + at_once) - 1
         part = grouped.filter(F.col("__block").between(low, high))
         met = r.withColumn("__block", F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high).cast("long")))).join(F.broadcast(part), "__block").withColumn("__x", F.explode("__queries"))
-        one = met.filter(F.col("__x.query_id") != F.col("record_id")).select(F.col("__x.query_id").alias("query_id"), "record_id", (dot(F.col("__x.__q"), F.col("__v")) / (F.col("__x.__qn") * F.col("__n"))).alias("cosine"))
+        apart = F.sqrt(F.aggregate(F.zip_with("__x.__q", "__v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+        measure = apart if metric == "distance" else dot(F.col("__x.__q"), F.col("__v")) / (F.col("__x.__qn") * F.col("__n"))
+        one = met.filter(F.col("__x.query_id") != F.col("record_id")).select(F.col("__x.query_id").alias("query_id"), "record_id", measure.alias(metric))
         scored = one if scored is None else scored.unionByName(one)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "record_id"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col(metric).asc() if metric == "distance" else F.col(metric).desc(), "record_id"))
     return scored.withColumn("place", place).filter(F.col("place") <= k)  # Spark limits groups before the shuffle as well
 
 

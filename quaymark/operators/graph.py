@@ -93,3 +93,26 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, rounds: int = 2) -> DataFr
         out = touched
         known = touched.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     return out
+
+
+def claim_chains(claims: DataFrame, free: int = 10, sources: int = 2) -> DataFrame:
+    """Three-edge chains controller -> role -> access (claims: src, dst, kind, confidence, band, recency, source), by two
+    joins: sources, accepted (at least `sources` of them) and score: the geometric mean of confidence * band * recency,
+    times diversity min(1, sources / 2), times the hub factor of the two inner nodes; 0 if not accepted."""
+    def edge(kind: str, i: int) -> DataFrame:
+        weight = F.ln(F.greatest(F.col("confidence") * F.col("band") * F.col("recency"), F.lit(1e-12)))
+        return claims.filter(F.col("kind") == kind).select(F.col("src").alias(f"n{i}"), F.col("dst").alias(f"n{i + 1}"), weight.alias(f"w{i}"), F.col("source").alias(f"s{i}"))
+
+    excess = degrees(claims).select(F.col("id"), F.greatest(F.col("degree") - free, F.lit(0)).alias("excess"))
+    inner = lambda i: excess.select(F.col("id").alias(f"n{i}"), F.col("excess").alias(f"x{i}"))
+    chain = edge("controller", 0).join(edge("role", 1), "n1").join(edge("access", 2), "n2").join(inner(1), "n1").join(inner(2), "n2")
+    n = F.size(F.array_distinct(F.array_compact(F.array("s0", "s1", "s2"))))
+    score = F.least(F.lit(1.0), F.exp((F.col("w0") + F.col("w1") + F.col("w2")) / 3) * F.least(F.lit(1.0), n / sources) / (1 + 0.1 * (F.col("x1") + F.col("x2"))))
+    return chain.select("n0", "n1", "n2", "n3", n.cast("long").alias("sources"), (n >= sources).alias("accepted"), F.when(n >= sources, score).otherwise(0.0).alias("score"))
+
+
+def merged_properties(nodes: DataFrame, order: list[str]) -> DataFrame:
+    """id, props: of each property of a node (nodes: id, props as a map) the last value by `order` that is not null."""
+    each = nodes.select("id", F.explode("props").alias("name", "value"), F.struct(*order).alias("turn")).filter("value is not null")
+    last = each.groupBy("id", "name").agg(F.max_by("value", "turn").alias("value"))
+    return last.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("props"))

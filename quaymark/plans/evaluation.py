@@ -173,14 +173,6 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "fills").filter(a.isNotNull() & b.isNotNull() & (a != b)).select(a.alias("src"), b.alias("dst"), F.lit("TRANSFERRED_TO").alias("type")).distinct()
 
 
-@query("gr01_node_upsert", with_(FILLS) + "SELECT actor_uid AS id, arg_max(platform, (ingested_at, delivery_id)) AS platform, arg_max(market_uid, (ingested_at, delivery_id)) AS last_market FROM f WHERE actor_uid IS NOT NULL GROUP BY actor_uid")
-def gr01(spark: SparkSession, folder: str) -> DataFrame:
-    """A node's properties: the last written value wins."""
-    rows = fills(spark, folder).filter("actor_uid is not null")
-    last = F.max(F.struct("ingested_at", "delivery_id", "platform", "market_uid")).alias("r")
-    return rows.groupBy(F.col("actor_uid").alias("id")).agg(last).select("id", "r.platform", F.col("r.market_uid").alias("last_market"))
-
-
 @query("gr02_typed_edges", with_(FILLS) + "SELECT type, count(*) AS n FROM (SELECT DISTINCT 'TRADED_IN' AS type, actor_uid AS src, market_uid AS dst FROM f WHERE actor_uid IS NOT NULL UNION SELECT 'SETTLED_IN', actor_uid, transaction_uid FROM f WHERE actor_uid IS NOT NULL AND transaction_uid IS NOT NULL UNION SELECT 'OUTCOME_OF', outcome_uid, market_uid FROM f) GROUP BY type")
 def gr02(spark: SparkSession, folder: str) -> DataFrame:
     """Three typed edges of each fill in one pass."""
@@ -192,24 +184,6 @@ def gr02(spark: SparkSession, folder: str) -> DataFrame:
 _MENU = "mk AS (SELECT market_uid AS src, event_uid AS dst FROM markets WHERE event_uid IS NOT NULL)"
 
 
-@query("gr03_simple_paths", with_(_MENU, "bo AS (SELECT src, dst FROM mk UNION SELECT dst, src FROM mk), dg AS (SELECT id, greatest(count(*) - 10, 0) AS ex FROM (SELECT src AS id FROM mk UNION ALL SELECT dst FROM mk) GROUP BY id), st AS (SELECT DISTINCT market_uid AS id FROM markets WHERE event_uid IS NOT NULL AND live_event), p1 AS (SELECT id AS s, [id, dst] AS n, dst AS e FROM st JOIN bo ON src = id), p2 AS (SELECT s, list_append(n, dst) AS n, dst AS e, ex FROM p1 JOIN bo ON src = e JOIN dg ON dg.id = e WHERE NOT list_contains(n, dst))") + "SELECT s AS start, e AS target, 2 AS length, round(1 / (2 + 0.1 * ex), 6) AS score FROM p2 WHERE e IN (SELECT market_uid FROM markets WHERE event_uid IS NOT NULL AND NOT live_event)")
-def gr03(spark: SparkSession, folder: str) -> DataFrame:
-    """From live markets to other markets over shared events, two hops."""
-    rows = table(spark, folder, "markets").filter("event_uid is not null")
-    links = rows.select(F.col("market_uid").alias("src"), F.col("event_uid").alias("dst"))
-    pick = lambda live: rows.filter(F.col("live_event") == live).select(F.col("market_uid").alias("id")).distinct()
-    return simple_paths(links, pick(True), pick(False), depth=2).select("start", "target", "length", r6("score"))
-
-
-@query("gr04_claim_chains", "WITH c AS (SELECT market_uid AS a, category AS b, 0.9 AS c, platform AS s FROM markets WHERE category IS NOT NULL), r AS (SELECT DISTINCT category AS a, split_part(category, '/', 1) AS b, 0.8 AS c, 'taxonomy' AS s FROM markets WHERE category IS NOT NULL), x AS (SELECT DISTINCT split_part(category, '/', 1) AS a, 'root' AS b, 0.5 AS c, 'taxonomy' AS s FROM markets WHERE category IS NOT NULL) SELECT c.a AS n0, x.b AS n3, round(exp((ln(c.c) + ln(r.c) + ln(x.c)) / 3), 6) AS score, len(list_distinct([c.s, r.s, x.s])) AS sources, len(list_distinct([c.s, r.s, x.s])) >= 2 AS corroborated FROM c JOIN r ON c.b = r.a JOIN x ON r.b = x.a")
-def gr04(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "markets").filter("category is not null")
-    topic = F.split_part("category", F.lit("/"), F.lit(1))
-    claim = lambda src, dst, kind, conf, source: rows.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), F.lit(conf).alias("confidence"), source.alias("source")).distinct()
-    claims = claim(F.col("market_uid"), F.col("category"), "controls", 0.9, F.col("platform")).unionByName(claim(F.col("category"), topic, "role", 0.8, F.lit("taxonomy"))).unionByName(claim(topic, F.lit("root"), "access", 0.5, F.lit("taxonomy")))
-    return claim_paths(claims).select("n0", "n3", r6("score"), "sources", "corroborated")
-
-
 @query("gr05_components", "WITH RECURSIVE e AS (SELECT DISTINCT document_uid AS a, source AS b FROM evidence), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), t AS (SELECT a AS id, a AS r FROM l UNION SELECT l.b, t.r FROM t JOIN l ON l.a = t.id) SELECT id, min(r) AS component FROM t GROUP BY id")
 def gr05(spark: SparkSession, folder: str) -> DataFrame:
     return components(table(spark, folder, "evidence").select(F.col("document_uid").alias("a"), F.col("source").alias("b")).distinct())
@@ -229,13 +203,6 @@ def gr06(spark: SparkSession, folder: str) -> DataFrame:
     return degrees(edges(spark, folder)).select("id", "degree", r6(hub_factor(F.col("degree")), "hub"))
 
 
-@query("prs02_neighbourhood", with_(_MENU, "s AS (SELECT market_uid AS id FROM markets WHERE event_uid IS NOT NULL ORDER BY market_uid LIMIT 3), k AS (SELECT dst FROM mk WHERE src IN (SELECT id FROM s))") + "SELECT src, dst FROM mk WHERE dst IN (SELECT dst FROM k)")
-def prs02(spark: SparkSession, folder: str) -> DataFrame:
-    links = table(spark, folder, "markets").filter("event_uid is not null").select(F.col("market_uid").alias("src"), F.col("event_uid").alias("dst"))
-    seeds = links.select(F.col("src").alias("id")).orderBy("id").limit(3)
-    return neighbourhood(links, seeds)
-
-
 @query("prs03_wallets_by_market", with_(FILLS) + "SELECT DISTINCT market_uid, actor_uid FROM f WHERE actor_uid IS NOT NULL AND actor_visibility <> 'not_available'")
 def prs03(spark: SparkSession, folder: str) -> DataFrame:
     return fills(spark, folder).filter("actor_uid is not null and actor_visibility <> 'not_available'").select("market_uid", "actor_uid").distinct()

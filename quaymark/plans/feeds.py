@@ -153,13 +153,6 @@ def snk06b(spark: SparkSession, folder: str) -> DataFrame:
     return registry_violations(_adjudications(spark, folder))
 
 
-@query("snk07_snapshot_digest", "SELECT count(*) AS rows, sum(hash) AS digest FROM (SELECT CAST(('0x' || substr(md5(fill_uid || '|' || delivery_id), 1, 12)) AS BIGINT) AS hash FROM fills)")
-def snk07(spark: SparkSession, folder: str) -> DataFrame:
-    """A sealed table's digest: a sum of row hashes, the same in any order and any number of partitions."""
-    part = F.conv(F.substring(F.md5(F.concat_ws("|", "fill_uid", F.col("delivery_id").cast("string"))), 1, 12), 16, 10).cast("decimal(20,0)")
-    return table(spark, folder, "fills").agg(F.count(F.lit(1)).alias("rows"), F.sum(part).alias("digest"))
-
-
 # --- streams ---------------------------------------------------------------------------------------------------------
 _ARRIVED = """e AS (SELECT event_type AS stream, event_id AS seq, CASE WHEN event_id % 11 = 0 THEN 'snapshot' ELSE 'delta' END AS kind, unnest([event_id * 10 + CASE WHEN event_id % 17 = 0 THEN 35 ELSE 0 END] || CASE WHEN event_id % 13 = 0 THEN [event_id * 10 + 55] ELSE [] END) AS arrived FROM events),
  s AS (SELECT *, row_number() OVER w AS k, CASE WHEN seq <= max(seq) OVER b THEN 'replay' WHEN seq > max(seq) OVER b + 1 THEN 'gap' ELSE 'contiguous' END AS status FROM e WINDOW w AS (PARTITION BY stream ORDER BY arrived, seq), b AS (PARTITION BY stream ORDER BY arrived, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

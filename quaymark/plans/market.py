@@ -522,20 +522,6 @@ def top06(spark: SparkSession, folder: str) -> DataFrame:
     return rows.orderBy("event_time", "fill_uid").limit(10_000).select("fill_uid", "actor_uid")
 
 
-@query("top07_due_watches", with_(FILLS) + "SELECT actor_uid, epoch_us(last + INTERVAL 1 DAY) AS due_at FROM (SELECT actor_uid, max(event_time) AS last FROM f WHERE actor_uid IS NOT NULL GROUP BY actor_uid) WHERE last + INTERVAL 1 DAY <= TIMESTAMP '2024-03-20'")
-def top07(spark: SparkSession, folder: str) -> DataFrame:
-    last = fills(spark, folder).filter("actor_uid is not null").groupBy("actor_uid").agg(F.max("event_time").alias("last"))
-    due = F.unix_micros("last") + 86_400_000_000
-    return last.filter(due <= F.unix_micros(instant("2024-03-20"))).select("actor_uid", due.alias("due_at"))
-
-
-@query("top10_bounded_prefix", "SELECT market_uid, least(n, 50) AS admitted, greatest(n - 50, 0) AS over_limit FROM (SELECT market_uid, count(*) AS n FROM fills GROUP BY market_uid)")
-def top10(spark: SparkSession, folder: str) -> DataFrame:
-    """The receipt of a bounded admission: how many rows a market got in, how many were over the limit."""
-    per = table(spark, folder, "fills").groupBy("market_uid").agg(F.count(F.lit(1)).alias("n"))
-    return per.select("market_uid", F.least(F.col("n"), F.lit(50)).alias("admitted"), F.greatest(F.col("n") - 50, F.lit(0)).alias("over_limit"))
-
-
 # --- set operations --------------------------------------------------------------------------------------------------
 @query("set01_union_pairs", "SELECT actor_uid AS uid, market_uid AS other FROM fills WHERE actor_uid IS NOT NULL UNION SELECT maker.actor_uid, market_uid FROM fills WHERE maker.actor_uid IS NOT NULL")
 def set01(spark: SparkSession, folder: str) -> DataFrame:

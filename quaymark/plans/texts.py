@@ -68,11 +68,6 @@ def sc18(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("valid", bitcoin_address_ok("address"))
 
 
-@query("sc19_evm_addresses", "SELECT DISTINCT actor_uid, list_sort(list_distinct(regexp_extract_all(lower(actor_uid), '0x[0-9a-f]{40}'))) AS addresses FROM fills WHERE actor_uid IS NOT NULL")
-def sc19(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "fills").filter("actor_uid is not null").select("actor_uid").distinct().withColumn("addresses", evm_addresses(F.col("actor_uid")))
-
-
 _CLAIMS = "guilty|fraud|insider trading|criminal"
 
 
@@ -179,25 +174,3 @@ def vec05(spark: SparkSession, folder: str) -> DataFrame:
     first = table(spark, folder, "evidence").groupBy("document_uid").agg(F.min("first_seen_at").alias("first"), F.max("raw_artifact_uid").alias("raw"))
     rows = table(spark, folder, "match_results").select("match_uid", "document_uid", "as_of").distinct().join(first, "document_uid")
     return rows.filter((F.col("first") > F.col("as_of")) | F.col("raw").isNull()).select("match_uid", (F.col("first") > F.col("as_of")).alias("from_the_future"), F.col("raw").isNull().alias("without_provenance")).distinct()
-
-
-@query("flt13_eligible_search", with_("q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q, label FROM embeddings WHERE vec_id % 100 = 0)", "s AS (SELECT query_id, vec_id AS record_id, list_cosine_similarity(q, CAST(embedding AS DOUBLE[])) AS cosine FROM q, embeddings e WHERE vec_id <> query_id AND e.label IN (1, 2, 3))") + "SELECT query_id, record_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, record_id) <= 5")
-def flt13(spark: SparkSession, folder: str) -> DataFrame:
-    """Records are filtered before similarity, never after the ranking."""
-    rows = table(spark, folder, "embeddings")
-    return cosine_search(rows.filter("vec_id % 100 = 0"), rows.filter(F.col("label").isin(1, 2, 3)), "vec_id", "vec_id", "embedding", 5).select("query_id", "record_id")
-
-
-@query("vec06_news_lead", "SELECT match_uid, round(lexical_score * lead, 6) AS ppim FROM (SELECT DISTINCT m.match_uid, m.lexical_score, (epoch_us(m.as_of) - epoch_us(e.first)) / 3600000000 AS lead FROM match_results m JOIN (SELECT document_uid, min(first_seen_at) AS first FROM evidence GROUP BY document_uid) e USING (document_uid) WHERE m.lexical_score IS NOT NULL AND m.as_of IS NOT NULL) WHERE abs(lead) <= 720")
-def vec06(spark: SparkSession, folder: str) -> DataFrame:
-    first = table(spark, folder, "evidence").groupBy("document_uid").agg(F.min("first_seen_at").alias("first"))
-    rows = table(spark, folder, "match_results").filter("lexical_score is not null and as_of is not null").select("match_uid", "document_uid", "as_of", "lexical_score").distinct().join(first, "document_uid")
-    lead = (F.unix_micros("as_of") - F.unix_micros("first")) / 3_600_000_000
-    return rows.withColumn("lead", lead).filter(F.abs("lead") <= 720).select("match_uid", r6(F.col("lexical_score") * F.col("lead"), "ppim"))
-
-
-@query("vec09_chunks", "SELECT min(entry_uid) AS entry_uid, count(*) AS n FROM parsed_entries WHERE coalesce(body, '') <> '' AND retrieved_at IS NOT NULL GROUP BY body")
-def vec09(spark: SparkSession, folder: str) -> DataFrame:
-    """Dated chunks, one of each text."""
-    rows = table(spark, folder, "parsed_entries").filter((F.coalesce("body", F.lit("")) != "") & F.col("retrieved_at").isNotNull())
-    return rows.groupBy("body").agg(F.min("entry_uid").alias("entry_uid"), F.count(F.lit(1)).alias("n")).drop("body")

@@ -73,3 +73,15 @@ def same_pairs(left: Column, right: Column) -> Column:
     """Whether two lists of (label, id) are equal as sets, regardless of case."""
     flat = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda p: F.concat_ws("\x01", F.lower(p["label"]), F.lower(p["id"])))))
     return flat(left) == flat(right)
+
+
+def feed_entries(pages: DataFrame) -> DataFrame:
+    """Entries of feed pages (source, format rss or atom, xml): source, key, document_id (its own id, else its link). Pages that
+    are no XML and entries without any id give nothing."""
+    rss = "struct<channel: struct<item: array<struct<guid: string, link: string, key: string>>>>"
+    atom = "struct<entry: array<struct<id: string, link: struct<_href: string>, key: string>>>"
+    one = pages.filter("format = 'rss'").select("source", F.explode(F.from_xml("xml", rss)["channel"]["item"]).alias("e")).select("source", F.col("e.key").alias("key"), F.col("e.guid").alias("own"), F.col("e.link").alias("link"))
+    two = pages.filter("format = 'atom'").select("source", F.explode(F.from_xml("xml", atom)["entry"]).alias("e")).select("source", F.col("e.key").alias("key"), F.col("e.id").alias("own"), F.col("e.link._href").alias("link"))
+    none = F.lit("")
+    named = one.unionByName(two).withColumn("document_id", F.coalesce(F.nullif(F.trim("own"), none), F.nullif(F.trim("link"), none)))
+    return named.filter("document_id is not null").select("source", "key", "document_id")

@@ -211,3 +211,45 @@ def test_two_sided_tail_over_all_ranges(spark):
     z = [i / 50 for i in range(0, 1500)] + [-1.5]
     got = spark.createDataFrame([(x,) for x in z], "z double").select("z", two_sided_tail("z").alias("p")).collect()
     assert all(r["p"] == pytest.approx(math.erfc(abs(r["z"]) / math.sqrt(2)), rel=1e-13, abs=1e-300) for r in got)
+
+
+def test_first_of_either_key_by_brute_force(spark):
+    from quaymark.operators.dedup import first_of_either
+
+    dice = random.Random(6)
+    rows = [(i, dice.choice([None, *"abcdefgh"]), dice.choice([None, *range(12)]), i % 5) for i in range(120)]
+    df = spark.createDataFrame(rows, "i int, u string, t int, extra int")
+    seen, want = set(), []
+    for i, u, t, _ in rows:
+        own = {(k, v) for k, v in (("u", u), ("t", t)) if v is not None}
+        if not own & seen:
+            seen |= own
+            want.append(i)
+    got = first_of_either(df.unionByName(df.limit(3)), ["u", "t"], ["i"])
+    assert sorted(r["i"] for r in got.collect()) == want and got.columns == df.columns
+    assert first_of_either(df.limit(0), ["u", "t"], ["i"]).count() == 0
+
+
+def test_out_of_distribution_scores(spark):
+    import numpy as np
+
+    from quaymark.operators.uncertainty import fit, ood_scores
+
+    dice = np.random.default_rng(1)
+    reference = fit(dice.normal(size=(50, 4)))
+    df = spark.createDataFrame([(1, [0.0] * 4), (2, [9.0] * 4), (3, None), (4, [1.0])], "uid int, v array<double>")
+    got = {r["uid"]: r for r in ood_scores(df, "uid", "v", reference).collect()}
+    assert got[1]["ood"] < 0.5 < got[2]["ood"] <= 1 and not got[3]["available"] and got[4]["ood"] is None
+    assert fit(dice.normal(size=(3, 4))) is None and not ood_scores(df, "uid", "v", None).first()["available"]
+
+
+def test_decoded_logs_default_nothing(spark):
+    from quaymark.sources.landing import LOG, decode_logs
+
+    word, person = lambda n: f"{n:064x}", lambda n: "0x" + "0" * 24 + f"{n:040x}"
+    good = "0x" + word(0) + word(7) + word(30) + word(60) + word(0)
+    rows = [(1, "0xAA", ["0xT", "x", person(1), person(2)], good), (2, "0xBB", ["0xT", "x", person(1), person(2)], good), (3, "0xAA", ["0xT"], good), (4, "0xAA", ["0xT", "x", person(1), person(2)], good[:-1]), (5, "0xAA", ["0xT", "x", person(1), person(2)], None), (6, "0xAA", None, good), (7, "0xAA", ["0xT", "x", person(1), person(2)], "0x" + word(0) + word(0) + word(1) + word(1) + word(0)), (8, "0xAA", ["0xT", "x", person(1), person(2)], "0x" + word(0) + word(7) + "f" * 64 + word(1) + word(0))]
+    df = spark.createDataFrame([(n, 0, a, t, d, "h") for n, a, t, d in rows], LOG)
+    got = {r["block_number"]: r for r in decode_logs(df, ["0xaa"], "0xt").collect()}
+    assert [got[n]["status"] for n in range(1, 9)] == ["decoded", "contract_not_allowed", "topics_malformed", "data_malformed", "data_malformed", "topic_unknown", "assets_ambiguous", "amount_out_of_range"]
+    assert (got[1]["side"], got[1]["money"], got[1]["quantity"], got[1]["maker"][-1]) == ("BUY", 30, 60, "1") and got[2]["maker"] is None
