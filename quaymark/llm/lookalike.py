@@ -13,12 +13,14 @@ from pyspark.sql import types as T
 
 from quaymark.session import materialise
 
-# Letters of other alphabets that are drawn like a Latin letter, by that letter.
+# Letters of other alphabets (Cyrillic, Greek, Cherokee, Lisu, Coptic, Armenian and number forms) that are drawn
+# like one of another alphabet, by that letter.
 LOOKALIKES = {
-    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟⅭ", "D": "ᎠⅮ", "E": "ЕΕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀⅠ", "J": "ЈͿᎫ", "K": "КΚᏦ", "L": "ᏞⅬ", "M": "МΜϺᎷⅯ",
-    "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "R": "ᎡᏒ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "U": "Սᑌ", "V": "ѴᏙⅤ", "W": "ԜᎳ", "X": "ХΧⅩ", "Y": "УΥҮ", "Z": "ΖᏃ",
-    "a": "аαɑ", "b": "Ьᖯ", "c": "сϲⅽ", "d": "ԁⅾ", "e": "еҽ", "f": "ẝ", "g": "ɡց", "h": "һհ", "i": "іιɩⅰ", "j": "јϳ", "k": "κк", "l": "ӏⅼ", "m": "ⅿ", "n": "ոռ", "o": "оοօ",
-    "p": "рρ", "q": "ԛզ", "s": "ѕ", "u": "υսʋ", "v": "νѵⅴ", "w": "ԝѡա", "x": "хχⅹ", "y": "уγү", "z": "ᴢ",
+    "A": "АΑᎪꓮ", "B": "ВΒᏴꓐ", "C": "СϹᏟⅭꓚⲤ", "D": "ᎠⅮꓓ", "E": "ЕΕᎬꓰ", "F": "Ϝꓝ", "G": "ԌᏀꓖ", "H": "НΗᎻꓧⲎ", "I": "ІΙӀⅠꓲⲒ", "J": "ЈͿᎫꓙ", "K": "КΚᏦꓗⲔ", "L": "ᏞⅬꓡ", "M": "МΜϺᎷⅯꓟⲘ",
+    "N": "ΝꓠⲚ", "O": "ОΟՕꓳⲞ", "P": "РΡᏢꓑⲢ", "Q": "Ԛ", "R": "ᎡᏒꓣ", "S": "ЅՏᏚꓢ", "T": "ТΤᎢꓔⲦ", "U": "Սᑌꓴ", "V": "ѴᏙⅤꓦ", "W": "ԜᎳꓪ", "X": "ХΧⅩꓫⲬ", "Y": "УΥҮꓬⲨ", "Z": "ΖᏃꓜⲌ",
+    "a": "аαɑ", "b": "Ьᖯ", "c": "сϲⅽⲥꮯ", "d": "ԁⅾ", "e": "еҽ", "f": "ẝ", "g": "ɡց", "h": "һհ", "i": "іιɩⅰ", "j": "јϳ", "k": "κк", "l": "ӏⅼ", "m": "ⅿ", "n": "ոռ", "o": "оοօⲟ",
+    "p": "рρⲣ", "q": "ԛզ", "s": "ѕꮪ", "u": "υսʋ", "v": "νѵⅴꮩ", "w": "ԝѡաꮃ", "x": "хχⅹ", "y": "уγү", "z": "ᴢꮓ",
+    "Γ": "ГᎱⲄ", "Π": "ПⲠ", "Φ": "ФⲪ", "φ": "ф", "Θ": "ѲⲐ", "Λ": "ꓥⲖ", "Δ": "Ⲇ", "Ψ": "ѰⲮ",
 }
 # Format characters that are seen (Arabic and other number signs) and controls that move the text stay.
 INVISIBLE = regex.compile(r"[\p{Cf}\p{Default_Ignorable_Code_Point}\p{Cc}--[\t\n\r\x0b\x0c\x85\u0600-\u0605\u06dd\u070f\u0890\u0891\u08e2]]+", regex.V1)

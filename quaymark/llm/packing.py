@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quaymark.session import materialise
+from quaymark.session import materialise, small_side
 
 #: Sub-groups into which the documents of one length are cut for ranking, so that a common length is no single task.
 RANK_PARTS = 64
@@ -144,7 +144,7 @@ def _pack_one(sized: DataFrame, item: str, capacity: int) -> DataFrame:
     counts = parted.groupBy("piece_size", "__part").count()
     before = counts.select("piece_size", "__part", (F.sum("count").over(Window.partitionBy("piece_size").orderBy("__part")) - F.col("count")).alias("__before"))
     ranked = parted.withColumn("__rank", F.row_number().over(Window.partitionBy("piece_size", "__part").orderBy(item, "piece")) - 1)
-    ranked = ranked.join(F.broadcast(before), ["piece_size", "__part"]).withColumn("__rank", (F.col("__rank") + F.col("__before")).cast("long"))
+    ranked = ranked.join(small_side(before, rows=len(histogram) * RANK_PARTS), ["piece_size", "__part"]).withColumn("__rank", (F.col("__rank") + F.col("__before")).cast("long"))
     placed = ranked.select(F.col(item), "piece", "piece_size", "__rank")
     schema = T.StructType([placed.schema[item], T.StructField("piece", T.LongType()), T.StructField("piece_size", T.IntegerType()), T.StructField("container_id", T.LongType()), T.StructField("position", T.LongType())])
 

@@ -55,6 +55,13 @@ def p9_packed(spark: SparkSession, folder: str) -> DataFrame:
     return pack(sizes, "doc_id", "n_tokens", sorted(set(specs.values())))
 
 
+def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How well containers are filled, by capacity: containers, the least that could hold all tokens, tokens, and the fill."""
+    per = p9_packed(spark, folder).groupBy("capacity").agg(F.count_distinct("container_id").alias("containers"), F.sum("piece_size").alias("tokens"))
+    fill = F.col("tokens") / (F.col("containers") * F.col("capacity"))
+    return per.select("capacity", "containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("least"), "tokens", F.round(fill, 6).alias("fill"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike_pairs(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
 
@@ -66,5 +73,5 @@ def p10_classes(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(per, "look").select("doc_id", "class_id", "n_spellings", "n_docs")
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p8_ids, p9_packed, p10_found, p10_classes)}
+QUERIES = {f.__name__: f for f in (p7_found, p8_ids, p9_packed, p9_fill, p10_found, p10_classes)}
 SQL: dict[str, str] = {}

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: Distinct pieces whose encoding one worker keeps; a full memo is emptied, which costs time and changes nothing.
 MEMO_PIECES = 400_000
+#: Pairs of neighbours remembered by a worker before it starts anew.
+MEMO_PAIRS = 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -66,6 +68,8 @@ class Encoder:
         pair = (left, right)
         known = self.neighbours.get(pair)
         if known is None:
+            if len(self.neighbours) >= MEMO_PAIRS:  # a worker's memory stays bounded
+                self.neighbours.clear()
             a, b = self.text[left], self.text[right]
             known = self.neighbours[pair] = self.merged(a + b) == [a, b]
         return known
