@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,8 @@ from quaymark.operators.ledger import chain, current_labels, registry_violations
 from quaymark.plans.market import r6
 from quaymark.plans.registry import Registry
 from quaymark.plans.relations_sql import with_
-from quaymark.sources.inventory import missing_references, python_facts, tree
+from quaymark.sources.inventory import missing_references, python_facts, scenarios, tree
+from quaymark.session import scratch_path
 from quaymark.sources.tables import table
 from quaymark.sources.wire import final_candles, frames, rest_trades, same_pairs
 from quaymark.streaming.sequences import run_once, run_updates, sequence_states, split_late, stream_table, without_redeliveries
@@ -193,26 +192,96 @@ def st11(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # --- source trees ----------------------------------------------------------------------------------------------------
-_HOME = str(Path(__file__).resolve().parents[1])
+#: A small tree of sources, written out by each query that reads one.
+FIXTURE = {
+    "app/main.py": 'import json\nfrom app.store import Store\n\n\ndef run(path):\n    return Store(json.loads(path))\n\n\nif __name__ == "__main__":\n    run("{}")\n',
+    "app/store.py": "import os\n\n\nclass Store:\n    def put(self, key):\n        return os.path.join(key)\n",
+    "app/broken.py": "def half(:\n",
+    "tests/test_store.py": "from app.store import Store\n\n\ndef test_put():\n    assert Store\n",
+    "specs/store.feature": "@storage @fast\nFeature: Store\n\n  Scenario: put a key\n    Given a store\n\n  @slow\n  Scenario Outline: put many keys\n    Given a store\n",
+    "config/settings.json": '{"store": "app/store.py"}\n', "config/server.key": "none\n", "README.md": "# Store\n",
+}
+_TREE = "tree AS (SELECT * FROM (VALUES " + ", ".join("('%s', '%s')" % (k, v.replace("'", "''")) for k, v in FIXTURE.items()) + ") t(name, content))"
+
+
+def fixture_tree(spark: SparkSession) -> str:
+    """The fixture's folder below the shared one."""
+    root = scratch_path(spark, "tree")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name, content in FIXTURE.items():
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        out = path.getFileSystem(conf).create(path, True)
+        out.write(bytearray(content.encode()))
+        out.close()
+    return root
+
+
+def _named(df: DataFrame, root: str) -> DataFrame:
+    """Paths from the root of the tree on."""
+    mark = root.rstrip("/").rsplit("/", 1)[-1]
+    return df.withColumn("path", F.substring_index("path", f"{mark}/", -1))
 
 
-@query("src29_tree_snapshot")
+_KIND = "CASE WHEN regexp_matches(name, '(^|/)tests?/|(^|/)test_[^/]*[.]py$') THEN 'test' WHEN name LIKE '%.py' THEN 'source' WHEN name LIKE '%.feature' THEN 'scenario' WHEN name LIKE '%.md' THEN 'document' WHEN name LIKE '%.json' THEN 'config' ELSE 'other' END"
+
+
+@query("src29_tree_snapshot", with_(_TREE) + f"SELECT name AS path, strlen(content) AS bytes, sha256(content) AS sha256, {_KIND} AS kind, regexp_matches(name, '[.]key') AS sensitive FROM tree")
 def src29(spark: SparkSession, folder: str) -> DataFrame:
-    return tree(spark, _HOME, "*.py").drop("content")
+    root = fixture_tree(spark)
+    return _named(tree(spark, root).drop("content"), root)
+
+
+_FACTS = "fa AS (SELECT * FROM (VALUES ('app/main.py', 'import', 'json', 1), ('app/main.py', 'import', 'app.store', 2), ('app/main.py', 'function', 'run', 5), ('app/main.py', 'entrypoint', '__main__', 9), ('app/store.py', 'import', 'os', 1), ('app/store.py', 'class', 'Store', 4), ('app/store.py', 'function', 'put', 5), ('app/broken.py', 'error', 'SyntaxError', 1), ('tests/test_store.py', 'import', 'app.store', 1), ('tests/test_store.py', 'function', 'test_put', 4)) t(path, fact, name, line))"
 
 
-@query("src30_python_facts")
+@query("src30_python_facts", with_(_FACTS) + "SELECT * FROM fa")
 def src30(spark: SparkSession, folder: str) -> DataFrame:
-    return python_facts(tree(spark, _HOME, "*.py"))
+    root = fixture_tree(spark)
+    return _named(python_facts(tree(spark, root, "*.py")), root)
 
 
-@query("cmp20_artifact_binding")
+@query("src31_scenarios", "SELECT * FROM (VALUES ('specs/store.feature', 4, 'put a key', ['@fast', '@storage']), ('specs/store.feature', 8, 'put many keys', ['@fast', '@slow', '@storage'])) t(path, line, title, tags)")
+def src31(spark: SparkSession, folder: str) -> DataFrame:
+    root = fixture_tree(spark)
+    return _named(scenarios(tree(spark, root, "*.feature")), root)
+
+
+@query("cmp19_component_status", with_(_FACTS) + "SELECT i.path, i.name AS module, CASE WHEN s.path IS NULL THEN 'external' WHEN t.path IS NOT NULL THEN 'tested' ELSE 'wired' END AS status FROM fa i LEFT JOIN (SELECT DISTINCT path FROM fa) s ON s.path = replace(i.name, '.', '/') || '.py' LEFT JOIN (SELECT DISTINCT path FROM fa WHERE path LIKE 'tests/%') t ON t.path = 'tests/test_' || split_part(i.name, '.', -1) || '.py' WHERE i.fact = 'import'")
+def cmp19(spark: SparkSession, folder: str) -> DataFrame:
+    """What each import comes to: a module of the tree that has a test, one that is only wired, or an external one."""
+    root = fixture_tree(spark)
+    facts = _named(python_facts(tree(spark, root, "*.py")), root)
+    held = facts.select(F.col("path").alias("module_path")).distinct()
+    imports = facts.filter("fact = 'import'").select("path", F.col("name").alias("module")).withColumns({"module_path": F.concat(F.replace("module", F.lit("."), F.lit("/")), F.lit(".py")), "test_path": F.concat(F.lit("tests/test_"), F.element_at(F.split("module", "[.]"), -1), F.lit(".py"))})
+    both = imports.join(held.withColumn("held", F.lit(True)), "module_path", "left").join(held.select(F.col("module_path").alias("test_path"), F.lit(True).alias("tested")), "test_path", "left")
+    return both.select("path", "module", F.when(F.col("held").isNull(), "external").when(F.col("tested"), "tested").otherwise("wired").alias("status"))
+
+
+@query("cmp20_artifact_binding", with_(_TREE) + "SELECT split_part(name, '/', -1) AS name, CASE WHEN name = 'app/store.py' THEN 'changed' ELSE 'bound' END AS status FROM tree WHERE name LIKE '%.py' UNION ALL SELECT 'nowhere.py', 'missing'")
 def cmp20(spark: SparkSession, folder: str) -> DataFrame:
-    files = tree(spark, _HOME, "*.py")
-    wanted = files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "sha256").filter("name <> '__init__.py'").unionByName(spark.createDataFrame([("nowhere.py", "0")], "name string, sha256 string"))
-    return missing_references(wanted, files)
+    """A manifest's references: bound, changed since, or missing."""
+    files = tree(spark, fixture_tree(spark), "*.py")
+    manifest = files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "sha256").withColumn("sha256", F.when(F.col("name") == "store.py", "0").otherwise(F.col("sha256")))
+    return missing_references(manifest.unionByName(spark.createDataFrame([("nowhere.py", "0")], "name string, sha256 string")), files)
 
 
-@query("agg29_inventory_summary")
+@query("agg29_inventory_summary", with_(_FACTS) + "SELECT fact, count(*) AS n, count(DISTINCT path) AS files FROM fa GROUP BY fact")
 def agg29(spark: SparkSession, folder: str) -> DataFrame:
-    return python_facts(tree(spark, _HOME, "*.py")).groupBy("fact").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "fact").limit(100)
+    facts = python_facts(tree(spark, fixture_tree(spark), "*.py"))
+    return facts.groupBy("fact").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("files")).orderBy(F.col("n").desc(), "fact")
+
+
+@query("ctr05_manifest_fingerprint", with_(_TREE) + "SELECT sha256(string_agg(name || ':' || sha256(content), chr(10) ORDER BY name)) AS fingerprint, count(*) AS parts FROM tree")
+def ctr05(spark: SparkSession, folder: str) -> DataFrame:
+    """One hash over the sorted names and hashes of a tree's files: a manifest's metadata, not its content."""
+    root = fixture_tree(spark)
+    parts = _named(tree(spark, root), root).select(F.concat_ws(":", "path", "sha256").alias("p"))
+    return parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("p")), "\n"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("parts"))
+
+
+@query("prs04_reports", with_(_TREE) + "SELECT name AS path, strlen(content) AS bytes FROM tree WHERE name LIKE '%.md' OR name LIKE '%.json'")
+def prs04(spark: SparkSession, folder: str) -> DataFrame:
+    """Reports of a folder, newest first; what is no report, or hidden, is not listed."""
+    root = fixture_tree(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.col("path").rlike(r"/[A-Za-z0-9_-]+\.(md|json)$"))
+    return _named(files.orderBy(F.col("modificationTime").desc(), "path").select("path", F.col("length").alias("bytes")), root)
