@@ -141,7 +141,8 @@ def postings(bodies: DataFrame, sketch: np.ndarray) -> DataFrame:
             inside = own == text[1:]
             at = (np.arange(len(two)) - start[own])[inside]
             two, own = two[inside], own[inside]
-            order = np.lexsort((at, two, shared.value[two >> np.uint64(46)], own))  # by text, rare first
+            seldom = np.minimum(shared.value[two >> np.uint64(46)], (1 << 40) - 1)
+            order = np.lexsort((two, own << 40 | seldom))  # by text, rare first; stable, so equal grams stay in place
             ends = np.searchsorted(own[order], np.arange(len(sizes) + 1))
             rare, of_text = at[order].tolist(), ends.tolist()
             last = [i + prefix_length(rare[i:j], int(n)) for i, j, n in zip(of_text, of_text[1:], sizes)]
@@ -191,15 +192,16 @@ def read_sketch(cells: DataFrame) -> np.ndarray:
 SHORT_RUN = 2048
 
 
-def _near(left: np.ndarray, right: np.ndarray, size: np.ndarray, at: np.ndarray, doc: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Which pairs of postings (indices) pass the cheap bounds, cheapest first."""
+def _near(left: np.ndarray, right: np.ndarray, size: np.ndarray, lean: np.ndarray, doc: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which pairs of postings (indices) pass the cheap bounds, cheapest first. With s the shift of the gram and g the gap in
+    size, |s| + |g - s| edits are needed before and after it: the larger of |g| and |2 s - g|, the latter the difference in
+    `lean`, 2 * place - size."""
     n, m = size[left], size[right]
-    k, gap = np.maximum(n, m) >> 2, n - m
-    shift = at[left] - at[right]
-    keep = np.flatnonzero(np.abs(shift) + np.abs(gap - shift) <= k)  # this bounds the gap as well
+    k, gap = np.maximum(n, m) >> 2, np.abs(n - m)
+    keep = np.flatnonzero((np.abs(lean[left] - lean[right]) <= k) & (gap <= k))
     own = doc[left[keep]]
     keep = keep[(own != doc[right[keep]]) | (own == 0)]
-    room = 2 * k[keep] - np.abs(gap[keep])
+    room = 2 * k[keep] - gap[keep]
     apart = np.bitwise_count(bits[left[keep]] ^ bits[right[keep]]).sum(axis=1, dtype=np.int64)
     return keep[apart <= room]
 
@@ -212,13 +214,16 @@ def _pairs_of_runs(gram: np.ndarray, ids: np.ndarray, place: np.ndarray, doc: np
     start = np.arange(len(gram)) - rank
     length = np.bincount(start, minlength=len(gram))[start]
     known, dense = np.unique(ids, return_inverse=True)
-    size, at = (place >> 32).astype(np.int32), ((place & 0xFFFFFFFF) >> 2).astype(np.int32)
+    size = (place >> 32).astype(np.int32)
+    lean = 2 * ((place & 0xFFFFFFFF) >> 2).astype(np.int32) - size
+    every = within and not (place & COPY).any()
     out = [np.zeros(0, np.int64)]
 
     def take(left: np.ndarray, right: np.ndarray) -> None:
-        ok = ~fresh[left] | (within & ((place[right] & COPY) == 0))
-        left, right = left[ok], right[ok]
-        hit = _near(left, right, size, at, doc, bits)
+        if not every:
+            ok = ~fresh[left] | (within & ((place[right] & COPY) == 0))
+            left, right = left[ok], right[ok]
+        hit = _near(left, right, size, lean, doc, bits)
         if len(hit):
             out.append(np.unique(dense[left[hit]] * len(known) + dense[right[hit]]))
 
@@ -268,8 +273,13 @@ def candidates(new: DataFrame, old: DataFrame | None, within: bool, hot: DataFra
             stop = len(gram) if last else int(np.searchsorted(gram, gram[-1], "left"))  # the last gram may go on
             part = t.slice(0, stop)
             if stop:
-                bits = np.stack([part.column(c).to_numpy() for c in SKETCH], 1).view(np.uint64)
-                found = _pairs_of_runs(gram[:stop], *[part.column(c).to_numpy() for c in ("id", "place", "doc")], bits, within)
+                names = [*SKETCH, "id", "place", "doc"]
+                column = {c: part.column(c).to_numpy() for c in names}
+                if (column["place"] & OLD).any():  # those accepted before come first of their gram
+                    order = np.lexsort((~column["place"] & OLD, gram[:stop]))
+                    column = {c: v[order] for c, v in column.items()}
+                bits = np.stack([column[c] for c in SKETCH], 1).view(np.uint64)
+                found = _pairs_of_runs(gram[:stop], column["id"], column["place"], column["doc"], bits, within)
                 if len(found):
                     yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["id_a", "id_b"])
             held[:] = t.slice(stop).to_batches()
@@ -285,7 +295,7 @@ def candidates(new: DataFrame, old: DataFrame | None, within: bool, hot: DataFra
         if held:
             yield from flush(True)
 
-    together = both.repartition("gram").sortWithinPartitions("gram", F.col("place").bitwiseAND(F.lit(OLD)).desc())
+    together = both.repartition("gram").sortWithinPartitions("gram")
     return together.mapInArrow(run, "id_a long, id_b long").distinct()
 
 
@@ -415,7 +425,7 @@ class AcceptedIndex:
         if self.sketch is None:
             frequency_sketch(coded).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/sketch")
             self.sketch = read_sketch(self.spark.read.parquet(f"{self.path}/sketch"))
-        marks = materialise(postings(coded, self.sketch), "postings")
+        marks = materialise(postings(coded, self.sketch), "postings", **{f"parquet.enable.dictionary#{c}": "false" for c in ("gram", "place")})
         n_marks, share, crowded = self._share(marks)
         old = self._lookup("postings", marks.select("gram"), n_marks) if self.parts else None
         hot = materialise(old.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > self.hot), "hot") if crowded else None
